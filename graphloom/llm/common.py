@@ -1,21 +1,14 @@
-"""Shared helpers: the shared working folder, word hashing, packed shuffles."""
+"""Shared helpers: tables in the cluster's shared folder, and vectorised word hashing."""
 
 from __future__ import annotations
 
 import re
-import shutil
 import tempfile
 import uuid
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
-
-#: One word of a text, in the normalised (lower-case) form used for matching.
-WORD = re.compile(r"\w+")
-#: Entries a worker's word cache may hold before it is emptied; bounds memory, never results.
-CACHE_WORDS = 400_000
-MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -58,18 +51,66 @@ def drop_table(df: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target.getParent(), True)
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered per worker up to CACHE_WORDS words."""
+BASE = 0x9E3779B97F4A7C15
+BASE_INVERSE = pow(BASE, -1, 1 << 64)
+_powers: list[np.ndarray] = []
+
+#: Bytes of words: letters, digits, underscore, and every byte of a non-ASCII character.
+WORD_BYTES = np.zeros(256, bool)
+WORD_BYTES[[*b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_"]] = True
+WORD_BYTES[128:] = True
+#: Bytes of words parted by ASCII white space alone; VISIBLE finds the same words in a text.
+VISIBLE_BYTES = np.ones(256, bool)
+VISIBLE_BYTES[[*b" \t\n\r\v\f"]] = False
+VISIBLE = re.compile(r"[^ \t\n\r\v\f]+")
+#: Characters hashed at a time.
+CHUNK_CHARS = 3_000_000
+
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE ** i and its inverse modulo 2 ** 64, kept per worker."""
+    if not _powers or len(_powers[0]) < n:
+        size = max(n, 1 << 16)
+        _powers[:] = []
+        for b in (BASE, BASE_INVERSE):
+            p = np.full(size, b, np.uint64)
+            p[0] = 1
+            _powers.append(np.cumprod(p, dtype=np.uint64))
+    return _powers[0][:n], _powers[1][:n]
 
 
-def hash_words(words: list[str], cache: WordHashes) -> np.ndarray:
-    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+def word_hashes(texts: list[str], table: np.ndarray = WORD_BYTES, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, end to end, and how many each text has.
+
+    A polynomial hash from prefix sums over the texts' bytes: no Python object a word.
+    """
+    if not texts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    raw = [(t.lower() if lower else t).encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+    inside = table[data]
+    turn = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if inside[0]:
+        turn = np.concatenate([[0], turn])
+    begin, end = turn[::2], turn[1::2]
+    power, inverse = powers(len(data))
+    prefix = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, out=prefix[1:])
+    h = mix((prefix[end] - prefix[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+    edges = np.cumsum([len(r) + 1 for r in raw])
+    return h, np.diff(np.searchsorted(begin, edges), prepend=0)
+
+
+def text_chunks(texts: list[str | None], chars: int = CHUNK_CHARS):
+    """Ranges of consecutive texts of about ``chars`` characters together."""
+    at = size = 0
+    for k, t in enumerate(texts):
+        size += len(t) if t else 0
+        if size >= chars:
+            yield at, k + 1
+            at, size = k + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -85,19 +126,20 @@ def rolling(h: np.ndarray, n: int) -> np.ndarray:
     """Polynomial hash of every run of ``n`` words; empty if there are fewer."""
     if len(h) < n:
         return np.empty(0, np.uint64)
-    base = 0x9E3779B97F4A7C15
     out = np.zeros(len(h) - n + 1, np.uint64)
     for k in range(n):
-        out = out * np.uint64(base) + h[k : len(h) - n + 1 + k]
+        out = out * np.uint64(BASE) + h[k : len(h) - n + 1 + k]
     return mix(out)
 
 
-def free_name(df: DataFrame, base: str) -> str:
-    """``base``, lengthened until no column of ``df`` has that name (case ignored)."""
-    taken = {c.lower() for c in df.columns}
-    while base.lower() in taken:
-        base += "_"
-    return base
+def long_rolling(h: np.ndarray, n: int) -> np.ndarray:
+    """The same idea for long runs, from prefix sums: its cost doesn't depend on ``n``."""
+    if len(h) < n:
+        return np.empty(0, np.uint64)
+    power, inverse = powers(len(h))
+    prefix = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * power, out=prefix[1:])
+    return mix((prefix[n:] - prefix[:-n]) * inverse[: len(h) - n + 1])
 
 
 def need(df: DataFrame, *columns: str) -> None:
@@ -105,3 +147,13 @@ def need(df: DataFrame, *columns: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"columns {missing} are missing; there are {df.columns}")
+
+
+#: Rows of the small side up to which a join broadcasts it; beyond, both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it is known to be small; else as it is."""
+    n = df.count() if rows is None else rows
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df

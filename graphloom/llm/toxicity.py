@@ -35,6 +35,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -319,3 +320,25 @@ def score(documents: DataFrame, model: Field, min_score: float | None = None) ->
         run,
         f"doc_id {kind}, toxicity double, peak double, spans array<struct<start:int,end:int>>, toxic boolean",
     )
+
+
+def drop_toxic(documents: DataFrame, model: Field, min_score: float | None = None) -> DataFrame:
+    """The rows of ``documents`` that aren't toxic, with all their columns, in one pass and without a join.
+
+    Rows are judged one by one, so null ids and rows that share an id need no rule.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    place = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        lookup = Rows(m)
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            toxic = np.zeros(len(texts), bool)
+            for at in range(0, len(texts), 1000):
+                score, _, _ = tag(texts[at : at + 1000], m, lookup)
+                toxic[at : at + 1000] = score >= (m.enough if min_score is None else min_score)
+            yield batch.filter(pa.array(~toxic))
+
+    return documents.mapInArrow(run, documents.schema)
