@@ -24,6 +24,7 @@ Defined results
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -50,9 +51,8 @@ WITH RECURSIVE s(round, w, g, t) AS (
   UNION ALL
   (WITH cur AS (
      SELECT round, w, g, t,
-            CASE WHEN lead(g) OVER () < g THEN error('rows out of order')
-                 WHEN lead(w) OVER () = w THEN lead(t) OVER () END AS next_t,
-            CASE WHEN lag(w) OVER () = w THEN lag(g) OVER () END AS before
+            CASE WHEN lead(w) OVER (ORDER BY g) = w THEN lead(t) OVER (ORDER BY g) END AS next_t,
+            CASE WHEN lag(w) OVER (ORDER BY g) = w THEN lag(g) OVER (ORDER BY g) END AS before
      FROM s),
    best AS (
      SELECT cur.w, min((m.merged::BIGINT << 36) + cur.g) AS k
@@ -108,11 +108,11 @@ def load(path: str = VOCABULARY) -> Vocabulary:
 
 
 class Bpe:
-    """One partition's DuckDB session over the merge table and the vocabulary."""
+    """A worker's DuckDB session over the merge table and the vocabulary."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": True})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         table = pa.table({"l": vocabulary.left, "r": vocabulary.right, "merged": vocabulary.merged})
         self.db.register("merges_", table)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges_")
@@ -120,12 +120,12 @@ class Bpe:
         self.db.register("vocabulary_", pa.table({"id": np.arange(len(hexes), dtype=np.int32), "hex": hexes}))
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary_")
         self.split = regex.compile(PATTERN).findall
-        self.pieces: dict[str, np.ndarray] = {}
+        self.pieces: dict[str, bytes] = {}
         self.rank = None
         self.coder = SegmentCoder(self.encode_segments)
 
-    def contract(self, words: list[bytes]) -> list[np.ndarray]:
-        """Token ids of some words, by the recursive query."""
+    def contract(self, words: list[bytes]) -> list[bytes]:
+        """Token ids (32-bit) of some words, by the recursive query."""
         if not words:
             return []
         length = np.array([len(w) for w in words], np.int64)
@@ -136,10 +136,11 @@ class Bpe:
         self.db.register("start_rows", rows)
         got = self.db.execute(ENCODE).fetchnumpy()
         self.db.unregister("start_rows")
-        w, t = np.asarray(got["w"]), np.asarray(got["t"], np.int32)
-        return np.split(t, np.searchsorted(w, np.arange(1, len(words))))
+        cuts = (4 * np.searchsorted(np.asarray(got["w"]), np.arange(len(words) + 1))).tolist()
+        ids = np.asarray(got["t"], np.int32).tobytes()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def contract_long(self, word: bytes) -> np.ndarray:
+    def contract_long(self, word: bytes) -> bytes:
         """The same for one long word: a heap of pairs over a linked list."""
         if self.rank is None:
             self.rank = {(int(a), int(b)): int(c) for a, b, c in zip(self.v.left, self.v.right, self.v.merged)}
@@ -159,24 +160,24 @@ class Bpe:
             for x in (before[i], i):
                 if x >= 0 and after[x] < len(ids) and (m := self.rank.get((ids[x], ids[after[x]]))) is not None:
                     heapq.heappush(heap, (m, x, ids[x], ids[after[x]]))
-        return np.array([x for x in ids if x >= 0], np.int32)
+        return np.array([x for x in ids if x >= 0], np.int32).tobytes()
 
-    def encode_segments(self, segments: list[str]) -> Iterator[np.ndarray]:
-        if len(self.pieces) > 400_000:
+    def encode_segments(self, segments: list[str]) -> Iterator[bytes]:
+        if len(self.pieces) > 500_000:
             self.pieces.clear()
         split = [self.split(s) for s in segments]
         new = list({p for s in split for p in s} - self.pieces.keys())
         raw = [p.encode() for p in new]
         short = [k for k, b in enumerate(raw) if len(b) <= LONG]
-        for at in range(0, len(short), 100_000):
-            some = short[at : at + 100_000]
+        for at in range(0, len(short), 60_000):
+            some = short[at : at + 60_000]
             for k, ids in zip(some, self.contract([raw[k] for k in some])):
                 self.pieces[new[k]] = ids
         for k, b in enumerate(raw):
             if len(b) > LONG:
                 self.pieces[new[k]] = self.contract_long(b)
         for s in split:
-            yield self.pieces[s[0]] if len(s) == 1 else np.concatenate([self.pieces[p] for p in s]) if s else np.zeros(0, np.int32)
+            yield b"".join(map(self.pieces.__getitem__, s))
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """The texts of token ids that lie end to end."""
@@ -193,6 +194,18 @@ class Bpe:
         return texts
 
 
+_sessions: dict[bytes, Bpe] = {}
+
+
+def session(vocabulary: Vocabulary) -> Bpe:
+    """This worker's session for a vocabulary; it outlives a task, and so do the pieces it has seen."""
+    key = hashlib.blake2b(b"".join(vocabulary.tokens) + vocabulary.merged.tobytes()).digest()
+    if key not in _sessions:
+        _sessions.clear()
+        _sessions[key] = Bpe(vocabulary)
+    return _sessions[key]
+
+
 def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     at = size = 0
     for k, t in enumerate(texts):
@@ -215,7 +228,7 @@ def encode(documents: DataFrame, vocabulary: Vocabulary | None = None, check: bo
     slim = documents.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(shared.value)
+        bpe = session(shared.value)
         for batch in batches:
             all_texts = batch.column(1).to_pylist()
             for a, b in _chunks(all_texts):
@@ -243,7 +256,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary | None = None) -> DataFram
     slim = encoded.select("doc_id", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(shared.value)
+        bpe = session(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
