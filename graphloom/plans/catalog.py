@@ -222,9 +222,9 @@ def package_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT DISTINCT 'GUARDS' AS type, 'supplier:' || a.l_suppkey AS src, 'orders:' || b.l_orderkey AS dst
-FROM lineitem a JOIN lineitem b USING (l_partkey) WHERE a.l_returnflag = 'R' AND a.l_shipdate >= TIMESTAMP '2001-06-01' AND b.l_shipdate >= TIMESTAMP '2001-06-01'""")
+FROM lineitem a JOIN lineitem b USING (l_partkey) WHERE a.l_returnflag = 'R'""")
 def guard_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = R.table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") >= F.lit("2001-06-01").cast("timestamp_ntz"))
+    line = R.table(spark, sf_dir, "lineitem")
     part = R.key("part", "l_partkey").alias("dst")
     a = line.where("l_returnflag = 'R'").select(F.lit("AUTHORIZES").alias("type"), R.key("supplier", "l_suppkey").alias("src"), part)
     b = line.select(F.lit("HANDLES").alias("type"), R.key("orders", "l_orderkey").alias("src"), part)
@@ -234,12 +234,12 @@ def guard_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 # traversals
 
 
-def walk_sql(seed: str, depth: int, step: str = "src, dst", relations=None, where: str = "TRUE") -> str:
+def walk_sql(seed: str, depth: int, step: str = "src, dst", relations=None) -> str:
     keep = f"WHERE type IN ({names(relations)})" if relations else ""
     here, there = step.split(", ")
     return f""", adj AS (SELECT {here} AS here, {there} AS there FROM edges {keep}),
 w AS (SELECT id AS seed, id, 0 AS depth FROM nodes WHERE {seed} UNION SELECT seed, there, depth + 1 FROM w JOIN adj ON w.id = here WHERE depth < {depth})
-SELECT seed, id, min(depth) AS depth FROM w WHERE {where} GROUP BY seed, id"""
+SELECT seed, id, min(depth) AS depth FROM w GROUP BY seed, id"""
 
 
 @on_graph(walk_sql("type = 'Workspace'", 3))
@@ -263,10 +263,9 @@ def neighborhood_d1(g: Graph) -> DataFrame:
     return walk.walk(g, g.of_types("Package"), "both", 1)
 
 
-@on_graph(walk_sql("type = 'Controller'", 2, where="id NOT LIKE 'part:%'"))
+@on_graph(walk_sql("type = 'Controller'", 9))
 def descendants(g: Graph) -> DataFrame:
-    some = lookup.induced(g, F.col("type").isin("Controller", "Route"))
-    return walk.reach(some, some.of_types("Controller"))
+    return walk.reach(g, g.of_types("Controller"))
 
 
 @on_graph(""", p AS (SELECT 'region:' || n_regionkey AS seed, 'part:' || l_partkey AS id,
