@@ -59,16 +59,34 @@ def term_of(h: np.ndarray) -> np.ndarray:
 
 
 def entries(h: np.ndarray, counts: np.ndarray):
-    """The distinct (half passage, term) pairs, by half, with what ``halves`` says of the halves."""
+    """The distinct terms of each half passage, in rows of HALF padded with TERMS, with what ``halves`` says of them."""
     begin, of, k, follows = halves(h, counts)
-    where = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(h))))
-    pair = np.unique(where * TERMS + term_of(h))
-    return pair // TERMS, pair % TERMS, of, k, follows
+    half = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(h))))
+    place = np.full((len(begin), HALF), TERMS, np.int32)
+    place[half, np.arange(len(h)) - begin[half]] = term_of(h)
+    place.sort(axis=1)
+    again = np.zeros(place.shape, bool)
+    np.equal(place[:, 1:], place[:, :-1], out=again[:, 1:])
+    place[again] = TERMS
+    return place, of, k, follows
+
+
+def half_sums(padded: np.ndarray, place: np.ndarray, block: int = 1024) -> np.ndarray:
+    """Sums of the terms' rows over each half passage: term by term over blocks that stay in the cache."""
+    out = np.empty((len(place), padded.shape[1]), padded.dtype)
+    by_term = np.ascontiguousarray(place.T)
+    for at in range(0, len(place), block):
+        part = by_term[:, at : at + block]
+        total = padded[part[0]]
+        for k in range(1, HALF):
+            total += padded[part[k]]
+        out[at : at + block] = total
+    return out
 
 
 @dataclass
 class Space:
-    """term -> latent coordinates, weighted by idf and scaled by the singular values."""
+    """term -> latent coordinates, weighted by idf and scaled by the singular values; a last row of zeros pads."""
 
     basis: np.ndarray
 
@@ -77,8 +95,8 @@ class Space:
         if not len(h):
             none = np.zeros(0, np.int64)
             return none, none, np.zeros((0, self.basis.shape[1]), np.float32)
-        half, term, of, k, follows = entries(h, counts)
-        z = np.add.reduceat(self.basis[term], np.flatnonzero(np.diff(half, prepend=-1)), axis=0)
+        place, of, k, follows = entries(h, counts)
+        z = half_sums(self.basis, place)
         # a last half alone is a passage only where it is the whole text
         use = np.flatnonzero(follows | (k == 0))
         more = follows[use]
@@ -92,7 +110,7 @@ def _summed(docs: DataFrame, width: int, add) -> np.ndarray:
     """TERMS x width float64: what ``add(total, hashes, counts)`` adds up over all texts, task by task."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((TERMS, width), np.float32 if width > 1 else np.float64)
+        total = np.zeros((TERMS, width), np.float32 if width > 2 else np.float64)
         for f in frames:
             texts = f["text"].tolist()
             for a, b in text_chunks(texts, 1_500_000):
@@ -102,7 +120,7 @@ def _summed(docs: DataFrame, width: int, add) -> np.ndarray:
         yield pd.DataFrame({"slice": range(SLICES), "data": [p.tobytes() for p in np.split(total, SLICES)]})
 
     def merge(f: pd.DataFrame) -> pd.DataFrame:
-        kind = np.float32 if width > 1 else np.float64
+        kind = np.float32 if width > 2 else np.float64
         total = sum(np.frombuffer(b, kind).astype(np.float64) for b in f["data"])
         return pd.DataFrame({"slice": f["slice"][:1], "data": [total.tobytes()]})
 
@@ -113,32 +131,47 @@ def _summed(docs: DataFrame, width: int, add) -> np.ndarray:
     return np.concatenate([np.frombuffer(b, np.float64) for b in parts.sort_values("slice")["data"]]).reshape(TERMS, width)
 
 
-def learn(docs: DataFrame, rank: int = 96, drop: int = 16, seed: int = 11) -> Space:
+def learn(docs: DataFrame, rank: int = 96, drop: int = 16, max_df: float = 0.05, seed: int = 11) -> Space:
     """Document frequencies, then the randomised decomposition, each one pass over all documents.
 
     A term counts once in a half passage, and passages have unit length, or a few
     stuttering texts would take the leading directions. Of these, the first
     ``drop`` tell languages and common words apart, which every passage shares
-    with many others, and are left out of the comparison.
+    with many others, and are left out of the comparison; so are terms that more
+    than the share ``max_df`` of the half passages hold.
     """
 
     def count(total, h, counts):
-        total[:, 0] += np.bincount(entries(h, counts)[1], minlength=TERMS)
-
-    df = _summed(docs, 1, count)[:, 0]
-    idf = np.log((max(df.max(), 1.0) + 1) / (df + 1)).astype(np.float32) + np.float32(0.02)
+        place = entries(h, counts)[0]
+        total[:, 0] += np.bincount(place.ravel(), minlength=TERMS + 1)[:TERMS]
+        total[0, 1] += len(place)
+
+    df, n = _summed(docs, 2, count).T
+    n = max(n[0], 1.0)
+    idf = np.log((n + 1) / (df + 1)).astype(np.float32)
+    idf[df > max_df * n] = 0
     omega = np.random.default_rng(seed).standard_normal((TERMS, rank)).astype(np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast((idf, omega * idf[:, None]))
+    padded = np.concatenate([omega * idf[:, None], np.zeros((1, rank), np.float32)])
+    shared = docs.sparkSession.sparkContext.broadcast((np.append(idf, np.float32(0)), padded))
 
     def sketch(total, h, counts):
         idf, weighted = shared.value
-        half, term, _, k, _ = entries(h, counts)
-        passage = np.cumsum(k % 2 == 0)[half] - 1  # pairs of halves, without overlap
-        first = np.flatnonzero(np.diff(passage, prepend=-1))
-        z = np.add.reduceat(weighted[term], first, axis=0) / np.add.reduceat(idf[term] ** 2, first)[:, None]
-        order = np.argsort(term.astype(np.uint16), kind="stable")
-        kinds = np.flatnonzero(np.diff(term[order], prepend=-1))
-        total[term[order][kinds]] += np.add.reduceat(z[passage[order]], kinds, axis=0)
+        place, of, k, _ = entries(h, counts)
+        place[idf[place] == 0] = TERMS
+        # passages without overlap: pairs of halves, of unit length
+        first = np.flatnonzero(k % 2 == 0)
+        z = np.add.reduceat(half_sums(weighted, place), first, axis=0)
+        size = np.add.reduceat((idf[place] ** 2).sum(1), first)
+        z /= np.maximum(size, np.float32(1e-9))[:, None]
+        passage = np.cumsum(k % 2 == 0) - 1
+        half, column = np.nonzero(place < TERMS)
+        term = place[half, column].astype(np.uint16)
+        for at in range(0, len(term), 1 << 15):
+            some = term[at : at + (1 << 15)]
+            order = np.argsort(some, kind="stable")
+            some = some[order]
+            kinds = np.flatnonzero(np.diff(some.astype(np.int64), prepend=-1))
+            total[some[kinds]] += np.add.reduceat(z[passage[half[at : at + (1 << 15)][order]]], kinds, axis=0)
 
     y = _summed(docs, rank, sketch) * idf[:, None]
     return Space(_basis(y, omega.astype(np.float64), idf, drop))
@@ -151,12 +184,13 @@ def _basis(y: np.ndarray, omega: np.ndarray, idf: np.ndarray, drop: int) -> np.n
     value, vector = np.linalg.eigh(core)
     ok = value > max(value.max(), 0) * 1e-9
     if not ok.any():
-        return np.zeros((TERMS, 1), np.float32)
+        return np.zeros((TERMS + 1, 1), np.float32)
     f = y @ (vector[:, ok] / np.sqrt(value[ok]))
     u, s, _ = np.linalg.svd(f, full_matrices=False)
     ok = s > s[0] * 1e-4
     ok[: min(drop, ok.sum() // 2)] = False
-    return (u[:, ok] / s[ok] * s[0] * idf[:, None]).astype(np.float32)
+    basis = (u[:, ok] / s[ok] * s[0] * idf[:, None]).astype(np.float32)
+    return np.concatenate([basis, np.zeros((1, basis.shape[1]), np.float32)])
 
 
 class Item:
