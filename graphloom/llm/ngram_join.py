@@ -10,14 +10,17 @@ extended to ``size - o + k`` grams, so that two such documents share k prefix
 grams: either a rare one, or k frequent ones; hence frequent grams are indexed
 as combinations of k = 2, and common phrases alone bring nobody together.
 
-The index travels packed (a row is an array of keys, not a key), is sorted in
-numpy per shard, and equal candidate lists, which groups of copies produce by
-the hundred, are merged. Each list is first verified against one leader; lists
-whose members the verified pairs already connect are done. In the others every
-pair from different groups is verified, except where the triangle inequality of
-the Jaccard distance through the leader excludes it. Verification is exact, on
-the full sets; the groups are connected components, as if all pairs had been
-verified. No candidate is dropped.
+The index travels packed (a row is an array of keys, not a key) and is sorted in
+numpy per shard. Rare grams of a few documents are counted pair by pair; longer
+lists, of which groups of copies produce hundreds of equal ones, are merged. A
+pair is a candidate only if the prefix grams it shares (those counted, and at
+most those that either side has in long lists) can make up the overlap that its
+sizes demand. Each long list is first verified against one leader; lists whose
+members the verified pairs already connect are done. In the others every pair
+from different groups is verified, except where that bound, or the triangle
+inequality of the Jaccard distance through the leader, excludes it. Verification
+is exact, on the full sets; the groups are the connected components that all
+pairs would give. No candidate is dropped that could be similar enough.
 
 Defined results
   * null or empty text, and texts without a word, are in no group; a text of
@@ -43,6 +46,8 @@ from graphloom.llm.components import components
 
 #: Index rows of a shard, about; and of one packed row group before it is sent on.
 SHARD_ROWS, FLUSH_ROWS = 1_500_000, 1_500_000
+#: Documents of a rare gram up to which its pairs are counted one by one.
+FEW = 8
 
 
 def gram_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +119,10 @@ def frequent_grams(docs: DataFrame, n: int, share: float) -> tuple[np.ndarray, n
 
 
 def prefix_keys(grams: np.ndarray, sizes: np.ndarray, often: np.ndarray, rank: np.ndarray, t: float, k: int = 2):
-    """Index keys of each document of a chunk: (key, document)."""
+    """Index keys of each document of a chunk, (key, document), and its number of frequent prefix grams.
+
+    The last bit of a key tells a rare gram (0) from what stands for frequent ones (1).
+    """
     of = np.repeat(np.arange(len(sizes)), sizes)
     place = np.zeros(len(grams), np.int64)
     if len(often):
@@ -130,94 +138,140 @@ def prefix_keys(grams: np.ndarray, sizes: np.ndarray, often: np.ndarray, rank: n
     length = np.where(extended, np.minimum(sizes, sizes - least + k), sizes - least + 1)
     use = pos < length[of]
     single = use & (place == 0)
-    single |= use & (least[of] < k)  # sets so small that sharing one gram can do
-    keys, docs = [grams[single]], [of[single]]
     many = use & (place > 0)
-    for d in np.flatnonzero(np.bincount(of[many], minlength=len(sizes)) >= k):
+    alone = many & (least[of] < k)  # sets so small that sharing one frequent gram can do
+    one = np.uint64(1)
+    keys, docs = [grams[single] & ~one, grams[alone] | one], [of[single], of[alone]]
+    common = np.bincount(of[many], minlength=len(sizes))
+    for d in np.flatnonzero(common >= k):
         mine = slice(begin[d], begin[d] + sizes[d])
         g = np.sort(grams[mine][many[mine]])
         i, j = np.triu_indices(len(g), 1)
-        keys.append(mix(g[i] * np.uint64(BASE) + g[j]))
+        keys.append(mix(g[i] * np.uint64(BASE) + g[j]) | one)
         docs.append(np.full(len(i), d))
-    return np.concatenate(keys), np.concatenate(docs)
+    return np.concatenate(keys), np.concatenate(docs), common
+
+
+FOUND = "kind int, list long, a long, b long, n int, size_a int, size_b int, common_a int, common_b int"
 
 
-def candidate_lists(docs: DataFrame, n: int, t: float, often: np.ndarray, rank: np.ndarray, total: int) -> DataFrame:
-    """(list, members array<struct<doc, size>>): distinct sets of documents that share an index key."""
+def collisions(docs: DataFrame, n: int, t: float, often: np.ndarray, rank: np.ndarray, total: int) -> DataFrame:
+    """What the index brings together, as FOUND rows of three kinds.
+
+    0: document ``a`` of a list of documents that share a key, other than a rare gram
+    of at most FEW documents, and how many rare grams have this list; 1: a pair (a, b) and how many such rare grams the two share in this
+    shard; 2: how many longer lists of rare grams a document ``a`` is in.
+    """
     spark = docs.sparkSession
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * (1 - t) / SHARD_ROWS))
     shared = spark.sparkContext.broadcast((often, rank))
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         often, rank = shared.value
-        keys, who, sizes_of, rows = [], [], [], 0
+        held, rows = [], 0
         for f in frames:
             texts, ids = f["text"].tolist(), f["doc_id"].to_numpy(np.int64)
             for a, b in text_chunks(texts):
                 grams, sizes = gram_sets(texts[a:b], n)
-                key, d = prefix_keys(grams, sizes, often, rank, t)
-                keys.append(key)
-                who.append(ids[a:b][d])
-                sizes_of.append(sizes[d])
+                key, d, common = prefix_keys(grams, sizes, often, rank, t)
+                held.append((key, ids[a:b][d], sizes[d].astype(np.uint32), common[d].astype(np.uint32)))
                 rows += len(key)
                 if rows >= FLUSH_ROWS:
-                    yield packed(keys, who, sizes_of)
-                    keys, who, sizes_of, rows = [], [], [], 0
+                    yield packed(held)
+                    held, rows = [], 0
         if rows:
-            yield packed(keys, who, sizes_of)
+            yield packed(held)
 
-    def packed(keys, who, sizes_of) -> pd.DataFrame:
-        key, doc, size = np.concatenate(keys), np.concatenate(who), np.concatenate(sizes_of)
+    def packed(held) -> pd.DataFrame:
+        key, doc, size, common = (np.concatenate(x) for x in zip(*held))
         shard = (key >> np.uint64(32)) % np.uint64(shards)
         order = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-        out = {"shard": [], "keys": [], "index": [], "docs": [], "sizes": []}
+        out = {"shard": [], "keys": [], "index": [], "docs": [], "sizes": [], "common": []}
         for s in np.flatnonzero(np.diff(cuts)):
             mine = order[cuts[s] : cuts[s + 1]]
             ids, first, at = np.unique(doc[mine], return_index=True, return_inverse=True)
             out["shard"].append(s)
-            out["keys"].append(key[mine].tobytes())
+            out["keys"].append(key[mine].astype(np.uint32).tobytes())
             out["index"].append(at.astype(np.uint32).tobytes())
             out["docs"].append(ids.tobytes())
-            out["sizes"].append(size[mine][first].astype(np.uint32).tobytes())
+            out["sizes"].append(size[mine][first].tobytes())
+            out["common"].append(common[mine][first].tobytes())
         return pd.DataFrame(out)
 
     def gather(f: pd.DataFrame) -> pd.DataFrame:
-        key = np.concatenate([np.frombuffer(b, np.uint64) for b in f["keys"]])
-        ids = [np.frombuffer(b, np.int64) for b in f["docs"]]
+        # 32 bits beside the shard: a chance meeting is one more candidate, and fails verification
+        key = np.concatenate([np.frombuffer(b, np.uint32) for b in f["keys"]])
         at = [np.frombuffer(b, np.uint32) for b in f["index"]]
-        doc = np.concatenate([d[i] for d, i in zip(ids, at)])
-        size = np.concatenate([np.frombuffer(b, np.uint32)[i] for b, i in zip(f["sizes"], at)])
-        order = np.argsort(key)
-        key, doc, size = key[order], doc[order], size[order]
-        twin = np.zeros(len(key), bool)  # keys of one row need no further look
-        twin[1:] = key[1:] == key[:-1]
-        twin[:-1] |= twin[1:].copy()
-        key, doc, size = key[twin], doc[twin], size[twin]
+        doc, size, common = (
+            np.concatenate([np.frombuffer(b, kind)[i] for b, i in zip(f[c], at)])
+            for c, kind in (("docs", np.int64), ("sizes", np.uint32), ("common", np.uint32))
+        )
         order = np.lexsort((doc, key))
-        key, doc, size = key[order], doc[order], size[order]
+        key, doc, size, common = key[order], doc[order], size[order], common[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-        key, doc, size = key[new], doc[new], size[new]
+        key, doc, size, common = key[new], doc[new], size[new], common[new]
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         length = np.diff(np.append(begin, len(key)))
         begin, length = begin[length > 1], length[length > 1]
-        if not len(begin):
-            return pd.DataFrame({"list": np.zeros(0, np.int64), "members": []})
-        keep = np.repeat(begin, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-        doc, size = doc[keep], size[keep]
-        begin = np.cumsum(length) - length
-        sign = np.add.reduceat(mix(doc.view(np.uint64) + np.uint64(BASE)), begin) + length.astype(np.uint64)
-        _, once = np.unique(sign, return_index=True)
-        members = [
-            [{"doc": int(d), "size": int(s)} for d, s in zip(doc[begin[i] : begin[i] + length[i]], size[begin[i] : begin[i] + length[i]])]
-            for i in once
-        ]
-        return pd.DataFrame({"list": sign[once].view(np.int64), "members": members})
-
-    rows = docs.mapInPandas(index, "shard int, keys binary, index binary, docs binary, sizes binary")
-    lists = rows.groupBy("shard").applyInPandas(gather, "list long, members array<struct<doc:bigint,size:int>>")
-    return lists.dropDuplicates(["list"])
+        rare = (key[begin] & 1) == 0
+        few = rare & (length <= FEW)
+        out = []
+        x, y = [], []
+        for m in range(2, FEW + 1):
+            where = begin[few & (length == m)]
+            for i in range(m):
+                for j in range(i + 1, m):
+                    x.append(where + i)
+                    y.append(where + j)
+        x, y = np.concatenate(x), np.concatenate(y)
+        if len(x):
+            order = np.lexsort((doc[y], doc[x]))
+            x, y = x[order], y[order]
+            first = np.flatnonzero(np.concatenate([[True], (doc[x][1:] != doc[x][:-1]) | (doc[y][1:] != doc[y][:-1])]))
+            times = np.diff(np.append(first, len(x)))
+            x, y = x[first], y[first]
+            out.append(
+                pd.DataFrame(
+                    {"kind": 1, "a": doc[x], "b": doc[y], "n": times, "size_a": size[x], "size_b": size[y], "common_a": common[x], "common_b": common[y]}
+                )
+            )
+        begin, length, rare = begin[~few], length[~few], rare[~few]
+        if len(begin):
+            keep = np.repeat(begin, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+            doc, size, common = doc[keep], size[keep], common[keep]
+            ids, times = np.unique(doc[np.repeat(rare, length)], return_counts=True)
+            out.append(pd.DataFrame({"kind": 2, "a": ids, "n": times}))
+            begin = np.cumsum(length) - length
+            sign = np.add.reduceat(mix(doc.view(np.uint64) + np.uint64(BASE)), begin) + length.astype(np.uint64)
+            _, once, what = np.unique(sign, return_index=True, return_inverse=True)
+            times = np.bincount(what, rare, len(once)).astype(np.int64)  # rare keys with this list
+            each = np.repeat(begin[once], length[once]) + np.arange(length[once].sum())
+            each -= np.repeat(np.cumsum(length[once]) - length[once], length[once])
+            out.append(
+                pd.DataFrame(
+                    {"kind": 0, "list": np.repeat(sign[once].view(np.int64), length[once]), "a": doc[each], "n": np.repeat(times, length[once]), "size_a": size[each], "common_a": common[each]}
+                )
+            )
+        columns = ["kind", "list", "a", "b", "n", "size_a", "size_b", "common_a", "common_b"]
+        if not out:
+            return pd.DataFrame({c: pd.Series([], dtype="Int64") for c in columns})
+        return pd.concat([o.reindex(columns=columns).astype("Int64") for o in out])
+
+    rows = docs.mapInPandas(index, "shard int, keys binary, index binary, docs binary, sizes binary, common binary")
+    return rows.groupBy("shard").applyInPandas(gather, FOUND)
+
+
+def possible(t: float, shared, size_a, size_b):
+    """Whether two sets whose prefixes share at most ``shared`` grams can be similar enough.
+
+    Grams they share beyond the prefix that ends first lie behind it in its set, and
+    a prefix leaves fewer than ``ceil(t * size)`` grams behind.
+    """
+    needed = t / (1 + t) * (size_a + size_b) - F.greatest(F.ceil(t * size_a - 1e-9), F.ceil(t * size_b - 1e-9)) + 1
+    alike = F.least(size_a, size_b) >= (t - 1e-9) * F.greatest(size_a, size_b)
+    return alike & (shared >= needed - 1e-6)
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -228,16 +282,38 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", (shared / (F.size("ga") + F.size("gb") - shared)).alias("jaccard"))
 
 
-def near_duplicates(documents: DataFrame, n: int = 2, threshold: float = 0.55, frequent: float = 0.0005) -> DataFrame:
+def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.36, frequent: float = 0.01) -> DataFrame:
     """(doc_id, group_id, group_size) of every document with a near copy; group_id is the one that stays."""
     t = threshold
     docs = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), "text"
     )
     often, rank, total = frequent_grams(docs, n, frequent)
-    lists = materialize(candidate_lists(docs, n, t, often, rank, total), "lists")
-    wanted = lists.select(F.explode("members.doc").alias("doc_id")).distinct()
-
+    found = materialize(collisions(docs, n, t, often, rank, total), "found")
+    heavy = materialize(found.where("kind = 2").groupBy(F.col("a").alias("doc")).agg(F.sum("n").alias("heavy")), "heavy")
+    pairs = found.where("kind = 1").groupBy("a", "b").agg(
+        F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("size_a", "size_b", "common_a", "common_b")]
+    )
+    # grams in long lists and frequent ones weren't counted pair by pair: at most all of either side's are shared
+    for side in ("a", "b"):
+        pairs = pairs.join(heavy.select(F.col("doc").alias(side), F.col("heavy").alias(f"heavy_{side}")), side, "left")
+    unseen = F.least(*[F.coalesce(f"heavy_{x}", F.lit(0)) + F.col(f"common_{x}") for x in ("a", "b")])
+    pairs = materialize(pairs.where(possible(t, F.col("n") + unseen, F.col("size_a"), F.col("size_b"))).select("a", "b"), "pairs")
+
+    rows = found.where("kind = 0").groupBy("list", F.col("a").alias("doc")).agg(
+        F.sum("n").alias("keys"), F.first("size_a").alias("size"), F.first("common_a").alias("common")
+    )
+    leaders = rows.groupBy("list").agg(F.min_by("doc", F.struct(F.xxhash64("doc"), "doc")).alias("leader"))
+    rows = rows.join(leaders, "list").join(heavy, "doc", "left").withColumn("unseen", F.coalesce("heavy", F.lit(0)) + F.col("common"))
+    rows = materialize(rows.select("list", "keys", "leader", "doc", "size", "common", "unseen"), "rows")
+    heads = rows.where(F.col("doc") == F.col("leader")).select("list", F.col("size").alias("lead_size"), F.col("unseen").alias("lead_unseen"))
+    stars = (
+        rows.where(F.col("doc") != F.col("leader"))
+        .join(heads, "list")
+        .where(possible(t, F.least("unseen", "lead_unseen"), F.col("size"), F.col("lead_size")))
+        .select(F.least("leader", "doc").alias("a"), F.greatest("leader", "doc").alias("b"))
+    )
+    first = materialize(stars.union(pairs).distinct(), "first")
     def grams_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             texts, ids = f["text"].tolist(), f["doc_id"].to_numpy()
@@ -246,27 +322,24 @@ def near_duplicates(documents: DataFrame, n: int = 2, threshold: float = 0.55, f
                 parts = np.split(grams.view(np.int64), np.cumsum(sizes)[:-1])
                 yield pd.DataFrame({"doc": ids[a:b], "grams": parts})
 
-    sets = docs.join(small(wanted), "doc_id", "left_semi").mapInPandas(grams_of, "doc long, grams array<bigint>")
-    sets = materialize(sets.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("grams"))).alias("grams")), "sets")
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        sets = docs.join(small(wanted), "doc_id", "left_semi").mapInPandas(grams_of, "doc long, grams array<bigint>")
+        return materialize(sets.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("grams"))).alias("grams")), "sets")
 
-    # every list against its leader: the member of the least id hash, alike in all lists it is in
-    led = lists.withColumn("leader", F.array_min(F.transform("members", lambda m: F.struct(F.xxhash64(m["doc"]).alias("h"), m["doc"].alias("doc"), m["size"].alias("size")))))
-    rows = led.select("list", "leader.doc", "leader.size", F.explode("members").alias("m")).select(
-        "list", F.col("doc").alias("leader"), F.col("size").alias("leader_size"), F.col("m.doc").alias("doc"), F.col("m.size").alias("size")
-    )
-    stars = rows.where(F.col("doc") != F.col("leader")).select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
-    stars = materialize(verify(stars, sets), "stars")
-    edges = stars.where(F.col("jaccard") >= t - 1e-12).select("a", "b")
+    verified = materialize(verify(first, sets_of(first)), "verified")
+    edges = verified.where(F.col("jaccard") >= t - 1e-12).select("a", "b")
     known = materialize(components(edges), "known")
 
     placed = (
         rows.join(known.withColumnRenamed("node", "doc"), "doc", "left")
         .withColumn("component", F.coalesce("component", "doc"))
-        .join(stars.select(F.col("a").alias("leader"), F.col("b").alias("doc"), (1 - F.col("jaccard")).alias("gap")), ["leader", "doc"], "left")
-        .withColumn("gap", F.coalesce("gap", F.lit(0.0)))
+        .withColumn("a", F.least("leader", "doc"))
+        .withColumn("b", F.greatest("leader", "doc"))
+        .join(verified.withColumn("gap", 1 - F.col("jaccard")), ["a", "b"], "left")
     )
     split = placed.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi"))
-    open_rows = materialize(placed.join(split.select("list"), "list", "left_semi").select("list", "leader", "doc", "size", "component", "gap"), "open")
+    open_rows = materialize(placed.join(split.select("list"), "list", "left_semi").select("list", "keys", "leader", "doc", "size", "common", "unseen", "component", "gap"), "open")
     x, y = open_rows.alias("x"), open_rows.alias("y")
     crossing = (
         x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.doc") < F.col("y.doc")))
@@ -274,13 +347,20 @@ def near_duplicates(documents: DataFrame, n: int = 2, threshold: float = 0.55, f
             (F.col("x.component") != F.col("y.component"))
             & (F.col("x.doc") != F.col("x.leader"))
             & (F.col("y.doc") != F.col("x.leader"))
-            & (F.least("x.size", "y.size") >= (t - 1e-9) * F.greatest("x.size", "y.size"))
-            & (F.abs(F.col("x.gap") - F.col("y.gap")) <= 1 - t + 1e-9)
+            & possible(t, F.least("x.unseen", "y.unseen"), F.col("x.size"), F.col("y.size"))
+            & (F.coalesce(F.abs(F.col("x.gap") - F.col("y.gap")), F.lit(0.0)) <= 1 - t + 1e-9)
+        )
+        .groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
+        .agg(
+            F.sum("x.keys").alias("n"), F.first("x.size").alias("size_a"), F.first("y.size").alias("size_b"), F.first(F.least("x.common", "y.common")).alias("common")
         )
-        .select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
-        .distinct()
+        # all long lists that the two share are open, so their keys are counted; pairs that also share counted
+        # grams, or are a leader and its member in some list, were settled above
+        .where(possible(t, F.col("n") + F.col("common"), F.col("size_a"), F.col("size_b")))
+        .select("a", "b")
     )
-    more = verify(crossing, sets).where(F.col("jaccard") >= t - 1e-12).select("a", "b")
+    crossing = materialize(crossing, "crossing")
+    more = verify(crossing, sets_of(crossing)).where(F.col("jaccard") >= t - 1e-12).select("a", "b")
     every = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     sizes = every.groupBy("component").agg(F.count("*").alias("group_size"))
     return every.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"), "group_size")
