@@ -325,7 +325,8 @@ def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.36, f
     def sets_of(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         sets = docs.join(small(wanted), "doc_id", "left_semi").mapInPandas(grams_of, "doc long, grams array<bigint>")
-        return materialize(sets.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("grams"))).alias("grams")), "sets")
+        # not kept: both sides of the verification reuse this one shuffle, which is already by document
+        return sets.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("grams"))).alias("grams"))
 
     verified = materialize(verify(first, sets_of(first)), "verified")
     edges = verified.where(F.col("jaccard") >= t - 1e-12).select("a", "b")
