@@ -1,10 +1,11 @@
 """Substring dedup: passages that repeat across documents, found by MinHash banding.
 
-Repeated passages begin and end in the middle of lines, so the paragraphs that
+Two passes. The first finds verbatim passages, the second edited paragraphs.
+
+Verbatim passages begin and end in the middle of lines, so the paragraphs that
 are compared are all runs of ``words`` (50) consecutive words, at every word of
 every text. A paragraph's MinHash is the least hash of its word ``shingle``-grams;
-one band of one row is enough, for verbatim paragraphs agree in it always
-(``choose_bands`` gives the bands that a lower similarity would need). Adjacent
+one band of one row is enough, for verbatim paragraphs agree in it always. Adjacent
 paragraphs mostly have their MinHash at the same place, so a text has about 23
 times fewer band entries than words, and travels as those entries, each with the
 32-bit fingerprints of its paragraphs.
@@ -13,13 +14,22 @@ Colliding paragraphs are verified: within a band, equal fingerprints stand for
 equal word sequences (Jaccard 1, edit distance 0; 96 bits in all). That relation
 is an equivalence, so classes are found by sorting, without pairs: the cost of a
 passage that thousands of documents share is linear. A word is removed where it
-lies in a paragraph that a document of smaller id has too; clusters are the
-connected components of documents through removals, named by their least id.
+lies in a paragraph that a document of smaller id has too, or in a line near one
+of a document of smaller id, from the first to the last gram that both have (what
+was put before or after stays); clusters are the connected components of
+documents through both, named by their least id.
 
 Paragraphs that meet an equal one of a smaller id in the same chunk of rows are
 settled there, and only the first of them is sent on; a hot passage thus costs a
 shard one entry per chunk, not one per document.
 
+Edited paragraphs are lines of ``words`` words or more. ``choose_bands`` gives the
+bands of ``ROWS`` MinHashes over their ``gram``-grams that meet at ``similarity``
+with probability ``recall``; lines that meet are verified by the exact Jaccard of
+their grams. Equal lines stand for each other. Every line is held against the
+first of its band before the other pairs are formed: those whose later line is
+removed whole already and whose documents are in one cluster can change nothing.
+
 Defined results
   * words are parted by ASCII white space; case and punctuation count.
   * null and empty texts, and texts of fewer than ``words`` words, lose nothing.
@@ -41,10 +51,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.llm.common import (
-    VISIBLE, VISIBLE_BYTES, long_rolling, materialize, rolling, small, text_chunks, word_hashes,
+    BASE, VISIBLE, VISIBLE_BYTES, long_rolling, materialize, mix, powers, rolling, small, text_chunks, word_hashes,
 )
 from graphloom.llm.components import components
 
+#: MinHashes of a band of edited paragraphs.
+ROWS = 2
+LINE = np.dtype([("band", "<u8"), ("print", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("n", "<u4")])
 #: Paragraphs of a shard, and of one packed group before it is sent on.
 SHARD_PARAGRAPHS, FLUSH_PARAGRAPHS = 3_000_000, 2_000_000
 
@@ -80,8 +93,135 @@ def paragraphs(texts: list[str | None], words: int, shingle: int):
     return of, at - begin[of], low[at], print_[at]
 
 
-def repeats(documents: DataFrame, words: int = 50, shingle: int = 8) -> DataFrame:
-    """(doc_id, begin, end, cluster_id): the runs of words [begin, end) that a document of smaller id has too."""
+def lines(texts: list[str | None], words: int, gram: int):
+    """Of the lines of ``words`` words or more: (text, first word, words, fingerprint), their grams end to end, and where each line's begin."""
+    parts = [(t or "").split("\n") for t in texts]
+    h, counts = word_hashes([line for p in parts for line in p], VISIBLE_BYTES, lower=False)
+    of = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
+    start = np.cumsum(counts) - counts
+    head = start[np.searchsorted(of, np.arange(len(texts)))]
+    big = np.flatnonzero(counts >= words)
+    n, length = counts[big], counts[big] - gram + 1
+    first = np.cumsum(length) - length
+    at = np.repeat(start[big] - first, length) + np.arange(length.sum())
+    power, inverse = powers(len(h))
+    prefix = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * power, out=prefix[1:])
+    print_ = mix((prefix[start[big] + n] - prefix[start[big]]) * inverse[start[big]] + n.astype(np.uint64))
+    return of[big], start[big] - head[of[big]], n, print_, rolling(h, gram)[at], first
+
+
+def bands_of(grams: np.ndarray, first: np.ndarray, bands: int) -> np.ndarray:
+    """(bands, lines): the keys of every line's bands."""
+    seeds = np.random.default_rng(1).integers(1, 1 << 63, (bands * ROWS, 2), dtype=np.uint64)
+    out = np.zeros((bands, len(first)), np.uint64)
+    for k, (salt, odd) in enumerate(seeds):
+        least = np.minimum.reduceat((grams ^ salt) * (odd | np.uint64(1)), first)
+        out[k // ROWS] = mix(out[k // ROWS] * np.uint64(BASE) + least + np.uint64(k))
+    return out
+
+
+def earliest(r: np.ndarray) -> np.ndarray:
+    """Of equal lines in a band, those of the least document: the others lose their words verbatim."""
+    r = r[np.lexsort((r["at"], r["doc"], r["print"], r["band"]))]
+    new = np.ones(len(r), bool)
+    new[1:] = (r["band"][1:] != r["band"][:-1]) | (r["print"][1:] != r["print"][:-1])
+    least = r["doc"][np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))]
+    return r[r["doc"] == least]
+
+
+MEMBER = "struct<doc: bigint, at: bigint, n: bigint, print: bigint>"
+
+
+def edited(docs: DataFrame, shards: int, words: int, gram: int, similarity: float, recall: float) -> DataFrame:
+    """(doc_id, keeper, begin, n): the ``n`` words that lines of Jaccard ``similarity`` or more share with a line of an earlier document."""
+    bands = choose_bands(similarity, recall, ROWS)
+
+    def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            texts, ids = f["text"].tolist(), f["doc_id"].to_numpy(np.int64)
+            for a, b in text_chunks(texts):
+                of, at, n, print_, grams, first = lines(texts[a:b], words, gram)
+                if not len(of):
+                    continue
+                r = np.zeros(bands * len(of), LINE)
+                r["band"] = bands_of(grams, first, bands).ravel()
+                for k, v in (("print", print_), ("doc", ids[a:b][of]), ("at", at), ("n", n)):
+                    r[k] = np.tile(v, bands)
+                r = earliest(r)
+                shard = (r["band"] >> np.uint64(20)) % np.uint64(shards)
+                order = np.argsort(shard, kind="stable")
+                cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+                some = np.flatnonzero(np.diff(cuts))
+                yield pd.DataFrame({"shard": some, "rows": [r[order[cuts[s] : cuts[s + 1]]].tobytes() for s in some]})
+
+    def gather(f: pd.DataFrame) -> pd.DataFrame:
+        r = earliest(np.concatenate([np.frombuffer(b, LINE) for b in f["rows"]]))
+        r = r[np.lexsort((r["at"], r["print"], r["doc"], r["band"]))]
+        cuts = np.append(np.flatnonzero(np.append(True, r["band"][1:] != r["band"][:-1])), len(r))
+        met = [(a, b) for a, b in zip(cuts[:-1], cuts[1:]) if r["doc"][a] != r["doc"][b - 1]]
+        fields = [r["doc"].tolist(), r["at"].tolist(), r["n"].tolist(), r["print"].view(np.int64).tolist()]
+        names = ("doc", "at", "n", "print")
+        members = [[dict(zip(names, m)) for m in zip(*(x[a:b] for x in fields))] for a, b in met]
+        return pd.DataFrame({"band": r["band"].view(np.int64)[[a for a, _ in met]], "members": pd.Series(members, dtype=object)})
+
+    found = docs.mapInPandas(index, "shard int, rows binary").groupBy("shard").applyInPandas(gather, f"band bigint, members array<{MEMBER}>")
+    buckets = materialize(found.dropDuplicates(["members"]), "bands")
+    each = buckets.select("band", F.explode("members").alias("m"))
+
+    def gram_sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            texts = f["text"].tolist()
+            for a, b in text_chunks(texts):
+                *_, print_, grams, first = lines(texts[a:b], words, gram)
+                runs = np.split(grams, first[1:]) if len(first) else []
+                yield pd.DataFrame({"print": print_.view(np.int64), "grams": [g.tobytes() for g in runs]})
+
+    holders = docs.join(each.select(F.col("m.doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = holders.mapInPandas(gram_sets, "print bigint, grams binary")
+    sets = materialize(sets.join(each.select("m.print").distinct(), "print", "left_semi").dropDuplicates(["print"]), "grams")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        """(doc_id, keeper, begin, n, at, of): what is removed of the line at ``at`` of ``of`` words."""
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                out = []
+                for p, q, x, y in zip(f["p"], f["q"], f["x"], f["y"]):
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    first, second = np.unique(x), np.unique(y)
+                    both = np.intersect1d(first, second, assume_unique=True)
+                    if len(both) >= similarity * (len(first) + len(second) - len(both)):
+                        at = np.flatnonzero(np.isin(y, both))
+                        out.append((p, q, at[0], at[-1] + gram - at[0]))
+                yield pd.DataFrame(out, columns=["p", "q", "skip", "n"])
+
+        pairs = pairs.where("a.doc < b.doc").distinct().select("a", "b", F.col("a.print").alias("p"), F.col("b.print").alias("q"))
+        x, y = (sets.select(F.col("print").alias(k), F.col("grams").alias(v)) for k, v in (("p", "x"), ("q", "y")))
+        near = pairs.select("p", "q").distinct().join(x, "p").join(y, "q").mapInPandas(run, "p bigint, q bigint, skip bigint, n bigint")
+        hits = pairs.join(near, ["p", "q"])
+        columns = {"doc_id": F.col("b.doc"), "keeper": F.col("a.doc"), "begin": F.col("b.at") + F.col("skip"), "n": F.col("n"), "at": F.col("b.at"), "of": F.col("b.n")}
+        return materialize(hits.select(*[v.alias(k) for k, v in columns.items()]).distinct(), "near")
+
+    star = verify(buckets.select(F.element_at("members", 1).alias("a"), F.explode("members").alias("b")))
+    label = components(star.select(F.col("doc_id").alias("a"), F.col("keeper").alias("b")).distinct())
+    gone = star.where(F.col("n") == F.col("of")).select(F.col("doc_id").alias("doc"), "at", "n", F.lit(True).alias("gone")).distinct()
+    known = each.select("band", "m", "m.doc", "m.at", "m.n").join(label.withColumnRenamed("node", "doc"), "doc", "left").join(gone, ["doc", "at", "n"], "left")
+    state = F.struct("m", F.coalesce("component", "doc").alias("c"), F.coalesce("gone", F.lit(False)).alias("gone"))
+    left = known.select("band", state.alias("s")).groupBy("band").agg(
+        F.collect_list("s").alias("s"), F.min("s.m.doc").alias("least"), F.countDistinct("s.c").alias("clusters")
+    )
+    left = left.where((F.col("clusters") > 1) | F.exists("s", lambda s: ~s["gone"] & (s["m"]["doc"] > F.col("least"))))
+    pairs = left.select("s", F.explode("s").alias("later")).select("later", F.explode("s").alias("early"))
+    pairs = pairs.where(~F.col("later.gone") | (F.col("later.c") != F.col("early.c")))
+    rest = verify(pairs.select(F.col("early.m").alias("a"), F.col("later.m").alias("b")))
+    return star.union(rest).select("doc_id", "keeper", "begin", "n").distinct()
+
+
+def repeats(
+    documents: DataFrame, words: int = 50, shingle: int = 8, gram: int = 5, similarity: float = 0.5, recall: float = 0.99
+) -> DataFrame:
+    """(doc_id, begin, end, cluster_id): the runs of words [begin, end) that a document of smaller id has too, verbatim or edited."""
     spark = documents.sparkSession
     docs = documents.where(F.col("doc_id").isNotNull() & (F.length("text") >= 2 * words - 1)).select(
         F.col("doc_id").cast("long").alias("doc_id"), "text"
@@ -184,7 +324,8 @@ def repeats(documents: DataFrame, words: int = 50, shingle: int = 8) -> DataFram
 
     rows = docs.mapInPandas(index, "shard int, runs binary, prints binary, settled binary")
     found = rows.groupBy("shard").applyInPandas(gather, "doc_id long, keeper long, begin long, n long")
-    found = materialize(found, "repeats")
+    near = edited(docs, shards, words, gram, similarity, recall).withColumn("n", F.col("n") - (words - 1))
+    found = materialize(found.unionByName(near), "repeats")
 
     # overlapping and adjoining runs of a document become one span
     by_begin = Window.partitionBy("doc_id").orderBy("begin", "end")

@@ -86,6 +86,41 @@ def test_substring_dedup(spark, corpus):
     assert substring_dedup.choose_bands(1.0, 0.99) == 1 and substring_dedup.choose_bands(0.8, 0.99) == 3
 
 
+def test_substring_dedup_edited(spark):
+    """Lines with a word in every few changed keep no run of 50 words; held against the Jaccard of all pairs."""
+    rng = random.Random(8)
+    rows, doc = [], 0
+    for step in (9, 13, 17, 21, 25, 30, 40):
+        line = words(rng, 120, 10**6).split()
+        for shift in range(3):
+            new = [f"x{rng.randrange(10**6)}" if k % step == shift else w for k, w in enumerate(line)]
+            rows.append((doc, f"{words(rng, 60)}\n{' '.join(new)}\nshort end"))
+            doc += 1
+    rows += [(doc, rows[3][1]), (doc + 1, f"{rows[6][1]}\n{rows[6][1]}"), (None, rows[0][1]), (doc + 2, "")]
+    docs = make(spark, [(i, t, "g", len(t)) for i, t in rows])
+    lines = []
+    for i, t in rows:
+        at = 0
+        for line in t.split("\n") if i is not None else []:
+            w = line.split()
+            if len(w) >= 50:
+                lines.append((i, at, [tuple(w[k : k + 5]) for k in range(len(w) - 4)]))
+            at += len(w)
+    want = brute_spans(rows)
+    verbatim = {(i, k) for i, at in want.items() for k in at}
+    for i, at, grams in lines:
+        for j, _, other in lines:
+            both = set(grams) & set(other)
+            if j < i and len(both) >= 0.5 * len(set(grams) | set(other)):
+                shared = [k for k, x in enumerate(grams) if x in both]
+                want.setdefault(i, set()).update(range(at + shared[0], at + shared[-1] + 5))
+    got = {}
+    for r in substring_dedup.repeats(docs).collect():
+        got.setdefault(r["doc_id"], set()).update(range(r["begin"], r["end"]))
+    assert got == want
+    assert sum(len(x) for x in want.values()) > len(verbatim) + 500
+
+
 @pytest.mark.parametrize(("n", "t"), [(5, 0.36), (2, 0.5), (1, 0.3)])
 def test_ngram_join(spark, corpus, n, t):
     sets = {}
