@@ -58,7 +58,7 @@ def reach(graph: Graph, seeds: DataFrame, direction="outbound", relations=None)
     return seen
 
 
-def shortest_paths(graph: Graph, seeds: DataFrame, targets: DataFrame, direction="outbound", relations=None, limit: int = 12) -> DataFrame:
+def shortest_paths(graph: Graph, seeds: DataFrame, targets: DataFrame, direction="outbound", relations=None) -> DataFrame:
     """(seed, id, hops, path): a path of fewest hops to each target; of equals, the least sequence of ids.
 
     Every level keeps one path per node: prefixes of a least path are least themselves.
@@ -66,11 +66,9 @@ def shortest_paths(graph: Graph, seeds: DataFrame, targets: DataFrame, direction
     adj = kept(adjacency(graph, direction, relations))
     paths = kept(seeds.select(F.col("id").alias("seed"), "id", F.array("id").alias("path")))
     seen = paths
-    for _ in range(limit):
+    while not paths.isEmpty():
         more = paths.join(adj, paths["id"] == adj["here"]).select("seed", F.col("there").alias("id"), F.concat("path", F.array("there")).alias("path"))
         paths = kept(more.groupBy("seed", "id").agg(F.min("path").alias("path")).join(seen.select("seed", "id"), ["seed", "id"], "left_anti"))
-        if paths.isEmpty():
-            break
         seen = kept(seen.unionByName(paths))
     return seen.join(targets.select("id"), "id", "left_semi").select("seed", "id", (F.size("path") - 1).alias("hops"), F.array_join("path", ">").alias("path"))
 

@@ -274,8 +274,7 @@ def descendants(g: Graph) -> DataFrame:
   FROM nation JOIN supplier ON s_nationkey = n_nationkey JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) ON l_suppkey = s_suppkey)
 SELECT seed, id, 3 AS hops, arg_min(path, a) AS path FROM p GROUP BY seed, id""")
 def shortest_path(g: Graph) -> DataFrame:
-    some = lookup.induced(g, F.col("type").isin("Workspace", "Package", "Service", "Function"))
-    return walk.shortest_paths(some, some.of_types("Workspace"), some.of_types("Function"))
+    return walk.shortest_paths(g, g.of_types("Workspace"), g.of_types("Function"))
 
 
 @query(f"""WITH {R.TURNS_SQL.strip()}, roots AS (SELECT * FROM turn_nodes WHERE n = 1)

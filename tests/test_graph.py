@@ -3,13 +3,16 @@
 import random
 
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from graphloom.functions import columns as C
 from graphloom.graph import Graph, last_write, merge_nodes
 from graphloom.operators import capabilities, diff, history, lookup, measure, quality, structure, walk
+from graphloom.plans import catalog
 from graphloom.plans.steps import Step, execute, levels
 from graphloom.sources import graph_files
+from graphloom.sources.relational import star_graph
 from graphloom.streaming import ingest
 
 NODES = "id string, type string, name string, file string, package string"
@@ -52,6 +55,32 @@ def test_walks(small):
     assert path.first()["path"] == "fn:main>method:load>fn:requireUser"
 
 
+def test_shortest_paths_of_any_length(spark):
+    g = graph(spark, [(f"fn:{k:02}", "Function") for k in range(20)], [("CALLS", f"fn:{k:02}", f"fn:{k + 1:02}") for k in range(19)] + [("CALLS", "fn:19", "fn:00")])
+    got = walk.shortest_paths(g, lookup.find(g.nodes, id="fn:00"), lookup.find(g.nodes, id="fn:19")).collect()
+    assert [(r["hops"], r["path"]) for r in got] == [(19, ">".join(f"fn:{k:02}" for k in range(20)))]
+
+
+def test_shortest_path_over_the_whole_graph(spark):
+    """The registered query against a search of every node and edge of the star graph."""
+    g = star_graph(spark, str(DATA))
+    kinds, ahead = {r["id"]: r["type"] for r in g.nodes.collect()}, {}
+    for e in g.edges.collect():
+        ahead.setdefault(e["src"], set()).add(e["dst"])
+    want = {}
+    for seed in (i for i, t in kinds.items() if t == "Workspace"):
+        seen = level = {seed: (seed,)}
+        while level:
+            more = {}
+            for path in level.values():
+                for there in ahead.get(path[-1], set()) - seen.keys():
+                    more[there] = min(more.get(there, (*path, there)), (*path, there))
+            seen, level = seen | more, more
+        want |= {(seed, i): p for i, p in seen.items() if kinds[i] == "Function"}
+    got = {(r["seed"], r["id"]): (r["hops"], r["path"]) for r in catalog.QUERIES["shortest_path"](spark, str(DATA)).collect()}
+    assert got == {k: (len(p) - 1, ">".join(p)) for k, p in want.items()}
+
+
 def test_empty_relations_match_nothing(small):
     assert small.by_relation([]).count() == 0
     assert small.by_relation(None).count() == 5
