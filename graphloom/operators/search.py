@@ -76,13 +76,10 @@ def feature_buckets(entries_: DataFrame, k: int = 240) -> DataFrame:
     return g.orderBy(F.desc("members"), "feature").limit(k)
 
 
-def related_by_terms(posts: DataFrame, least: int = 2, common: int = 400) -> DataFrame:
-    """(a, b, shared): entries that share terms; terms of more than ``common`` entries tell nothing apart and
-    would make the self join quadratic, so they are left out."""
-    n = F.count("*").over(Window.partitionBy("term"))
-    use = posts.withColumn("n", n).where(F.col("n") <= common).select("term", "id")
-    pairs = use.select("term", F.col("id").alias("a")).join(use.select("term", F.col("id").alias("b")), "term").where(F.col("a") < F.col("b"))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+def related_by_terms(posts: DataFrame) -> DataFrame:
+    """(a, b, shared): entries that share a term or more, over all terms; a term of n entries makes n * (n - 1) / 2 pairs."""
+    pairs = posts.select("term", F.col("id").alias("a")).join(posts.select("term", F.col("id").alias("b")), "term").where(F.col("a") < F.col("b"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 def intents(entries_: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import columns as C
 from graphloom.graph import Graph, last_write, merge_nodes
-from graphloom.operators import capabilities, diff, history, lookup, measure, quality, structure, walk
+from graphloom.operators import capabilities, diff, history, lookup, measure, quality, search, structure, walk
 from graphloom.plans import catalog
 from graphloom.plans.steps import Step, execute, levels
 from graphloom.sources import graph_files
@@ -81,6 +81,15 @@ def test_shortest_path_over_the_whole_graph(spark):
     assert got == {k: (len(p) - 1, ">".join(p)) for k, p in want.items()}
 
 
+def test_related_by_terms(spark):
+    """Terms of more than 400 entries count, and so do pairs with one term; held against all pairs."""
+    rng = random.Random(5)
+    terms = {i: {"common", f"t{rng.randrange(200)}", f"t{rng.randrange(200)}"} if i < 410 else {f"t{rng.randrange(200)}"} for i in range(430)}
+    posts = spark.createDataFrame([(t, i) for i, ts in terms.items() for t in ts], "term string, id long")
+    got = {(r["a"], r["b"]): r["shared"] for r in search.related_by_terms(posts).collect()}
+    assert got == {(a, b): len(terms[a] & terms[b]) for a in terms for b in terms if a < b and terms[a] & terms[b]}
+
+
 def test_empty_relations_match_nothing(small):
     assert small.by_relation([]).count() == 0
     assert small.by_relation(None).count() == 5
