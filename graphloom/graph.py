@@ -12,6 +12,8 @@ EDGE_COLUMNS = ("type", "src", "dst")
 
 #: What a dependency is made of, for the walk presets.
 DEPENDENCY = ("DEPENDS_ON", "IMPORTS", "USES", "CALLS", "CREATES", "INJECTS", "REFERENCES", "CONFIGURES", "REGISTERED_IN", "PROVIDES", "CONSUMES")
+#: What a semantic expansion walks along, in both directions.
+EXPANSION = ("CALLS", "HANDLES", "READS", "WRITES", "IMPORTS", "EXPORTS", "CONFIGURES", "INJECTS", "CONTAINS", "DEPENDS_ON", "USES", "REFERENCES", "AUTHORIZES", "REGISTERED_IN", "PROVIDES", "MOUNTS", "EXPOSES")
 USAGE = ("CALLS", "HANDLES", "USES", "REFERENCES", "INJECTS", "AUTHORIZES")
 OWNERSHIP = ("CONTAINS", "PROVIDES", "REGISTERED_IN", "HANDLES", "DECLARES", "BELONGS_TO")
 

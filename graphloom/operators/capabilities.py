@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.columns import blast_radius
-from graphloom.graph import OWNERSHIP, USAGE, Graph
+from graphloom.graph import EXPANSION, OWNERSHIP, USAGE, Graph
 from graphloom.operators import lookup, measure, quality, structure, walk
 
 REGISTRY: dict[str, Callable[..., DataFrame]] = {}
@@ -39,8 +39,7 @@ def architecture_summary(graph: Graph) -> DataFrame:
     return measure.count_by(graph.nodes.withColumn("concern", measure.concern()), "concern")
 
 
-@capability("ImpactAnalysis")
-def impact(graph: Graph, seeds: DataFrame, mode: str = "local") -> DataFrame:
+def both_ways(graph: Graph, seeds: DataFrame, mode: str) -> DataFrame:
     """(seed, id, depth, side): what depends on each seed and what it depends on, to the depth of a mode."""
     depth, _ = IMPACT[mode]
     into = walk.dependents(graph, seeds, depth).withColumn("side", F.lit("dependent"))
@@ -48,6 +47,13 @@ def impact(graph: Graph, seeds: DataFrame, mode: str = "local") -> DataFrame:
     return into.union(out).where(F.col("depth") > 0)
 
 
+@capability("ImpactAnalysis")
+def impact(graph: Graph, seeds: DataFrame, mode: str = "local") -> DataFrame:
+    """(seed, id, depth, side): what depends on each seed, what it depends on, and its semantic expansion, to the depth of a mode."""
+    around = walk.walk(graph, seeds, "both", IMPACT[mode][0], EXPANSION).withColumn("side", F.lit("expansion"))
+    return both_ways(graph, seeds, mode).union(around.where(F.col("depth") > 0))
+
+
 @capability("BlastRadius")
 def blast(graph: Graph, seeds: DataFrame, mode: str = "local") -> DataFrame:
     sizes = impact(graph, seeds, mode).groupBy("seed").agg(F.countDistinct("id").alias("affected"))
@@ -99,7 +105,7 @@ def call_hierarchy(graph: Graph, seeds: DataFrame, depth: int = 4) -> DataFrame:
 
 @capability("DependencyAnalysis")
 def dependency_analysis(graph: Graph, seeds: DataFrame | None = None) -> DataFrame:
-    return impact(graph, graph.of_types("Package", "Module") if seeds is None else seeds, "feature")
+    return both_ways(graph, graph.of_types("Package", "Module") if seeds is None else seeds, "feature")
 
 
 @capability("DependencyHierarchy")
@@ -179,6 +185,6 @@ def evidence_pack(graph: Graph, phrase: str, nodes: int = 20) -> DataFrame:
 def implementation_plan(graph: Graph, phrase: str) -> DataFrame:
     """(stage, id): targets found by search, their dependents, dependencies and owners."""
     targets = evidence_pack(graph, phrase).select("id")
-    near = impact(graph, targets, "local").select("side", "id").distinct()
+    near = both_ways(graph, targets, "local").select("side", "id").distinct()
     owners = ownership(graph, targets).select(F.lit("owner").alias("side"), "id").distinct()
     return targets.select(F.lit("target").alias("side"), "id").union(near).union(owners).withColumnRenamed("side", "stage")

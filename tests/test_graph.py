@@ -222,6 +222,31 @@ def test_follow(spark, tmp_path):
     assert spark.read.parquet(dst).count() == 20
 
 
+@pytest.mark.parametrize(("mode", "depth"), [("direct", 1), ("local", 2), ("blast-radius", 5)])
+def test_impact_expands(spark, mode, depth):
+    """The expansion goes both ways along its relations, and the blast radius counts it."""
+    kinds = ("HANDLES", "CONTAINS", "MOUNTS", "PROVIDES", "EXPOSES", "DECLARES")
+    rng = random.Random(3)
+    edges = sorted({(rng.choice(kinds), f"n:{rng.randrange(25):02}", f"n:{rng.randrange(25):02}") for _ in range(30)})
+    g = graph(spark, [(f"n:{k:02}", "Function") for k in range(25)], edges)
+    near = {}
+    for kind, a, b in edges:
+        if kind != "DECLARES":
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = set()
+    for seed in (f"n:{k:02}" for k in range(25)):
+        seen = level = {seed}
+        for step in range(1, depth + 1):
+            level = {b for a in level for b in near.get(a, ())} - seen
+            seen = seen | level
+            want |= {(seed, i, step) for i in level}
+    got = capabilities.run("ImpactAnalysis", g, seeds=g.nodes, mode=mode).where("side = 'expansion'").collect()
+    assert {(r["seed"], r["id"], r["depth"]) for r in got} == want and len(got) == len(want)
+    affected = {r["seed"]: r["affected"] for r in capabilities.run("BlastRadius", g, seeds=g.nodes, mode=mode).collect()}
+    assert affected == {f"n:{k:02}": len({i for s, i, _ in want if s == f"n:{k:02}"}) for k in range(25)}
+
+
 def test_capabilities(spark, small):
     assert ids(capabilities.run("FindDeadCode", small)) == ["fn:main"]
     assert len(capabilities.REGISTRY) >= 26
