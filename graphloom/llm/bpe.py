@@ -8,24 +8,29 @@ table and contracts, in each word, the leftmost pair of the lowest rank, until
 no pair of the word is in the table. Decoding joins tokens with the vocabulary
 and aggregates their bytes in order.
 
+A merged token has a higher rank than its parts, so a contraction makes no new
+pair of its own rank: the lowest pair is contracted again and again, leftmost
+first, until it is gone. Words of many bytes therefore take all of its uses in
+one round (``ENCODE_LONG``; of overlapping ones every other, from the left) and
+keep only each row's latest state: as many rounds as distinct merges, and rows
+as bytes, whatever the word's length.
+
 Texts are whole; pieces repeat heavily, so a partition's distinct pieces are
-contracted once and texts are put together from them. There is no shuffle, and
-the merge table (the vocabulary's size) is all that is shared.
+contracted once and texts are put together from them. There is no shuffle; the merge table (the vocabulary's
+size) is all that is shared, and what a worker remembers is bounded.
 
 Defined results
   * null text -> null tokens, null count, null decoded text; empty text -> no tokens.
-  * pieces of more than ``LONG`` bytes are contracted by an equivalent heap loop
-    (the recursion has as many rounds as a piece has merges).
   * decoding null tokens gives null; a null or unknown token id is an error.
-  * repeated rows are kept; an empty table gives an empty table; columns other
-    than those named are ignored, whatever their names.
+  * repeated rows are kept; an empty table gives an empty table; very long texts
+    and words are whole; columns other than those named are ignored, whatever
+    their names.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,28 +45,47 @@ from graphloom.llm.segments import SegmentCoder
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Bytes from which a piece takes the heap loop.
-LONG = 200
-#: Texts of about so many characters make one DuckDB batch.
-BATCH_CHARS = 6_000_000
+#: Bytes from which a word takes all uses of its lowest pair in one round.
+LONG = 64
+#: Texts of about so many characters make one batch; words, bytes of words, and tokens of one query.
+BATCH_CHARS, QUERY_WORDS, QUERY_BYTES, QUERY_TOKENS = 2_500_000, 40_000, 1_000_000, 500_000
+#: Pieces, and characters of pieces, that a worker remembers before it starts anew.
+KNOWN, KNOWN_BYTES = 300_000, 10_000_000
 
 ENCODE = """
-WITH RECURSIVE s(round, w, g, t) AS (
-  SELECT 0, w, g, t FROM start_rows
+WITH RECURSIVE s(round, w, p, t) AS (
+  SELECT 0, w, g + w, t FROM start_rows
   UNION ALL
-  (WITH cur AS (
-     SELECT round, w, g, t,
-            CASE WHEN lead(w) OVER (ORDER BY g) = w THEN lead(t) OVER (ORDER BY g) END AS next_t,
-            CASE WHEN lag(w) OVER (ORDER BY g) = w THEN lag(g) OVER (ORDER BY g) END AS before
-     FROM s),
-   best AS (
-     SELECT cur.w, min((m.merged::BIGINT << 36) + cur.g) AS k
-     FROM cur JOIN merges m ON cur.t = m.l AND cur.next_t = m.r GROUP BY cur.w)
-   SELECT round + 1, cur.w, g, CASE WHEN g = (k & 68719476735) THEN (k >> 36)::INTEGER ELSE t END
-   FROM cur JOIN best ON cur.w = best.w
-   WHERE before IS DISTINCT FROM (k & 68719476735))),
+  (WITH best AS (
+     SELECT a.w, min((m.merged::BIGINT << 36) + a.p) AS k
+     FROM s a JOIN s b ON b.p = a.p + 1 JOIN merges m ON m.pair = (a.t::BIGINT << 31) + b.t GROUP BY a.w),
+   cut AS (SELECT w, k & 68719476735 AS place, (k >> 36)::INTEGER AS merged FROM best)
+   SELECT s.round + 1, s.w, s.p - (s.p > place)::BIGINT, CASE WHEN s.p = place THEN merged ELSE s.t END
+   FROM s JOIN cut ON s.w = cut.w WHERE s.p <> place + 1)),
 last AS (SELECT w, max(round) AS round FROM s GROUP BY w)
-SELECT s.w, s.t FROM s JOIN last USING (w, round) ORDER BY s.w, s.g
+SELECT s.w, s.t FROM s JOIN last USING (w, round) ORDER BY s.w, s.p
+"""
+
+ENCODE_LONG = """
+WITH RECURSIVE s(g, w, after, t, round) USING KEY (g) AS (
+  SELECT g, w, CASE WHEN lead(w) OVER (ORDER BY g) = w THEN g + 1 END, t, 0 FROM start_rows
+  UNION
+  (WITH live AS (SELECT * FROM s WHERE t >= 0),
+   near AS (
+     SELECT a.g, a.w, b.g AS h, b.after, m.merged, a.t = b.t AS twins
+     FROM live a JOIN live b ON a.after = b.g JOIN merges m ON m.pair = (a.t::BIGINT << 31) + b.t),
+   least AS (SELECT w, min(merged) AS merged FROM near GROUP BY w),
+   hit AS (SELECT near.* FROM near JOIN least USING (w, merged)),
+   opens AS (SELECT *, lag(h) OVER (ORDER BY g) IS DISTINCT FROM g AS first FROM hit WHERE twins),
+   runs AS (SELECT *, sum(first::INTEGER) OVER (ORDER BY g) AS run FROM opens),
+   used AS (
+     SELECT g, h, after, merged FROM hit WHERE NOT twins
+     UNION ALL
+     SELECT g, h, after, merged FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY g) AS n FROM runs) WHERE n % 2 = 1),
+   change AS (SELECT g, after, merged FROM used UNION ALL SELECT h, NULL, -1 FROM used)
+   SELECT live.g, live.w, CASE WHEN c.g IS NULL THEN live.after ELSE c.after END, coalesce(c.merged, live.t), live.round + 1
+   FROM live JOIN least USING (w) LEFT JOIN change c ON live.g = c.g))
+SELECT w, t FROM s WHERE t >= 0 ORDER BY g
 """
 
 DECODE = """
@@ -112,85 +136,79 @@ class Bpe:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
-        table = pa.table({"l": vocabulary.left, "r": vocabulary.right, "merged": vocabulary.merged})
-        self.db.register("merges_", table)
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "120MB"})
+        pairs = (vocabulary.left.astype(np.int64) << 31) + vocabulary.right
+        self.db.register("merges_", pa.table({"pair": pairs, "merged": vocabulary.merged}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges_")
         hexes = [t.hex() for t in vocabulary.tokens]
         self.db.register("vocabulary_", pa.table({"id": np.arange(len(hexes), dtype=np.int32), "hex": hexes}))
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary_")
+        self.db.unregister("merges_")
+        self.db.unregister("vocabulary_")
         self.split = regex.compile(PATTERN).findall
         self.pieces: dict[str, bytes] = {}
-        self.rank = None
+        self.size = 0
         self.coder = SegmentCoder(self.encode_segments)
 
-    def contract(self, words: list[bytes]) -> list[bytes]:
+    def contract(self, words: list[bytes], query: str) -> list[bytes]:
         """Token ids (32-bit) of some words, by the recursive query."""
-        if not words:
-            return []
         length = np.array([len(w) for w in words], np.int64)
         flat = self.v.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         rows = pa.table(
             {"w": np.repeat(np.arange(len(words), dtype=np.int32), length), "g": np.arange(len(flat), dtype=np.int64), "t": flat}
         )
         self.db.register("start_rows", rows)
-        got = self.db.execute(ENCODE).fetchnumpy()
+        got = self.db.execute(query).fetchnumpy()
         self.db.unregister("start_rows")
         cuts = (4 * np.searchsorted(np.asarray(got["w"]), np.arange(len(words) + 1))).tolist()
         ids = np.asarray(got["t"], np.int32).tobytes()
         return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def contract_long(self, word: bytes) -> bytes:
-        """The same for one long word: a heap of pairs over a linked list."""
-        if self.rank is None:
-            self.rank = {(int(a), int(b)): int(c) for a, b, c in zip(self.v.left, self.v.right, self.v.merged)}
-        ids = self.v.byte_ids[np.frombuffer(word, np.uint8)].tolist()
-        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        heap = [(m, i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (m := self.rank.get((ids[i], ids[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            merged, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j >= len(ids) or ids[j] != b:
-                continue
-            ids[i], ids[j] = merged, -1
-            after[i] = after[j]
-            if after[i] < len(ids):
-                before[after[i]] = i
-            for x in (before[i], i):
-                if x >= 0 and after[x] < len(ids) and (m := self.rank.get((ids[x], ids[after[x]]))) is not None:
-                    heapq.heappush(heap, (m, x, ids[x], ids[after[x]]))
-        return np.array([x for x in ids if x >= 0], np.int32).tobytes()
-
-    def encode_segments(self, segments: list[str]) -> Iterator[bytes]:
-        if len(self.pieces) > 500_000:
+    def contract_all(self, words: list[bytes]) -> Iterator[bytes]:
+        """The same for any words, in order, in queries of bounded size."""
+        kind = [len(w) > LONG for w in words]
+        at = size = 0
+        for k in range(len(words) + 1):
+            if k > at and (k == len(words) or kind[k] != kind[at] or k - at == QUERY_WORDS or size + len(words[k]) > QUERY_BYTES):
+                yield from self.contract(words[at:k], ENCODE_LONG if kind[at] else ENCODE)
+                at, size = k, 0
+            if k < len(words):
+                size += len(words[k])
+
+    def encode_segments(self, plain: list[str], others: list[str]) -> Iterator[bytes]:
+        if len(self.pieces) > KNOWN or self.size > KNOWN_BYTES:
             self.pieces.clear()
-        split = [self.split(s) for s in segments]
-        new = list({p for s in split for p in s} - self.pieces.keys())
-        raw = [p.encode() for p in new]
-        short = [k for k, b in enumerate(raw) if len(b) <= LONG]
-        for at in range(0, len(short), 60_000):
-            some = short[at : at + 60_000]
-            for k, ids in zip(some, self.contract([raw[k] for k in some])):
-                self.pieces[new[k]] = ids
-        for k, b in enumerate(raw):
-            if len(b) > LONG:
-                self.pieces[new[k]] = self.contract_long(b)
-        for s in split:
+            self.size = 0
+        # plain segments begin with their only space, so they can be split as one text
+        flat = self.split("".join(plain))
+        starts = [k for k, p in enumerate(flat) if p[0] == " "]
+        rest = [self.split(s) for s in others]
+        every = {*flat}.union(*rest)
+        new = list(every - self.pieces.keys())
+        new.sort(key=len)
+        self.size += sum(map(len, new))
+        self.pieces.update(zip(new, self.contract_all([p.encode() for p in new])))
+        for a, b in zip(starts, [*starts[1:], len(flat)]):
+            yield self.pieces[flat[a]] if b == a + 1 else b"".join(map(self.pieces.__getitem__, flat[a:b]))
+        for s in rest:
             yield b"".join(map(self.pieces.__getitem__, s))
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
-        """The texts of token ids that lie end to end."""
+        """The texts of token ids that lie end to end, in queries of bounded size."""
         if len(ids) and (ids.min() < 0 or ids.max() >= len(self.v.tokens)):
             raise ValueError("a token id is not in the vocabulary")
-        texts = [""] * len(counts)
-        rows = pa.table(
-            {"d": np.repeat(np.arange(len(counts), dtype=np.int32), counts), "p": np.arange(len(ids), dtype=np.int64), "t": ids}
-        )
-        self.db.register("token_rows", rows)
-        for d, hexed in self.db.execute(DECODE).fetchall():
-            texts[d] = bytes.fromhex(hexed).decode("utf-8", "replace")
-        self.db.unregister("token_rows")
+        texts, ends = [""] * len(counts), np.cumsum(counts)
+        a = 0
+        while a < len(counts):
+            first = int(ends[a] - counts[a])
+            b = max(a + 1, int(np.searchsorted(ends, first + QUERY_TOKENS, side="right")))
+            token = ids[first : ends[b - 1]]
+            row = np.repeat(np.arange(a, b, dtype=np.int32), counts[a:b])
+            self.db.register("token_rows", pa.table({"d": row, "p": np.arange(len(token), dtype=np.int64), "t": token}))
+            for d, hexed in self.db.execute(DECODE).fetchall():
+                texts[d] = bytes.fromhex(hexed).decode("utf-8", "replace")
+            self.db.unregister("token_rows")
+            a = b
         return texts
 
 

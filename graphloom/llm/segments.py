@@ -14,17 +14,22 @@ from collections.abc import Callable, Iterable
 import numpy as np
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Segments a worker remembers before it starts anew.
-CACHE_SEGMENTS = 500_000
+#: Segments, and characters of segments, a worker remembers before it starts anew.
+CACHE_SEGMENTS, CACHE_CHARS = 400_000, 12_000_000
 
 
 class SegmentCoder:
-    """texts -> token ids, with ``encode(segments) -> 32-bit ids of each, as bytes`` for what is new."""
+    """texts -> token ids, with ``encode`` for what is new.
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]]):
+    It gets segments that begin with their only white space, and others, and gives
+    the 32-bit ids of each in order, as bytes.
+    """
+
+    def __init__(self, encode: Callable[[list[str], list[str]], Iterable[bytes]]):
         self.encode = encode
         self.after_space: dict[str, bytes | None] = {}
         self.whole: dict[str, bytes] = {}
+        self.chars = 0
 
     def _learn(self, space: set[str], whole: set[str]) -> None:
         plain = []
@@ -35,7 +40,8 @@ class SegmentCoder:
             else:
                 plain.append(s)
         rest = list(whole)
-        ids = iter(self.encode([" " + s for s in plain] + rest))
+        self.chars += sum(map(len, space)) + sum(map(len, whole))
+        ids = iter(self.encode([" " + s for s in plain], rest))
         for s in plain:
             self.after_space[s] = next(ids)
         for s in rest:
@@ -43,9 +49,10 @@ class SegmentCoder:
 
     def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts, end to end, and how many each text has."""
-        if len(self.after_space) + len(self.whole) > CACHE_SEGMENTS:
+        if len(self.after_space) + len(self.whole) > CACHE_SEGMENTS or self.chars > CACHE_CHARS:
             self.after_space.clear()
             self.whole.clear()
+            self.chars = 0
         parts = [t.split(" ") for t in texts]
         new: set[str] = set()
         heads: set[str] = set()

@@ -185,7 +185,7 @@ def test_bit_parallel_lcs():
         assert item.answered(b) == pytest.approx(lcs(b, a[-5:]) / len(a[-5:]))
 
 
-ODD = ["", " ", "  a", "a  b", "a \n b", "it's don't  we'll", "½ x² ٣ 日本語", "\x1c a \x1cb", "a b  c", "x" * 700 + " y", "🎉 ok🎉\t\tq \r\n z", "é ño ", "0123456789" * 40]
+ODD = ["", " ", "  a", "a  b", "a \n b", "it's don't  we'll", "½ x² ٣ 日本語", "\x1c a \x1cb", "a b  c", "x" * 700 + " y", "🎉 ok🎉\t\tq \r\n z", "é ño ", "0123456789" * 40, "a" * 301, "ab" * 999 + "a", "é" * 333, "etaoin" * 700 + "x"]
 
 
 def test_bpe_and_frames(spark, corpus, tmp_path):
