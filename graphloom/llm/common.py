@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 def work_dir(spark: SparkSession) -> str:
     """A new folder in the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset
-    (tests, a laptop) a temporary folder is chosen and set.
+    ``spark.checkpoint.dir`` is read from the session; only where it is unset on
+    a single machine (tests, a laptop) a temporary folder is chosen and set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         try:
             spark.conf.set("spark.checkpoint.dir", root)
@@ -64,7 +66,7 @@ VISIBLE_BYTES = np.ones(256, bool)
 VISIBLE_BYTES[[*b" \t\n\r\v\f"]] = False
 VISIBLE = re.compile(r"[^ \t\n\r\v\f]+")
 #: Characters hashed at a time.
-CHUNK_CHARS = 3_000_000
+CHUNK_CHARS = 1_000_000
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,11 +151,31 @@ def need(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"columns {missing} are missing; there are {df.columns}")
 
 
-#: Rows of the small side up to which a join broadcasts it; beyond, both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` with a broadcast hint if it is known to be small; else as it is."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+#: Bytes of the small side up to which a join broadcasts it; beyond, both sides are shuffled.
+BROADCAST_BYTES = 64 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if its rows were measured to be small; else as it is.
+
+    ``df`` is evaluated for its size, so it should be a written table or cheap.
+    """
+    width = F.lit(0)
+    for field in df.schema.fields:
+        kind = field.dataType.typeName()
+        if kind in ("string", "binary"):
+            width += F.coalesce(F.octet_length(field.name), F.lit(0)) + 16
+        elif kind == "array":
+            width += F.greatest(F.size(field.name), F.lit(0)) * 24 + 16
+        else:
+            width += 8
+    size = df.agg(F.sum((width + 16).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df

@@ -16,17 +16,21 @@ lists, of which groups of copies produce hundreds of equal ones, are merged. A
 pair is a candidate only if the prefix grams it shares (those counted, and at
 most those that either side has in long lists) can make up the overlap that its
 sizes demand. Each long list is first verified against one leader; lists whose
-members the verified pairs already connect are done. In the others every pair
-from different groups is verified, except where that bound, or the triangle
-inequality of the Jaccard distance through the leader, excludes it. Verification
-is exact, on the full sets; the groups are the connected components that all
-pairs would give. No candidate is dropped that could be similar enough.
+members the verified pairs already connect are done. What the others hold is
+compared whole: the documents of lists that hang together are dealt into buckets,
+and a task counts all overlaps of two buckets at once, so that a gram set travels
+once for each bucket it is held against, and never with a pair.
+
+Verification is exact, on the full sets; the groups are the connected components
+that all pairs would give. No candidate is dropped that could be similar enough.
+A task returns links to one member of each connected part, not every pair of it.
 
 Defined results
   * null or empty text, and texts without a word, are in no group; a text of
     fewer than n words is one gram.
-  * rows of one id are one document (the set of all their grams): they stay or go
-    together; a null id is in no group and stays.
+  * every row's text is compared by itself; rows of one id are linked with each
+    other, so they stay or go together; a null id is in no group and stays.
+  * ids are whole numbers; other types are refused.
   * of a group the least id stays. An empty table gives an empty table; texts are
     read whole; other columns are carried by ``keep_one`` and otherwise ignored.
 """
@@ -41,13 +45,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import BASE, drop_table, materialize, mix, rolling, small, text_chunks, word_hashes
+from graphloom.llm.common import BASE, drop_table, fresh, materialize, mix, rolling, small, text_chunks, word_hashes
 from graphloom.llm.components import components
 
 #: Index rows of a shard, about; and of one packed row group before it is sent on.
-SHARD_ROWS, FLUSH_ROWS = 1_500_000, 1_500_000
+SHARD_ROWS, FLUSH_ROWS = 800_000, 800_000
 #: Documents of a rare gram up to which its pairs are counted one by one.
 FEW = 8
+#: Documents, and grams, of a bucket; documents of a leader that meet it in one task; grams a task gets, about.
+BUCKET_DOCS, BUCKET_GRAMS, SLICE_DOCS, TASK_GRAMS = 2048, 1_500_000, 256, 3_000_000
+#: Uses of a gram on both sides from which its overlaps are counted by a matrix product.
+DENSE = 256
 
 
 def gram_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -274,20 +282,167 @@ def possible(t: float, shared, size_a, size_b):
     return alike & (shared >= needed - 1e-6)
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, jaccard) of pairs (a, b): exact, on the whole sets."""
-    right = pairs.join(sets.select(F.col("doc").alias("b"), F.col("grams").alias("gb")), "b")
-    both = right.join(sets.select(F.col("doc").alias("a"), F.col("grams").alias("ga")), "a")
-    shared = F.size(F.array_intersect("ga", "gb"))
-    return both.select("a", "b", (shared / (F.size("ga") + F.size("gb") - shared)).alias("jaccard"))
+def sent(docs: DataFrame, goes: DataFrame, n: int) -> DataFrame:
+    """(task, part, side, doc, grams): the gram set of each document of ``goes`` (doc, task, part, side), once a row of it."""
+    places = materialize(goes.groupBy("doc").agg(F.collect_set(F.struct("task", "part", "side")).alias("places")), "places")
+    rows = docs.join(small(places), docs["doc_id"] == places["doc"]).select("doc", "text", "places")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            texts, ids, places = f["text"].tolist(), f["doc"].tolist(), f["places"].tolist()
+            for a, b in text_chunks(texts):
+                grams, sizes = gram_sets(texts[a:b], n)
+                ends = np.cumsum(sizes)
+                rows = [
+                    (p["task"], p["part"], p["side"], ids[k], grams[end - size : end].tobytes())
+                    for k, end, size in zip(range(a, b), ends, sizes)
+                    for p in places[k]
+                ]
+                yield pd.DataFrame(rows, columns=["task", "part", "side", "doc", "grams"])
+
+    return rows.mapInPandas(run, "task int, part long, side int, doc long, grams binary")
+
+
+def tasks_of(weight: int, spark) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(weight / TASK_GRAMS))
+
+
+def verify(docs: DataFrame, pairs: DataFrame, sizes: float, n: int) -> DataFrame:
+    """(hub, other, jaccard) of pairs (hub, other): exact, on the whole sets.
+
+    The others of a hub come to it, in slices of bounded size; ``sizes`` is the mean size of a set.
+    """
+    tasks = tasks_of(int(pairs.count() * sizes), pairs.sparkSession)
+    many = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SLICE_DOCS).alias("slices"))
+    part = F.xxhash64("hub", F.pmod(F.xxhash64("other"), F.col("slices")))
+    placed = pairs.join(many, "hub").select("hub", "other", part.alias("part")).withColumn("task", F.pmod("part", F.lit(tasks)).cast("int"))
+    placed = materialize(placed, "placed")
+    goes = placed.select(F.col("hub").alias("doc"), "task", "part", F.lit(0).alias("side")).union(placed.select("other", "task", "part", F.lit(1)))
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        f = f.drop_duplicates(["part", "side", "doc"]).sort_values(["part", "side", "doc"])
+        for _, g in f.groupby("part", sort=False):
+            sets = [np.frombuffer(x, np.uint64) for x in g["grams"]]
+            ids, side = g["doc"].to_numpy(), g["side"].to_numpy()
+            heads, rest = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if not len(heads) or not len(rest):
+                continue
+            every = np.concatenate([sets[k] for k in rest])
+            size = np.array([len(sets[k]) for k in rest])
+            for k in heads:
+                hub = sets[k]
+                at = np.minimum(np.searchsorted(hub, every), len(hub) - 1)
+                both = np.add.reduceat((hub[at] == every).astype(np.int64), np.cumsum(size) - size)
+                out.append(pd.DataFrame({"hub": ids[k], "other": ids[rest], "jaccard": both / (len(hub) + size - both)}))
+        return pd.concat(out) if out else pd.DataFrame({"hub": [], "other": [], "jaccard": []})
+
+    return sent(docs, goes.distinct(), n).groupBy("task").applyInPandas(run, "hub long, other long, jaccard double")
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many grams each set on the left shares with each on the right."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    grams = np.concatenate([*left, *right])
+    row = np.concatenate([np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (left, right)])
+    first = sum(map(len, left))
+    kinds, at = np.unique(grams, return_inverse=True)
+    a, b = np.bincount(at[:first], minlength=len(kinds)), np.bincount(at[first:], minlength=len(kinds))
+    hot = np.flatnonzero(a * b > DENSE)
+    place = np.full(len(kinds), -1, np.int64)
+    place[hot] = np.arange(len(hot))
+    col = place[at]
+    for lo in range(0, len(hot), 1024):
+        x, y = (np.zeros((len(s), 1024), np.float32) for s in (left, right))
+        mine = np.flatnonzero((col >= lo) & (col < lo + 1024))
+        l, r = mine[mine < first], mine[mine >= first]
+        x[row[l], col[l] - lo] = 1
+        y[row[r], col[r] - lo] = 1
+        out += x @ y.T
+    few = (a * b > 0) & (a * b <= DENSE)
+    l, r = np.flatnonzero(few[at[:first]]), first + np.flatnonzero(few[at[first:]])
+    r = r[np.argsort(at[r], kind="stable")]
+    begin, count = np.searchsorted(at[r], at[l]), b[at[l]]
+    block = np.cumsum(count) // 4_000_000
+    for k in range(int(block[-1]) + 1 if len(block) else 0):
+        mine = slice(*np.searchsorted(block, [k, k + 1]))
+        c = count[mine]
+        x = np.repeat(row[l[mine]], c)
+        y = row[r[np.repeat(begin[mine] - np.cumsum(c) + c, c) + np.arange(c.sum())]]
+        out += np.bincount(x * len(right) + y, minlength=out.size).reshape(out.shape)
+    return out
+
+
+def least_linked(near: np.ndarray) -> np.ndarray:
+    """For each node of a symmetric matrix of links, the least node it is connected with."""
+    label = np.arange(len(near))
+    while True:
+        new = label.copy()
+        for k in range(0, len(near), 512):
+            best = np.where(near[k : k + 512], label[None], len(near)).min(axis=1, initial=len(near))
+            new[k : k + 512] = np.minimum(new[k : k + 512], best)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def compare_buckets(docs: DataFrame, members: DataFrame, t: float, n: int) -> DataFrame:
+    """(a, b) links that connect whatever is similar among the ``members`` (doc, size, cluster) of a cluster."""
+    spark = docs.sparkSession
+    load = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").alias("grams"))
+    load = load.select("cluster", F.ceil(F.greatest(F.col("n") / BUCKET_DOCS, F.col("grams") / BUCKET_GRAMS)).alias("buckets"))
+    dealt = members.join(load, "cluster").withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("buckets")))
+    weight = dealt.agg(F.sum(F.col("size") * F.col("buckets"))).first()[0] or 0
+    tasks = tasks_of(weight, spark)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("buckets") - 1)))
+    part = F.xxhash64("cluster", F.least("mine", "other"), F.greatest("mine", "other"))
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    goes = materialize(dealt.select("doc", part.alias("part"), side.alias("side")).withColumn("task", F.pmod("part", F.lit(tasks)).cast("int")), "goes")
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        f = f.drop_duplicates(["part", "side", "doc"]).sort_values(["part", "side", "doc"])
+        for _, g in f.groupby("part", sort=False):
+            sets = [np.frombuffer(x, np.uint64) for x in g["grams"]]
+            ids, cut = g["doc"].to_numpy(), int((g["side"] == 1).sum())
+            size = np.array([len(x) for x in sets], np.float64)
+            near = np.zeros((len(sets), len(sets)), bool)
+            if g["side"].iloc[0] == 0:
+                both = overlaps(sets, sets)
+                near = both >= t * (size[:, None] + size[None] - both) - 1e-6
+            elif 0 < cut < len(sets):
+                both = overlaps(sets[:cut], sets[cut:])
+                near[:cut, cut:] = both >= t * (size[:cut, None] + size[None, cut:] - both) - 1e-6
+                near |= near.T
+            label = least_linked(near)
+            linked = label != np.arange(len(label))
+            out.append(pd.DataFrame({"a": ids[label[linked]], "b": ids[linked]}))
+        return pd.concat(out)
+
+    return sent(docs, goes, n).groupBy("task").applyInPandas(run, "a long, b long")
+
+
+def keyed(documents: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text) with one key a text, and which keys stand for rows of a repeated id: (doc_id, key); None if no id repeats."""
+    kind = dict(documents.select("doc_id").dtypes)["doc_id"]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"doc_id must be a whole number, not {kind}")
+    docs = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    again = materialize(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        drop_table(again)
+        return docs, None
+    marked = docs.join(small(again.withColumn("again", F.lit(True))), "doc_id", "left")
+    key = F.when(F.col("again"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))
+    keys = materialize(marked.where("again").select("doc_id", key.alias("key")).distinct(), "keys")
+    return marked.select(key.alias("doc_id"), "text"), keys
 
 
 def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.36, frequent: float = 0.01) -> DataFrame:
     """(doc_id, group_id, group_size) of every document with a near copy; group_id is the one that stays."""
     t = threshold
-    docs = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text"
-    )
+    docs, keys = keyed(documents)
     often, rank, total = frequent_grams(docs, n, frequent)
     found = materialize(collisions(docs, n, t, often, rank, total), "found")
     heavy = materialize(found.where("kind = 2").groupBy(F.col("a").alias("doc")).agg(F.sum("n").alias("heavy")), "heavy")
@@ -298,76 +453,48 @@ def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.36, f
     for side in ("a", "b"):
         pairs = pairs.join(heavy.select(F.col("doc").alias(side), F.col("heavy").alias(f"heavy_{side}")), side, "left")
     unseen = F.least(*[F.coalesce(f"heavy_{x}", F.lit(0)) + F.col(f"common_{x}") for x in ("a", "b")])
-    pairs = materialize(pairs.where(possible(t, F.col("n") + unseen, F.col("size_a"), F.col("size_b"))).select("a", "b"), "pairs")
+    pairs = pairs.where(possible(t, F.col("n") + unseen, F.col("size_a"), F.col("size_b")))
+    pairs = pairs.select(F.col("a").alias("hub"), F.col("b").alias("other"), (F.col("size_a") + F.col("size_b")).alias("size"))
 
-    rows = found.where("kind = 0").groupBy("list", F.col("a").alias("doc")).agg(
-        F.sum("n").alias("keys"), F.first("size_a").alias("size"), F.first("common_a").alias("common")
-    )
+    rows = found.where("kind = 0").groupBy("list", F.col("a").alias("doc")).agg(F.first("size_a").alias("size"), F.first("common_a").alias("common"))
     leaders = rows.groupBy("list").agg(F.min_by("doc", F.struct(F.xxhash64("doc"), "doc")).alias("leader"))
     rows = rows.join(leaders, "list").join(heavy, "doc", "left").withColumn("unseen", F.coalesce("heavy", F.lit(0)) + F.col("common"))
-    rows = materialize(rows.select("list", "keys", "leader", "doc", "size", "common", "unseen"), "rows")
+    rows = materialize(rows.select("list", "leader", "doc", "size", "unseen"), "rows")
     heads = rows.where(F.col("doc") == F.col("leader")).select("list", F.col("size").alias("lead_size"), F.col("unseen").alias("lead_unseen"))
     stars = (
         rows.where(F.col("doc") != F.col("leader"))
         .join(heads, "list")
         .where(possible(t, F.least("unseen", "lead_unseen"), F.col("size"), F.col("lead_size")))
-        .select(F.least("leader", "doc").alias("a"), F.greatest("leader", "doc").alias("b"))
+        .select("leader", "doc", F.col("size") + F.col("lead_size"))
     )
-    first = materialize(stars.union(pairs).distinct(), "first")
-    def grams_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            texts, ids = f["text"].tolist(), f["doc_id"].to_numpy()
-            for a, b in text_chunks(texts):
-                grams, sizes = gram_sets(texts[a:b], n)
-                parts = np.split(grams.view(np.int64), np.cumsum(sizes)[:-1])
-                yield pd.DataFrame({"doc": ids[a:b], "grams": parts})
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        sets = docs.join(small(wanted), "doc_id", "left_semi").mapInPandas(grams_of, "doc long, grams array<bigint>")
-        # not kept: both sides of the verification reuse this one shuffle, which is already by document
-        return sets.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("grams"))).alias("grams"))
-
-    verified = materialize(verify(first, sets_of(first)), "verified")
-    edges = verified.where(F.col("jaccard") >= t - 1e-12).select("a", "b")
+    ends = F.least("hub", "other").alias("x"), F.greatest("hub", "other").alias("y")
+    first = pairs.union(stars).groupBy(*ends).agg(F.min(F.struct("hub", "other")).alias("p"), F.first("size").alias("size"))
+    first = materialize(first.select("p.hub", "p.other", "size"), "first")
+    mean = first.agg(F.avg("size")).first()[0] or 0
+    verified = materialize(verify(docs, first.select("hub", "other"), mean / 2, n).where(F.col("jaccard") >= t - 1e-12), "verified")
+    edges = verified.select(F.col("hub").alias("a"), F.col("other").alias("b"))
     known = materialize(components(edges), "known")
 
-    placed = (
-        rows.join(known.withColumnRenamed("node", "doc"), "doc", "left")
-        .withColumn("component", F.coalesce("component", "doc"))
-        .withColumn("a", F.least("leader", "doc"))
-        .withColumn("b", F.greatest("leader", "doc"))
-        .join(verified.withColumn("gap", 1 - F.col("jaccard")), ["a", "b"], "left")
-    )
+    placed = rows.join(known.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     split = placed.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi"))
-    open_rows = materialize(placed.join(split.select("list"), "list", "left_semi").select("list", "keys", "leader", "doc", "size", "common", "unseen", "component", "gap"), "open")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    crossing = (
-        x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.doc") < F.col("y.doc")))
-        .where(
-            (F.col("x.component") != F.col("y.component"))
-            & (F.col("x.doc") != F.col("x.leader"))
-            & (F.col("y.doc") != F.col("x.leader"))
-            & possible(t, F.least("x.unseen", "y.unseen"), F.col("x.size"), F.col("y.size"))
-            & (F.coalesce(F.abs(F.col("x.gap") - F.col("y.gap")), F.lit(0.0)) <= 1 - t + 1e-9)
-        )
-        .groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
-        .agg(
-            F.sum("x.keys").alias("n"), F.first("x.size").alias("size_a"), F.first("y.size").alias("size_b"), F.first(F.least("x.common", "y.common")).alias("common")
-        )
-        # all long lists that the two share are open, so their keys are counted; pairs that also share counted
-        # grams, or are a leader and its member in some list, were settled above
-        .where(possible(t, F.col("n") + F.col("common"), F.col("size_a"), F.col("size_b")))
-        .select("a", "b")
-    )
-    crossing = materialize(crossing, "crossing")
-    more = verify(crossing, sets_of(crossing)).where(F.col("jaccard") >= t - 1e-12).select("a", "b")
-    every = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    sizes = every.groupBy("component").agg(F.count("*").alias("group_size"))
-    return every.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"), "group_size")
+    left = materialize(rows.join(split.select("list"), "list", "left_semi"), "left")
+    cluster = components(left.select(F.col("leader").alias("a"), F.col("doc").alias("b")))
+    members = left.select("doc", "size").distinct().join(cluster.select(F.col("node").alias("doc"), F.col("component").alias("cluster")), "doc")
+    more = compare_buckets(docs, materialize(members, "members"), t, n)
+
+    links = known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
+    every = components(links if keys is None else links.union(keys.select("doc_id", "key")))
+    if keys is not None:
+        every = every.join(keys.select(F.col("key").alias("node")), "node", "left_anti")
+    sizes = every.groupBy("component").agg(F.count("*").alias("group_size"), F.min("node").alias("group_id")).where("group_size > 1")
+    result = materialize(every.join(sizes, "component").select(F.col("node").alias("doc_id"), "group_id", "group_size"), "groups")
+    for table in (found, heavy, rows, first, verified, known, left):
+        drop_table(table)
+    return result
 
 
 def keep_one(documents: DataFrame, groups: DataFrame) -> DataFrame:
     """``documents`` without the members of a group that don't stay; columns as they were."""
-    gone = groups.where(F.col("doc_id") != F.col("group_id")).select(F.col("doc_id").alias("gone__"))
-    return documents.join(small(gone), documents["doc_id"] == F.col("gone__"), "left_anti")
+    name = fresh(documents, "gone")
+    gone = groups.where(F.col("doc_id") != F.col("group_id")).select(F.col("doc_id").alias(name))
+    return documents.join(small(gone), documents["doc_id"] == F.col(name), "left_anti")

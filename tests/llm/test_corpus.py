@@ -121,20 +121,25 @@ def test_substring_dedup_edited(spark):
     assert sum(len(x) for x in want.values()) > len(verbatim) + 500
 
 
-@pytest.mark.parametrize(("n", "t"), [(5, 0.36), (2, 0.5), (1, 0.3)])
-def test_ngram_join(spark, corpus, n, t):
-    sets = {}
-    for i, text, *_ in corpus:
-        if i is not None and text:
-            g, _ = ngram_join.gram_sets([text], n)
-            sets[i] = sets.get(i, set()) | set(g.tolist())
-    label = {i: i for i, s in sets.items() if s}
-    pairs = [(a, b) for a in label for b in label if a < b and len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b]) - 1e-9]
+def brute_groups(rows, n, t):
+    """(doc_id, group_id, group_size): all pairs of rows; rows of one id are linked."""
+    sets = []
+    for i, text in sorted({(r[0], r[1]) for r in rows if r[0] is not None and r[1]}):
+        g, _ = ngram_join.gram_sets([text], n)
+        if len(g):
+            sets.append((i, set(g.tolist())))
+    label = {i: i for i, _ in sets}
+    pairs = [(i, j) for i, a in sets for j, b in sets if i < j and len(a & b) >= t * len(a | b) - 1e-9]
     for _ in label:
         for a, b in pairs:
             label[a] = label[b] = min(label[a], label[b])
     sizes = Counter(label.values())
-    want = {(i, g, sizes[g]) for i, g in label.items() if sizes[g] > 1}
+    return {(i, g, sizes[g]) for i, g in label.items() if sizes[g] > 1}
+
+
+@pytest.mark.parametrize(("n", "t"), [(5, 0.36), (2, 0.5), (1, 0.3)])
+def test_ngram_join(spark, corpus, n, t):
+    want = brute_groups(corpus, n, t)
     docs = make(spark, corpus)
     found = ngram_join.near_duplicates(docs, n=n, threshold=t, frequent=0.1)
     assert {tuple(r) for r in found.collect()} == want and want
@@ -144,6 +149,29 @@ def test_ngram_join(spark, corpus, n, t):
     assert ngram_join.near_duplicates(make(spark, []), n=n).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_ngram_join_hot_groups(spark, n, monkeypatch):
+    """Many near copies, a passage that many unlike documents share, and ids with several unlike rows; small buckets."""
+    monkeypatch.setattr(ngram_join, "BUCKET_DOCS", 16)
+    monkeypatch.setattr(ngram_join, "SLICE_DOCS", 8)
+    rng = random.Random(n)
+    shared, hot = words(rng, 40, 10**6), words(rng, 120, 10**6).split()
+    texts = [f"{words(rng, rng.randrange(5, 200), 10**6)} {shared} {words(rng, rng.randrange(5, 90), 10**6)}" for _ in range(60)]
+    texts += [" ".join("x%d" % rng.randrange(10**6) if rng.random() < 0.06 else w for w in hot) for _ in range(70)]
+    x, y, z = (words(rng, 40, 10**6) for _ in range(3))
+    rows = [(i, t, "clash", 0) for i, t in enumerate(texts)]
+    rows += [(500, f"{x} {y}", "", 0), (500, f"{x} {z}", "", 0), (501, f"{y} {z}", "", 0), (502, x, "", 0), (502, texts[3], "", 0), (503, z, "", 0), (503, z, "", 0)]
+    want = brute_groups(rows, n, 0.36)
+    for share in (0.01, 0.3):
+        found = ngram_join.near_duplicates(make(spark, rows), n=n, threshold=0.36, frequent=share)
+        assert {tuple(r) for r in found.collect()} == want and want
+
+
+def test_ngram_join_ids(spark):
+    with pytest.raises(ValueError, match="whole number"):
+        ngram_join.near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_decontamination(spark):
     rng = random.Random(9)
     items = [(i, words(rng, rng.randrange(15, 60), 3000)) for i in range(25)] + [(90, None), (91, ""), (None, "x y z"), (92, "too short")]
