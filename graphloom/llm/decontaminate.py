@@ -1,16 +1,18 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages (windows of 32 words at every 16th word, of documents and of benchmark
-items) are TF-IDF vectors over hashed words. A randomised decomposition finds
-their leading latent directions in one distributed pass: each task adds up
-``A^T (A Omega)`` for a shared random matrix Omega of ``rank`` columns, the sums
-are added per slice of rows, and the small end (Nystroem, Cholesky, SVD) runs on
-the driver: everything shared or collected has the size of the hashed vocabulary
-times the rank, whatever the number of passages. Passages and items are
-projected, scaled by the singular values and compared by cosine, all against
-all, as matrix products. Candidates are then settled on the words themselves:
-the longest common subsequence of the item with the stretch of the document
-around the candidate, and the answer (the item's last words).
+items) are TF-IDF vectors over hashed words, all of them counted. A randomised
+decomposition finds their leading latent directions in one distributed pass: each
+passage is added, with random signs, to two rows of a sparse sketch of the whole
+passage-term matrix; the sketches of tasks are added up as a tree of bounded
+fan-in, by slices, and the singular vectors of the small sum, on the driver, span
+the latent space. Everything shared or collected has the size of the hashed
+vocabulary times the rows of the sketch, whatever the number of passages. Passages
+and items are projected, scaled by the singular values and compared by cosine, all
+against all, as matrix products; the bar falls with the length of items shorter
+than a passage. Candidates are then settled on the words themselves: the longest
+common subsequence of the item with the stretch of the document around the
+candidate, and the answer (the item's last words).
 
 A document is contaminated by an item if the common subsequence holds at least
 ``min_lcs`` of the item's words and at least half of its answer, or
@@ -18,10 +20,12 @@ A document is contaminated by an item if the common subsequence holds at least
 
 Defined results
   * words are lower-case runs of letters, digits and non-ASCII characters.
-  * null and empty texts match nothing; items with null id or text, or of fewer
-    than ``min_words`` words, can't be told from chance and are left out.
+  * null and empty texts match nothing; items with null id or text, or without a
+    word, are left out. Some words of an item of fewer than ``verbatim_words`` words
+    stand anywhere by chance: such an item counts where all its words stand in a row.
   * repeated item ids are compared text by text and reported once, by the best;
-    repeated document rows are one document; null document ids are left out.
+    rows of one document id are reported once, by the best; null document ids are
+    left out. Ids are whole numbers; other types are refused.
   * a pair is reported once, with its best stretch; equal ones go to the first.
   * empty documents or an empty benchmark give an empty table; texts are read
     whole; other columns are ignored.
@@ -37,10 +41,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import small, text_chunks, word_hashes
+from graphloom.llm.common import BASE, fresh, materialize, mix, rolling, small, text_chunks, word_hashes
 
 #: Hashed vocabulary, slices in which its sums are added up, words of half a passage.
-TERMS, SLICES, HALF = 1 << 15, 16, 16
+TERMS, SLICES, HALF = 1 << 15, 64, 16
+#: Partial sums that one task adds up, and rows of the sketch beyond the rank.
+FAN, MORE_ROWS = 16, 32
 #: Benchmark items compared at a time; a larger benchmark takes several passes.
 ITEMS = 20_000
 
@@ -106,89 +112,83 @@ class Space:
         return k[use] * HALF, of[use], both
 
 
-def _summed(docs: DataFrame, width: int, add) -> np.ndarray:
-    """TERMS x width float64: what ``add(total, hashes, counts)`` adds up over all texts, task by task."""
+def _summed(docs: DataFrame, rows: int, kind: type, add) -> np.ndarray:
+    """rows x TERMS: what ``add(total, ids, hashes, counts)`` adds up over all texts, task by task, then as a tree."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((TERMS, width), np.float32 if width > 2 else np.float64)
+        total = np.zeros((TERMS, rows), kind)
         for f in frames:
-            texts = f["text"].tolist()
-            for a, b in text_chunks(texts, 1_500_000):
+            texts, ids = f["text"].tolist(), f["doc_id"].to_numpy(np.int64)
+            for a, b in text_chunks(texts):
                 h, counts = word_hashes(texts[a:b])
                 if len(h):
-                    add(total, h, counts)
+                    add(total, ids[a:b], h, counts)
         yield pd.DataFrame({"slice": range(SLICES), "data": [p.tobytes() for p in np.split(total, SLICES)]})
 
     def merge(f: pd.DataFrame) -> pd.DataFrame:
-        kind = np.float32 if width > 2 else np.float64
-        total = sum(np.frombuffer(b, kind).astype(np.float64) for b in f["data"])
-        return pd.DataFrame({"slice": f["slice"][:1], "data": [total.tobytes()]})
-
-    schema = "slice int, data binary"
-    parts = docs.select("text").mapInPandas(run, schema).groupBy("slice").applyInPandas(merge, schema).toPandas()
-    if not len(parts):
-        return np.zeros((TERMS, width))
-    return np.concatenate([np.frombuffer(b, np.float64) for b in parts.sort_values("slice")["data"]]).reshape(TERMS, width)
-
-
-def learn(docs: DataFrame, rank: int = 96, drop: int = 16, max_df: float = 0.05, seed: int = 11) -> Space:
-    """Document frequencies, then the randomised decomposition, each one pass over all documents.
+        total = np.zeros(TERMS // SLICES * rows, np.float64)
+        for b in f["data"]:
+            total += np.frombuffer(b, kind)
+        return pd.DataFrame({"slice": f["slice"][:1], "part": f["part"][:1] // FAN, "data": [total.astype(kind).tobytes()]})
+
+    parts = docs.select("doc_id", "text").mapInPandas(run, "slice int, data binary").withColumn("part", F.spark_partition_id())
+    left = docs.rdd.getNumPartitions()
+    while True:
+        parts = parts.groupBy("slice", F.floor(F.col("part") / FAN)).applyInPandas(merge, "slice int, part int, data binary")
+        left = -(-left // FAN)
+        if left <= 1:
+            break
+    got = parts.toPandas()
+    if not len(got):
+        return np.zeros((TERMS, rows))
+    return np.concatenate([np.frombuffer(b, kind) for b in got.sort_values("slice")["data"]]).reshape(TERMS, rows).astype(np.float64)
+
+
+def learn(docs: DataFrame, rank: int = 80) -> Space:
+    """Document frequencies, then the randomised decomposition, each one pass over all of ``docs`` (doc_id, text).
 
     A term counts once in a half passage, and passages have unit length, or a few
-    stuttering texts would take the leading directions. Of these, the first
-    ``drop`` tell languages and common words apart, which every passage shares
-    with many others, and are left out of the comparison; so are terms that more
-    than the share ``max_df`` of the half passages hold.
+    stuttering texts would take the leading directions.
     """
 
-    def count(total, h, counts):
+    def count(total, ids, h, counts):
         place = entries(h, counts)[0]
         total[:, 0] += np.bincount(place.ravel(), minlength=TERMS + 1)[:TERMS]
         total[0, 1] += len(place)
 
-    df, n = _summed(docs, 2, count).T
+    df, n = _summed(docs, 2, np.float64, count).T
     n = max(n[0], 1.0)
     idf = np.log((n + 1) / (df + 1)).astype(np.float32)
-    idf[df > max_df * n] = 0
-    omega = np.random.default_rng(seed).standard_normal((TERMS, rank)).astype(np.float32)
-    padded = np.concatenate([omega * idf[:, None], np.zeros((1, rank), np.float32)])
-    shared = docs.sparkSession.sparkContext.broadcast((np.append(idf, np.float32(0)), padded))
+    width = rank + MORE_ROWS
+    shared = docs.sparkSession.sparkContext.broadcast(np.append(idf, np.float32(0)))
 
-    def sketch(total, h, counts):
-        idf, weighted = shared.value
+    def sketch(total, ids, h, counts):
         place, of, k, _ = entries(h, counts)
-        place[idf[place] == 0] = TERMS
+        weight = shared.value[place]
         # passages without overlap: pairs of halves, of unit length
         first = np.flatnonzero(k % 2 == 0)
-        z = np.add.reduceat(half_sums(weighted, place), first, axis=0)
-        size = np.add.reduceat((idf[place] ** 2).sum(1), first)
-        z /= np.maximum(size, np.float32(1e-9))[:, None]
+        size = np.sqrt(np.add.reduceat((weight**2).sum(1), first))
         passage = np.cumsum(k % 2 == 0) - 1
+        weight /= np.maximum(size, np.float32(1e-9))[passage][:, None]
         half, column = np.nonzero(place < TERMS)
-        term = place[half, column].astype(np.uint16)
-        for at in range(0, len(term), 1 << 15):
-            some = term[at : at + (1 << 15)]
-            order = np.argsort(some, kind="stable")
-            some = some[order]
-            kinds = np.flatnonzero(np.diff(some.astype(np.int64), prepend=-1))
-            total[some[kinds]] += np.add.reduceat(z[passage[half[at : at + (1 << 15)][order]]], kinds, axis=0)
-
-    y = _summed(docs, rank, sketch) * idf[:, None]
-    return Space(_basis(y, omega.astype(np.float64), idf, drop))
-
-
-def _basis(y: np.ndarray, omega: np.ndarray, idf: np.ndarray, drop: int) -> np.ndarray:
-    """Nystroem: right singular vectors of A from y = A^T A omega, each divided by its singular value."""
-    core = omega.T @ y
-    core = (core + core.T) / 2
-    value, vector = np.linalg.eigh(core)
-    ok = value > max(value.max(), 0) * 1e-9
+        term, weight = place[half, column].astype(np.int64) * width, weight[half, column]
+        # two rows and two signs, drawn for each passage of each document
+        dice = mix(ids[of[first]].astype(np.uint64) * np.uint64(BASE) + k[first].astype(np.uint64) + np.uint64(1))
+        flat = total.reshape(-1)
+        for shift in (0, 24):
+            row = ((dice >> np.uint64(shift)) % np.uint64(width)).astype(np.int64)
+            sign = 1 - 2 * (dice >> np.uint64(60 + shift // 24) & np.uint64(1)).astype(np.float32)
+            np.add.at(flat, term + row[passage[half]], weight * sign[passage[half]])
+
+    return Space(_basis(_summed(docs, width, np.float32, sketch), idf, rank))
+
+
+def _basis(sketch: np.ndarray, idf: np.ndarray, rank: int) -> np.ndarray:
+    """The leading directions of the sketch (terms x rows), each divided by its singular value."""
+    u, s, _ = np.linalg.svd(sketch, full_matrices=False)
+    ok = (s > max(s[0], 1e-12) * 1e-4) & (np.arange(len(s)) < rank)
     if not ok.any():
         return np.zeros((TERMS + 1, 1), np.float32)
-    f = y @ (vector[:, ok] / np.sqrt(value[ok]))
-    u, s, _ = np.linalg.svd(f, full_matrices=False)
-    ok = s > s[0] * 1e-4
-    ok[: min(drop, ok.sum() // 2)] = False
     basis = (u[:, ok] / s[ok] * s[0] * idf[:, None]).astype(np.float32)
     return np.concatenate([basis, np.zeros((1, basis.shape[1]), np.float32)])
 
@@ -226,50 +226,74 @@ class Item:
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, min_cosine: float = 0.45, min_lcs: float = 0.6,
-                 without_answer: float = 0.8, answer_words: int = 5, min_words: int = 8, rank: int = 96,
+                 without_answer: float = 0.8, answer_words: int = 5, verbatim_words: int = 8, rank: int = 80,
                  space: Space | None = None) -> DataFrame:
     """(doc_id, item_id, lcs_ratio, answer_ratio, word): contaminated documents, by which item, where."""
     spark = documents.sparkSession
+    for df, name in ((documents, "doc_id"), (benchmark, "item_id")):
+        kind = dict(df.select(name).dtypes)[name]
+        if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
+            raise ValueError(f"{name} must be a whole number, not {kind}")
     docs = documents.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select(
         F.col("doc_id").cast("long").alias("doc_id"), "text"
     )
-    known = benchmark.where(F.col("item_id").isNotNull() & (F.length("text") > 0)).select(F.col("item_id").cast("long").alias("item_id"), "text")
-    rows = sorted(map(tuple, known.distinct().collect()))
     schema = "doc_id long, item_id long, lcs_ratio double, answer_ratio double, word long"
-    h, counts = word_hashes([t for _, t in rows])
-    ends = np.cumsum(counts)
-    items = [(i, h[e - c : e]) for (i, _), c, e in zip(rows, counts, ends) if c >= min_words]
-    if not items:
-        return spark.createDataFrame([], schema)
-    space = space or learn(docs, rank)
+    known = benchmark.where(F.col("item_id").isNotNull() & (F.length("text") > 0))
+    known = known.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    # the benchmark is read block by block, so that one block of it is on the driver at a time
+    blocks = max(1, -(-known.count() // ITEMS))
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     found = None
-    for at in range(0, len(items), ITEMS):
-        some = items[at : at + ITEMS]
-        sizes = np.array([len(w) for _, w in some])
-        _, of, z = space.project(np.concatenate([w for _, w in some]), sizes)
-        shared = spark.sparkContext.broadcast((space, [i for i, _ in some], [w for _, w in some], of, z))
-        part = docs.mapInPandas(_search(shared, min_cosine, min_lcs, without_answer, answer_words), schema)
+    for k in range(blocks):
+        rows = sorted(map(tuple, known.where(block == k).collect()))
+        h, counts = word_hashes([t for _, t in rows])
+        ends = np.cumsum(counts)
+        items = [(i, h[e - c : e]) for (i, _), c, e in zip(rows, counts, ends) if c]
+        if not items:
+            continue
+        space = space or learn(docs, rank)
+        sizes = np.array([len(w) for _, w in items])
+        _, of, z = space.project(np.concatenate([w for _, w in items]), sizes)
+        bar = (min_cosine * np.sqrt(np.minimum(sizes, 2 * HALF) / (2 * HALF))).astype(np.float32)
+        bar[sizes < verbatim_words] = 2
+        short = [j for j, size in enumerate(sizes) if size < verbatim_words]
+        runs = {n: {int(rolling(items[j][1], n)[0]): j for j in short if sizes[j] == n} for n in {int(sizes[j]) for j in short}}
+        same: dict[int, list[int]] = {}
+        for j in short:
+            same.setdefault(runs[int(sizes[j])][int(rolling(items[j][1], int(sizes[j]))[0])], []).append(j)
+        shared = spark.sparkContext.broadcast((space, [i for i, _ in items], [w for _, w in items], of, z, bar[of], runs, same))
+        part = docs.mapInPandas(_search(shared, min_lcs, without_answer, answer_words), schema)
         found = part if found is None else found.union(part)
+    if found is None:
+        return spark.createDataFrame([], schema)
     best = F.max_by(F.struct("lcs_ratio", "answer_ratio", "word"), F.struct("lcs_ratio", "answer_ratio", -F.col("word")))
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
 
 
-def _search(shared, min_cosine: float, min_lcs: float, without_answer: float, answer_words: int):
+def _search(shared, min_lcs: float, without_answer: float, answer_words: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        space, ids, words, item_of, goal = shared.value
+        space, ids, words, item_of, goal, bar, runs, same = shared.value
         items: dict[int, Item] = {}
         goal = np.ascontiguousarray(goal.T)
         for f in frames:
             texts, doc_ids = f["text"].tolist(), f["doc_id"].to_numpy()
             out = []
-            for a, b in text_chunks(texts, 1_500_000):
+            for a, b in text_chunks(texts):
                 h, counts = word_hashes(texts[a:b])
                 at, of, z = space.project(h, counts)
                 begin = np.cumsum(counts) - counts
+                for n, said in runs.items():
+                    grams = rolling(h, n)
+                    for p in np.flatnonzero(np.isin(grams, np.array(list(said), np.uint64))).tolist():
+                        d = int(np.searchsorted(begin, p, side="right")) - 1
+                        while counts[d] == 0:
+                            d -= 1
+                        if p + n <= begin[d] + counts[d]:
+                            out += [(int(doc_ids[a + d]), ids[j], 1.0, 1.0, p - int(begin[d])) for j in same[said[int(grams[p])]]]
                 seen: dict[tuple[int, int], list[int]] = {}
                 step = max(1, 4_000_000 // goal.shape[1])
                 for p in range(0, len(z), step):
-                    i, j = np.nonzero(z[p : p + step] @ goal >= min_cosine)
+                    i, j = np.nonzero(z[p : p + step] @ goal >= bar)
                     for d, w, k in zip(of[p + i].tolist(), at[p + i].tolist(), item_of[j].tolist()):
                         seen.setdefault((d, k), []).append(w)
                 for (d, k), places in seen.items():
@@ -296,5 +320,6 @@ def _search(shared, min_cosine: float, min_lcs: float, without_answer: float, an
 
 def drop_contaminated(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     """``documents`` without the contaminated ones; columns as they were."""
-    gone = pairs.select(F.col("doc_id").alias("gone__")).distinct()
-    return documents.join(small(gone), F.col("doc_id") == F.col("gone__"), "left_anti")
+    name = fresh(documents, "gone")
+    gone = materialize(pairs.select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return documents.join(small(gone), documents["doc_id"] == F.col(name), "left_anti")

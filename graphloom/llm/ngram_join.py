@@ -426,7 +426,7 @@ def compare_buckets(docs: DataFrame, members: DataFrame, t: float, n: int) -> Da
 def keyed(documents: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(doc_id, text) with one key a text, and which keys stand for rows of a repeated id: (doc_id, key); None if no id repeats."""
     kind = dict(documents.select("doc_id").dtypes)["doc_id"]
-    if kind not in ("tinyint", "smallint", "int", "bigint"):
+    if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
         raise ValueError(f"doc_id must be a whole number, not {kind}")
     docs = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     again = materialize(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")

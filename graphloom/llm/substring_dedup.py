@@ -34,7 +34,8 @@ Defined results
   * words are parted by ASCII white space; case and punctuation count.
   * null and empty texts, and texts of fewer than ``words`` words, lose nothing.
   * the document of the least id keeps a passage; a repeat within one document,
-    or between rows of one id, is left alone; a null id takes no part.
+    or between rows of one id, is left alone; a null id takes no part. Ids are
+    whole numbers; other types are refused.
   * an empty table gives an empty table; texts are read whole; ``cut`` returns
     the columns it got, in order, with ``n_chars`` renewed where it is present.
 """
@@ -51,7 +52,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.llm.common import (
-    BASE, VISIBLE, VISIBLE_BYTES, long_rolling, materialize, mix, powers, rolling, small, text_chunks, word_hashes,
+    BASE, VISIBLE, VISIBLE_BYTES, fresh, long_rolling, materialize, mix, powers, rolling, small, text_chunks, word_hashes,
 )
 from graphloom.llm.components import components
 
@@ -223,6 +224,9 @@ def repeats(
 ) -> DataFrame:
     """(doc_id, begin, end, cluster_id): the runs of words [begin, end) that a document of smaller id has too, verbatim or edited."""
     spark = documents.sparkSession
+    kind = dict(documents.select("doc_id").dtypes)["doc_id"]
+    if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise ValueError(f"doc_id must be a whole number, not {kind}")
     docs = documents.where(F.col("doc_id").isNotNull() & (F.length("text") >= 2 * words - 1)).select(
         F.col("doc_id").cast("long").alias("doc_id"), "text"
     )
@@ -344,30 +348,29 @@ def repeats(
 
 def cut(documents: DataFrame, removals: DataFrame) -> DataFrame:
     """``documents`` without the removed words; the same columns in the same order."""
-    per_doc = removals.groupBy(F.col("doc_id").alias("gone__")).agg(
-        F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans__")
-    )
-    schema = documents.schema
-    joined = documents.join(small(per_doc), F.col("doc_id").cast("long") == F.col("gone__"), "left")
+    name, spans = fresh(documents, "gone"), fresh(documents, "spans")
+    per_doc = removals.groupBy(F.col("doc_id").alias(name)).agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias(spans))
+    joined = documents.join(small(materialize(per_doc, "cuts")), documents["doc_id"] == F.col(name), "left").drop(name)
 
-    def shorten(spans, text):
+    def shorten(cuts, text):
         places = [m.span() for m in VISIBLE.finditer(text)]
         out, last = [], 0
-        for s in spans:
-            out.append(text[last : places[s["begin"]][0]])
-            last = places[s["end"] - 1][1]
+        for s in cuts:
+            if s["begin"] < len(places):
+                out.append(text[last : places[s["begin"]][0]])
+                last = places[min(s["end"], len(places)) - 1][1]
         out.append(text[last:])
         return "".join(out)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             f = f.copy()
-            f["text"] = [shorten(s, t) for s, t in zip(f["spans__"], f["text"])]
-            yield f.drop(columns=["gone__", "spans__"])
+            f["text"] = [None if t is None else shorten(s, t) for s, t in zip(f[spans], f["text"])]
+            yield f.drop(columns=[spans])
 
-    hit = joined.where(F.col("spans__").isNotNull())
-    rest = joined.where(F.col("spans__").isNull()).drop("gone__", "spans__")
-    changed = hit.mapInPandas(run, schema)
+    hit = joined.where(F.col(spans).isNotNull())
+    rest = joined.where(F.col(spans).isNull()).drop(spans)
+    changed = hit.mapInPandas(run, documents.schema)
     if "n_chars" in documents.columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
+        changed = changed.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
     return rest.unionByName(changed)

@@ -195,6 +195,56 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(make(spark, []), bench).count() == 0
 
 
+def test_decontamination_by_brute_force(spark):
+    """Every item against every stretch of every text, by the plain rule; items of 3 to 60 words, changed by 0 to 30 %."""
+    rng = random.Random(12)
+    lengths = [3, 5, 7, 7, 9, 12, 15, 15, 18, 20, 24, 28, 32, 40, 50, 60]
+    items = [(i, words(rng, lengths[i % len(lengths)], 20_000)) for i in range(64)]
+    rows = []
+    for d in range(256):
+        part = items[d % 64][1].split()
+        said = [w if rng.random() >= (0, 0.1, 0.2, 0.3)[d // 64] else "other" for w in part]
+        rows.append((d, f"{words(rng, rng.randrange(20, 300), 20_000)} {' '.join(said)} {words(rng, 60, 20_000)}", "", 0))
+    rows += [(3, rows[3][1], "", 0), (300, items[0][1], "", 0), (301, " ".join(t for _, t in items), "", 0), (302, "w1 " * 3000, "", 0)]
+    want = set()
+    for d, text, *_ in rows:
+        doc = text.split()
+        for i, item in items:
+            w = item.split()
+            if len(w) < 8:
+                if any(doc[k : k + len(w)] == w for k in range(len(doc))):
+                    want.add((d, i))
+                continue
+            for k in {max(0, j - len(w)) for j, x in enumerate(doc) if x in w}:
+                stretch = doc[k : k + 2 * len(w) + 32]
+                ratio = lcs(w, stretch) / len(w)
+                if ratio >= 0.8 or ratio >= 0.6 and lcs(stretch, w[-5:]) >= 3:
+                    want.add((d, i))
+                    break
+    found = decontaminate.contaminated(make(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]) for r in found.collect()}
+    size = dict((i, len(t.split())) for i, t in items)
+    assert not got - want
+    assert {p for p in want if size[p[1]] < 8} <= got
+    for low, high in ((8, 17), (17, 33), (33, 99)):
+        mine = {p for p in want if low <= size[p[1]] < high}
+        assert len(mine & got) >= 0.93 * len(mine), (low, len(mine & got), len(mine))
+
+
+@pytest.mark.parametrize("clash", ["gone", "spans", "GONE_"])
+def test_clashing_columns(spark, clash):
+    rng = random.Random(5)
+    text = words(rng, 120, 10**6)
+    docs = make(spark, [(1, text, "a", 1), (2, text, "b", 1), (3, None, "c", 1), (None, text, "d", 1)]).withColumnRenamed("group_id", clash)
+    cut = substring_dedup.cut(docs, substring_dedup.repeats(docs))
+    assert cut.columns == docs.columns and {r["doc_id"]: r["text"] for r in cut.collect()} == {1: text, 2: "", 3: None, None: text}
+    kept = ngram_join.keep_one(docs, ngram_join.near_duplicates(docs))
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {1, 3, None}
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    clean = decontaminate.drop_contaminated(docs, decontaminate.contaminated(docs, bench))
+    assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {3, None}
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
