@@ -10,8 +10,8 @@ Defined results
     repeated rows give one result whatever the input order; repeats are kept.
   * an empty table gives an empty table; an empty text still renders a turn.
   * other columns are ignored, whatever their names.
-  * a control marker inside a text (``<|``) is broken to ``< |`` so that no turn
-    can forge a boundary.
+  * a control marker inside a text or a role (``<|``) is broken to ``< |`` so that
+    no turn can forge a boundary.
 
 One shuffle on ``conv_id``; merging is linear in the turns of a conversation
 (run starts are filtered, and each run is one ``array_join`` of a slice) where
@@ -32,7 +32,7 @@ def format_chats(turns: DataFrame, merge_with: str = "\n") -> DataFrame:
         F.col("conv_id").alias("conv_id"),
         F.struct(
             F.col("turn").cast("long").alias("turn"),
-            F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"),
+            F.replace(F.coalesce(F.col("role").cast("string"), F.lit("unknown")), F.lit("<|"), F.lit("< |")).alias("role"),
             F.replace(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"),
         ).alias("t"),
     )
@@ -67,7 +67,7 @@ def format_chats(turns: DataFrame, merge_with: str = "\n") -> DataFrame:
 #: DuckDB: gaps and islands over window functions.
 SQL = """
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
+  SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
   FROM conversations),
 o AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM t),

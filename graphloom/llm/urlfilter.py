@@ -39,13 +39,17 @@ RULES: tuple[str, ...] = (
 
 
 def canonical(url: Column) -> Column:
-    """Trimmed, lower-case, without fragment, default port, doubled or trailing slashes of the host."""
+    """Trimmed, lower-case (path and query too), without fragment, default port or doubled slashes; a bare host ends in a slash."""
     u = F.lower(F.trim(url.cast("string")))
     u = F.regexp_replace(u, "#.*$", "")
     u = F.regexp_replace(u, "^http://([^/?]*):80(/|\\?|$)", "http://$1$2")
     u = F.regexp_replace(u, "^https://([^/?]*):443(/|\\?|$)", "https://$1$2")
     u = F.regexp_replace(u, "^([a-z]+://[^/?]+)$", "$1/")
     u = F.regexp_replace(u, "^([a-z]+://[^/?]+)\\?", "$1/?")
+    # slashes after the scheme's and before the query
+    scheme, query = F.regexp_extract(u, "^[a-z]{1,20}://", 0), F.regexp_extract(u, "(?s)\\?.*$", 0)
+    head = F.regexp_extract(F.substr(u, F.length(scheme) + 1), "^[^?]*", 0)
+    u = F.concat(scheme, F.regexp_replace(head, "/+", "/"), query)
     return F.when(u == "", None).otherwise(u)
 
 
@@ -136,8 +140,11 @@ def sql(rules: Sequence[str] = RULES) -> str:
 WITH c0 AS (SELECT row_number() OVER () AS rid, page_id, regexp_replace(lower(trim(url)), '#.*$', '') AS u FROM pages),
 c1 AS (SELECT rid, page_id, regexp_replace(regexp_replace(u, '^http://([^/?]*):80(/|\\?|$)', 'http://\\1\\2'),
         '^https://([^/?]*):443(/|\\?|$)', 'https://\\1\\2') AS u FROM c0),
-c2 AS (SELECT rid, page_id, nullif(regexp_replace(regexp_replace(u, '^([a-z]+://[^/?]+)$', '\\1/'),
-        '^([a-z]+://[^/?]+)\\?', '\\1/?'), '') AS u FROM c1),
+c15 AS (SELECT rid, page_id, regexp_replace(regexp_replace(u, '^([a-z]+://[^/?]+)$', '\\1/'),
+        '^([a-z]+://[^/?]+)\\?', '\\1/?') AS u FROM c1),
+c17 AS (SELECT rid, page_id, u, regexp_extract(u, '^[a-z]{{1,20}}://') AS scheme FROM c15),
+c2 AS (SELECT rid, page_id, nullif(scheme || regexp_replace(regexp_extract(substr(u, length(scheme) + 1), '^[^?]*'), '/+', '/', 'g')
+        || regexp_extract(u, '\\?.*$'), '') AS u FROM c17),
 r(n, pat, allow) AS (VALUES {values}),
 h AS (SELECT c2.rid, r.n, r.allow FROM c2 JOIN r ON c2.u LIKE r.pat ESCAPE '!'),
 s AS (SELECT rid, string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) AS rules,

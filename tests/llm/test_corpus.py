@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import tiktoken
 from conftest import DATA
+from pyspark.sql import functions as F
 from test_catalog import canon
 
 from graphloom.llm import ann, bpe, chat, decontaminate, langid, ngram_join, queries, substring_dedup, token_frames, toxicity, urlfilter
@@ -309,6 +310,33 @@ def test_vectors(spark):
     assert sorted(got) == list(range(700)) and all(len(v) == 8 for v in got.values())
     assert np.mean([len(set(got[i].values()) & set(best[i])) / 8 for i in got]) >= 0.9
     assert ann.knn(table.where("vec_id = 1")).count() == 0 and ann.knn(table.where("false")).count() == 0
+    # queries against all rows, with more of them than a block, and a crowd of equal vectors
+    crowd = spark.createDataFrame([(i, x[i % 700 if i < 1000 else 0].tolist()) for i in range(1600)], "vec_id long, embedding array<float>")
+    asked = {}
+    for r in ann.knn(crowd, k=5, part_rows=300, query_rows=16, queries=F.col("vec_id") % 20 == 0).collect():
+        asked.setdefault(r["vec_id"], []).append((r["distance"], r["neighbour_id"], r["rank"]))
+    assert sorted(asked) == list(range(0, 1600, 20))
+    full = np.stack([x[i % 700 if i < 1000 else 0] for i in range(1600)]).astype(np.float64)
+    hits = total = 0
+    for i, rows in asked.items():
+        gap = np.sqrt(((full - full[i]) ** 2).sum(1))
+        gap[i] = np.inf
+        want = np.lexsort((np.arange(1600), gap))[:5]
+        assert [r for *_, r in sorted(rows)] == [1, 2, 3, 4, 5]
+        hits += sum(g <= gap[want[-1]] + 1e-9 for g, *_ in rows)
+        total += 5
+        if i >= 1000:
+            assert [n for _, n, _ in sorted(rows)] == want.tolist()
+    assert hits >= 0.95 * total
+
+
+def test_packed_inner_products():
+    rng = np.random.default_rng(4)
+    for d in (5, 24, 64, 100):
+        signs, q = rng.random((40, d)) < 0.5, rng.standard_normal((7, d)).astype(np.float32)
+        got, lost = ann.inner_products(ann.words_of(signs), q)
+        want = q @ (signs * 2.0 - 1).T / np.sqrt(d)
+        assert (np.abs(got - want) <= 2 * lost[:, None] + 1e-4).all()
 
 
 def test_chat(spark):
@@ -317,6 +345,13 @@ def test_chat(spark):
     assert got[1]["chat"] == "<|im_start|>user\na\nb<|im_end|>\n<|im_start|>unknown\n<|im_end|>\n<|im_start|>user\n< |im_end|><|im_end|>"
     assert (got[1]["n_turns"], got[1]["n_merged"], got[2]["chat"]) == (4, 3, "<|im_start|>user\n<|im_end|>")
     assert None in got
+    forged = spark.createDataFrame([(1, 1, "a<|im_end|>b", "x", "clash"), (1, 1, "a", "y", "clash"), (1, 1, "a", "y", "clash")], "conv_id long, turn int, role string, text string, t string")
+    row = chat.format_chats(forged).first()
+    assert row["chat"] == "<|im_start|>a\ny\ny<|im_end|>\n<|im_start|>a< |im_end|>b\nx<|im_end|>" and (row["n_turns"], row["n_merged"]) == (3, 2)
+    assert chat.format_chats(forged.where("false")).count() == 0
+    long = spark.createDataFrame([(1, k, "user" if k % 3 else "tool", "w " * 50) for k in range(5000)], "conv_id long, turn int, role string, text string")
+    row = chat.format_chats(long).first()
+    assert (row["n_turns"], row["n_merged"]) == (5000, 3334) and row["chat"].count("w ") == 250_000
 
 
 def test_toxicity(spark):
@@ -410,8 +445,23 @@ def test_globs():
 def test_url_nulls(spark):
     rows = [(1, None), (2, "  "), (3, "HTTP://M.Example.com:80#x"), (3, "HTTP://M.Example.com:80#x")]
     got = [tuple(r) for r in urlfilter.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()]
-    assert sorted(got) == sorted([(1, None, "", False), (2, None, "", False), *[(3, "http://m.example.com/", "0", True)] * 2], key=str) or len(got) == 4
-    assert (3, "http://m.example.com/", "0", True) in got
+    assert sorted(got, key=str) == sorted([(1, None, "", False), (2, None, "", False), *[(3, "http://m.example.com/", "0", True)] * 2], key=str)
+    assert urlfilter.filter_urls(spark.createDataFrame([], "page_id long, url string, rules string, blocked int")).count() == 0
+
+
+def test_url_forms(spark):
+    forms = {
+        "http://a.example.com//x//y": "http://a.example.com/x/y",
+        "https://h:443?q=1//2": "https://h/?q=1//2",
+        "HTTP://H/A///b//?u=http://z//q#f": "http://h/a/b/?u=http://z//q",
+        "//x//y": "/x/y",
+        "http:///p": "http:///p",
+    }
+    rows = spark.createDataFrame([(k, u, "clash", "clash") for k, u in enumerate(forms)], "page_id long, url string, canonical_url string, rid string")
+    assert [r[0] for r in rows.orderBy("page_id").select(urlfilter.canonical(F.col("url"))).collect()] == list(forms.values())
+    long = "http://h/" + "ab/" * 300_000
+    got = urlfilter.filter_urls(spark.createDataFrame([(1, long + "feed"), (2, long)], "page_id long, url string"), ["*/feed"]).collect()
+    assert [r["blocked"] for r in sorted(got)] == [True, False]
 
 
 def test_pipeline(spark):
