@@ -16,14 +16,15 @@ lists, of which groups of copies produce hundreds of equal ones, are merged. A
 pair is a candidate only if the prefix grams it shares (those counted, and at
 most those that either side has in long lists) can make up the overlap that its
 sizes demand. Each long list is first verified against one leader; lists whose
-members the verified pairs already connect are done. What the others hold is
-compared whole: the documents of lists that hang together are dealt into buckets,
-and a task counts all overlaps of two buckets at once, so that a gram set travels
-once for each bucket it is held against, and never with a pair.
+members the verified pairs already connect are done. In the others every pair from
+different groups is a candidate, unless the triangle inequality of the Jaccard
+distance through the leader, or the number of prefix grams the two share, excludes
+it: rare ones are counted by their lists, frequent ones by the documents' ranks of
+them, so that this number is exact. Candidates meet at their leader or at the
+longest list they share, in parts of bounded size, to which a gram set travels once.
 
 Verification is exact, on the full sets; the groups are the connected components
 that all pairs would give. No candidate is dropped that could be similar enough.
-A task returns links to one member of each connected part, not every pair of it.
 
 Defined results
   * null or empty text, and texts without a word, are in no group; a text of
@@ -52,10 +53,8 @@ from graphloom.llm.components import components
 SHARD_ROWS, FLUSH_ROWS = 800_000, 800_000
 #: Documents of a rare gram up to which its pairs are counted one by one.
 FEW = 8
-#: Documents, and grams, of a bucket; documents of a leader that meet it in one task; grams a task gets, about.
-BUCKET_DOCS, BUCKET_GRAMS, SLICE_DOCS, TASK_GRAMS = 2048, 1_500_000, 256, 3_000_000
-#: Uses of a gram on both sides from which its overlaps are counted by a matrix product.
-DENSE = 256
+#: Documents that meet a hub, or each other, in one part; gram sets that a task gets, about.
+SLICE_DOCS, PART_DOCS, TASK_SETS = 256, 1024, 4000
 
 
 def gram_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +126,7 @@ def frequent_grams(docs: DataFrame, n: int, share: float) -> tuple[np.ndarray, n
 
 
 def prefix_keys(grams: np.ndarray, sizes: np.ndarray, often: np.ndarray, rank: np.ndarray, t: float, k: int = 2):
-    """Index keys of each document of a chunk, (key, document), and its number of frequent prefix grams.
+    """Index keys of each document of a chunk, (key, document), and the ranks of its frequent prefix grams, end to end, and their numbers.
 
     The last bit of a key tells a rare gram (0) from what stands for frequent ones (1).
     """
@@ -157,18 +156,19 @@ def prefix_keys(grams: np.ndarray, sizes: np.ndarray, often: np.ndarray, rank: n
         i, j = np.triu_indices(len(g), 1)
         keys.append(mix(g[i] * np.uint64(BASE) + g[j]) | one)
         docs.append(np.full(len(i), d))
-    return np.concatenate(keys), np.concatenate(docs), common
+    return np.concatenate(keys), np.concatenate(docs), place[many].astype(np.int32), common
 
 
-FOUND = "kind int, list long, a long, b long, n int, size_a int, size_b int, common_a int, common_b int"
+FOUND = "kind int, list long, a long, b long, n int, size_a int, size_b int, common_a int, common_b int, ranks array<int>"
 
 
 def collisions(docs: DataFrame, n: int, t: float, often: np.ndarray, rank: np.ndarray, total: int) -> DataFrame:
-    """What the index brings together, as FOUND rows of three kinds.
+    """What the index brings together, as FOUND rows of four kinds.
 
     0: document ``a`` of a list of documents that share a key, other than a rare gram
-    of at most FEW documents, and how many rare grams have this list; 1: a pair (a, b) and how many such rare grams the two share in this
-    shard; 2: how many longer lists of rare grams a document ``a`` is in.
+    of at most FEW documents, and how many rare grams have this list; 1: a pair (a, b)
+    and how many such rare grams the two share in this shard; 2: how many longer lists
+    of rare grams a document ``a`` is in; 3: the ``ranks`` of its frequent prefix grams.
     """
     spark = docs.sparkSession
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * (1 - t) / SHARD_ROWS))
@@ -181,8 +181,9 @@ def collisions(docs: DataFrame, n: int, t: float, often: np.ndarray, rank: np.nd
             texts, ids = f["text"].tolist(), f["doc_id"].to_numpy(np.int64)
             for a, b in text_chunks(texts):
                 grams, sizes = gram_sets(texts[a:b], n)
-                key, d, common = prefix_keys(grams, sizes, often, rank, t)
-                held.append((key, ids[a:b][d], sizes[d].astype(np.uint32), common[d].astype(np.uint32)))
+                key, d, ranks, common = prefix_keys(grams, sizes, often, rank, t)
+                some = common > 0
+                held.append((key, ids[a:b][d], sizes[d].astype(np.uint32), common[d].astype(np.uint32), ranks, ids[a:b][some], common[some]))
                 rows += len(key)
                 if rows >= FLUSH_ROWS:
                     yield packed(held)
@@ -191,12 +192,16 @@ def collisions(docs: DataFrame, n: int, t: float, often: np.ndarray, rank: np.nd
             yield packed(held)
 
     def packed(held) -> pd.DataFrame:
-        key, doc, size, common = (np.concatenate(x) for x in zip(*held))
+        key, doc, size, common, ranks, holder, held_ranks = (np.concatenate(x) for x in zip(*held))
         shard = (key >> np.uint64(32)) % np.uint64(shards)
         order = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-        out = {"shard": [], "keys": [], "index": [], "docs": [], "sizes": [], "common": []}
-        for s in np.flatnonzero(np.diff(cuts)):
+        out = {"shard": [], "keys": [], "index": [], "docs": [], "sizes": [], "common": [], "ranks": [], "holders": [], "held": []}
+        home = mix(holder.view(np.uint64)) % np.uint64(shards)
+        each = np.repeat(home, held_ranks)
+        for s in range(shards):
+            if cuts[s] == cuts[s + 1] and not (home == s).any():
+                continue
             mine = order[cuts[s] : cuts[s + 1]]
             ids, first, at = np.unique(doc[mine], return_index=True, return_inverse=True)
             out["shard"].append(s)
@@ -205,6 +210,9 @@ def collisions(docs: DataFrame, n: int, t: float, often: np.ndarray, rank: np.nd
             out["docs"].append(ids.tobytes())
             out["sizes"].append(size[mine][first].tobytes())
             out["common"].append(common[mine][first].tobytes())
+            out["ranks"].append(ranks[each == s].tobytes())
+            out["holders"].append(holder[home == s].tobytes())
+            out["held"].append(held_ranks[home == s].tobytes())
         return pd.DataFrame(out)
 
     def gather(f: pd.DataFrame) -> pd.DataFrame:
@@ -220,11 +228,12 @@ def collisions(docs: DataFrame, n: int, t: float, often: np.ndarray, rank: np.nd
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
         key, doc, size, common = key[new], doc[new], size[new], common[new]
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         length = np.diff(np.append(begin, len(key)))
         begin, length = begin[length > 1], length[length > 1]
         rare = (key[begin] & 1) == 0
         few = rare & (length <= FEW)
+        columns = ["kind", "list", "a", "b", "n", "size_a", "size_b", "common_a", "common_b"]
         out = []
         x, y = [], []
         for m in range(2, FEW + 1):
@@ -262,12 +271,16 @@ def collisions(docs: DataFrame, n: int, t: float, often: np.ndarray, rank: np.nd
                     {"kind": 0, "list": np.repeat(sign[once].view(np.int64), length[once]), "a": doc[each], "n": np.repeat(times, length[once]), "size_a": size[each], "common_a": common[each]}
                 )
             )
-        columns = ["kind", "list", "a", "b", "n", "size_a", "size_b", "common_a", "common_b"]
+        holder = np.frombuffer(b"".join(f["holders"]), np.int64)
+        if len(holder):
+            ranks = np.split(np.frombuffer(b"".join(f["ranks"]), np.int32), np.cumsum(np.frombuffer(b"".join(f["held"]), np.int64))[:-1])
+            out.append(pd.DataFrame({"kind": 3, "a": holder, "ranks": ranks}))
         if not out:
-            return pd.DataFrame({c: pd.Series([], dtype="Int64") for c in columns})
-        return pd.concat([o.reindex(columns=columns).astype("Int64") for o in out])
+            return pd.DataFrame({c: pd.Series([], dtype="Int64") for c in [*columns, "ranks"]})
+        whole = [o.reindex(columns=columns).astype("Int64").assign(ranks=o["ranks"] if "ranks" in o else pd.Series([None] * len(o), dtype=object)) for o in out]
+        return pd.concat(whole)
 
-    rows = docs.mapInPandas(index, "shard int, keys binary, index binary, docs binary, sizes binary, common binary")
+    rows = docs.mapInPandas(index, "shard int, keys binary, index binary, docs binary, sizes binary, common binary, ranks binary, holders binary, held binary")
     return rows.groupBy("shard").applyInPandas(gather, FOUND)
 
 
@@ -282,145 +295,57 @@ def possible(t: float, shared, size_a, size_b):
     return alike & (shared >= needed - 1e-6)
 
 
-def sent(docs: DataFrame, goes: DataFrame, n: int) -> DataFrame:
-    """(task, part, side, doc, grams): the gram set of each document of ``goes`` (doc, task, part, side), once a row of it."""
-    places = materialize(goes.groupBy("doc").agg(F.collect_set(F.struct("task", "part", "side")).alias("places")), "places")
-    rows = docs.join(small(places), docs["doc_id"] == places["doc"]).select("doc", "text", "places")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            texts, ids, places = f["text"].tolist(), f["doc"].tolist(), f["places"].tolist()
-            for a, b in text_chunks(texts):
-                grams, sizes = gram_sets(texts[a:b], n)
-                ends = np.cumsum(sizes)
-                rows = [
-                    (p["task"], p["part"], p["side"], ids[k], grams[end - size : end].tobytes())
-                    for k, end, size in zip(range(a, b), ends, sizes)
-                    for p in places[k]
-                ]
-                yield pd.DataFrame(rows, columns=["task", "part", "side", "doc", "grams"])
-
-    return rows.mapInPandas(run, "task int, part long, side int, doc long, grams binary")
+def to_bytes(grams: np.ndarray) -> bytes:
+    """Ascending hashes, by their leading 40 bits: within a pair of documents that tells grams apart."""
+    return (grams >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
 
-def tasks_of(weight: int, spark) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(weight / TASK_GRAMS))
+def from_bytes(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
+    return out.view(np.uint64).ravel()
 
 
-def verify(docs: DataFrame, pairs: DataFrame, sizes: float, n: int) -> DataFrame:
-    """(hub, other, jaccard) of pairs (hub, other): exact, on the whole sets.
+def verify(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """(hub, other, jaccard) of pairs (hub, other, part): exact, on the whole sets.
 
-    The others of a hub come to it, in slices of bounded size; ``sizes`` is the mean size of a set.
+    The pairs of a part meet in one task, to which each gram set of theirs travels once.
     """
-    tasks = tasks_of(int(pairs.count() * sizes), pairs.sparkSession)
-    many = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SLICE_DOCS).alias("slices"))
-    part = F.xxhash64("hub", F.pmod(F.xxhash64("other"), F.col("slices")))
-    placed = pairs.join(many, "hub").select("hub", "other", part.alias("part")).withColumn("task", F.pmod("part", F.lit(tasks)).cast("int"))
-    placed = materialize(placed, "placed")
-    goes = placed.select(F.col("hub").alias("doc"), "task", "part", F.lit(0).alias("side")).union(placed.select("other", "task", "part", F.lit(1)))
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        f = f.drop_duplicates(["part", "side", "doc"]).sort_values(["part", "side", "doc"])
-        for _, g in f.groupby("part", sort=False):
-            sets = [np.frombuffer(x, np.uint64) for x in g["grams"]]
-            ids, side = g["doc"].to_numpy(), g["side"].to_numpy()
-            heads, rest = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            if not len(heads) or not len(rest):
-                continue
-            every = np.concatenate([sets[k] for k in rest])
-            size = np.array([len(sets[k]) for k in rest])
-            for k in heads:
-                hub = sets[k]
-                at = np.minimum(np.searchsorted(hub, every), len(hub) - 1)
-                both = np.add.reduceat((hub[at] == every).astype(np.int64), np.cumsum(size) - size)
-                out.append(pd.DataFrame({"hub": ids[k], "other": ids[rest], "jaccard": both / (len(hub) + size - both)}))
-        return pd.concat(out) if out else pd.DataFrame({"hub": [], "other": [], "jaccard": []})
-
-    return sent(docs, goes.distinct(), n).groupBy("task").applyInPandas(run, "hub long, other long, jaccard double")
-
-
-def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """How many grams each set on the left shares with each on the right."""
-    out = np.zeros((len(left), len(right)), np.float32)
-    grams = np.concatenate([*left, *right])
-    row = np.concatenate([np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (left, right)])
-    first = sum(map(len, left))
-    kinds, at = np.unique(grams, return_inverse=True)
-    a, b = np.bincount(at[:first], minlength=len(kinds)), np.bincount(at[first:], minlength=len(kinds))
-    hot = np.flatnonzero(a * b > DENSE)
-    place = np.full(len(kinds), -1, np.int64)
-    place[hot] = np.arange(len(hot))
-    col = place[at]
-    for lo in range(0, len(hot), 1024):
-        x, y = (np.zeros((len(s), 1024), np.float32) for s in (left, right))
-        mine = np.flatnonzero((col >= lo) & (col < lo + 1024))
-        l, r = mine[mine < first], mine[mine >= first]
-        x[row[l], col[l] - lo] = 1
-        y[row[r], col[r] - lo] = 1
-        out += x @ y.T
-    few = (a * b > 0) & (a * b <= DENSE)
-    l, r = np.flatnonzero(few[at[:first]]), first + np.flatnonzero(few[at[first:]])
-    r = r[np.argsort(at[r], kind="stable")]
-    begin, count = np.searchsorted(at[r], at[l]), b[at[l]]
-    block = np.cumsum(count) // 4_000_000
-    for k in range(int(block[-1]) + 1 if len(block) else 0):
-        mine = slice(*np.searchsorted(block, [k, k + 1]))
-        c = count[mine]
-        x = np.repeat(row[l[mine]], c)
-        y = row[r[np.repeat(begin[mine] - np.cumsum(c) + c, c) + np.arange(c.sum())]]
-        out += np.bincount(x * len(right) + y, minlength=out.size).reshape(out.shape)
-    return out
-
-
-def least_linked(near: np.ndarray) -> np.ndarray:
-    """For each node of a symmetric matrix of links, the least node it is connected with."""
-    label = np.arange(len(near))
-    while True:
-        new = label.copy()
-        for k in range(0, len(near), 512):
-            best = np.where(near[k : k + 512], label[None], len(near)).min(axis=1, initial=len(near))
-            new[k : k + 512] = np.minimum(new[k : k + 512], best)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
-def compare_buckets(docs: DataFrame, members: DataFrame, t: float, n: int) -> DataFrame:
-    """(a, b) links that connect whatever is similar among the ``members`` (doc, size, cluster) of a cluster."""
     spark = docs.sparkSession
-    load = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").alias("grams"))
-    load = load.select("cluster", F.ceil(F.greatest(F.col("n") / BUCKET_DOCS, F.col("grams") / BUCKET_GRAMS)).alias("buckets"))
-    dealt = members.join(load, "cluster").withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("buckets")))
-    weight = dealt.agg(F.sum(F.col("size") * F.col("buckets"))).first()[0] or 0
-    tasks = tasks_of(weight, spark)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("buckets") - 1)))
-    part = F.xxhash64("cluster", F.least("mine", "other"), F.greatest("mine", "other"))
-    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
-    goes = materialize(dealt.select("doc", part.alias("part"), side.alias("side")).withColumn("task", F.pmod("part", F.lit(tasks)).cast("int")), "goes")
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        f = f.drop_duplicates(["part", "side", "doc"]).sort_values(["part", "side", "doc"])
-        for _, g in f.groupby("part", sort=False):
-            sets = [np.frombuffer(x, np.uint64) for x in g["grams"]]
-            ids, cut = g["doc"].to_numpy(), int((g["side"] == 1).sum())
-            size = np.array([len(x) for x in sets], np.float64)
-            near = np.zeros((len(sets), len(sets)), bool)
-            if g["side"].iloc[0] == 0:
-                both = overlaps(sets, sets)
-                near = both >= t * (size[:, None] + size[None] - both) - 1e-6
-            elif 0 < cut < len(sets):
-                both = overlaps(sets[:cut], sets[cut:])
-                near[:cut, cut:] = both >= t * (size[:cut, None] + size[None, cut:] - both) - 1e-6
-                near |= near.T
-            label = least_linked(near)
-            linked = label != np.arange(len(label))
-            out.append(pd.DataFrame({"a": ids[label[linked]], "b": ids[linked]}))
+    ends = pairs.select(F.col("hub").alias("doc"), "part").union(pairs.select("other", "part"))
+    places = materialize(ends.groupBy("doc").agg(F.collect_set("part").alias("parts")), "places")
+    weight = places.agg(F.sum(F.size("parts"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(weight / TASK_SETS))
+    rows = docs.join(small(places), docs["doc_id"] == places["doc"]).select("doc", "text", "parts")
+
+    def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            texts, ids, parts = f["text"].tolist(), f["doc"].tolist(), f["parts"].tolist()
+            for a, b in text_chunks(texts):
+                grams, sizes = gram_sets(texts[a:b], n)
+                ends = np.cumsum(sizes)
+                packed = [(k, to_bytes(grams[end - size : end])) for k, end, size in zip(range(a, b), ends, sizes)]
+                rows = [(p % tasks, p, ids[k], x) for k, x in packed for p in parts[k]]
+                yield pd.DataFrame(rows, columns=["task", "part", "doc", "grams"])
+
+    def meet(sets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"hub": [], "other": [], "jaccard": []})]
+        places = dict(zip(sets["part"].unique(), [g for _, g in sets.groupby("part", sort=False)]))
+        for part, mine in pairs.groupby("part", sort=False):
+            held = {d: from_bytes(x) for d, x in zip(places[part]["doc"], places[part]["grams"])}
+            for hub, others in mine.groupby("hub", sort=False)["other"]:
+                x, rest = held[hub], [held[o] for o in others]
+                for k in range(0, len(rest), 256):
+                    every = np.concatenate(rest[k : k + 256])
+                    size = np.array([len(r) for r in rest[k : k + 256]])
+                    at = np.minimum(np.searchsorted(x, every), len(x) - 1)
+                    both = np.add.reduceat((x[at] == every).astype(np.int64), np.cumsum(size) - size)
+                    out.append(pd.DataFrame({"hub": hub, "other": others.iloc[k : k + 256], "jaccard": both / (len(x) + size - both)}))
         return pd.concat(out)
 
-    return sent(docs, goes, n).groupBy("task").applyInPandas(run, "a long, b long")
+    sets = rows.mapInPandas(send, "task int, part long, doc long, grams binary")
+    asked = pairs.select("hub", "other", "part", F.pmod("part", F.lit(tasks)).cast("int").alias("task"))
+    return sets.groupBy("task").cogroup(asked.groupBy("task")).applyInPandas(meet, "hub long, other long, jaccard double")
 
 
 def keyed(documents: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -454,33 +379,72 @@ def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.36, f
         pairs = pairs.join(heavy.select(F.col("doc").alias(side), F.col("heavy").alias(f"heavy_{side}")), side, "left")
     unseen = F.least(*[F.coalesce(f"heavy_{x}", F.lit(0)) + F.col(f"common_{x}") for x in ("a", "b")])
     pairs = pairs.where(possible(t, F.col("n") + unseen, F.col("size_a"), F.col("size_b")))
-    pairs = pairs.select(F.col("a").alias("hub"), F.col("b").alias("other"), (F.col("size_a") + F.col("size_b")).alias("size"))
+    pairs = pairs.select(F.col("a").alias("hub"), F.col("b").alias("other"))
 
-    rows = found.where("kind = 0").groupBy("list", F.col("a").alias("doc")).agg(F.first("size_a").alias("size"), F.first("common_a").alias("common"))
+    rows = found.where("kind = 0").groupBy("list", F.col("a").alias("doc")).agg(F.sum("n").alias("keys"), F.first("size_a").alias("size"), F.first("common_a").alias("common"))
     leaders = rows.groupBy("list").agg(F.min_by("doc", F.struct(F.xxhash64("doc"), "doc")).alias("leader"))
     rows = rows.join(leaders, "list").join(heavy, "doc", "left").withColumn("unseen", F.coalesce("heavy", F.lit(0)) + F.col("common"))
-    rows = materialize(rows.select("list", "leader", "doc", "size", "unseen"), "rows")
+    rows = materialize(rows.select("list", "keys", "leader", "doc", "size", "common", "unseen"), "rows")
     heads = rows.where(F.col("doc") == F.col("leader")).select("list", F.col("size").alias("lead_size"), F.col("unseen").alias("lead_unseen"))
     stars = (
         rows.where(F.col("doc") != F.col("leader"))
         .join(heads, "list")
         .where(possible(t, F.least("unseen", "lead_unseen"), F.col("size"), F.col("lead_size")))
-        .select("leader", "doc", F.col("size") + F.col("lead_size"))
+        .select("leader", "doc")
     )
     ends = F.least("hub", "other").alias("x"), F.greatest("hub", "other").alias("y")
-    first = pairs.union(stars).groupBy(*ends).agg(F.min(F.struct("hub", "other")).alias("p"), F.first("size").alias("size"))
-    first = materialize(first.select("p.hub", "p.other", "size"), "first")
-    mean = first.agg(F.avg("size")).first()[0] or 0
-    verified = materialize(verify(docs, first.select("hub", "other"), mean / 2, n).where(F.col("jaccard") >= t - 1e-12), "verified")
-    edges = verified.select(F.col("hub").alias("a"), F.col("other").alias("b"))
+    first = pairs.union(stars).groupBy(*ends).agg(F.min(F.struct("hub", "other")).alias("p"))
+    first = materialize(first.select("p.hub", "p.other"), "first")
+    # the others of a hub come to it, in slices of bounded size
+    slices = first.groupBy("hub").agg(F.ceil(F.count("*") / SLICE_DOCS).alias("slices"))
+    part = F.xxhash64("hub", F.pmod(F.xxhash64("other"), F.col("slices")))
+    asked = materialize(first.join(slices, "hub").select("hub", "other", part.alias("part")), "asked")
+    verified = materialize(verify(docs, asked, n), "verified")
+    edges = verified.where(F.col("jaccard") >= t - 1e-12).select(F.col("hub").alias("a"), F.col("other").alias("b"))
     known = materialize(components(edges), "known")
 
-    placed = rows.join(known.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    split = placed.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi"))
-    left = materialize(rows.join(split.select("list"), "list", "left_semi"), "left")
-    cluster = components(left.select(F.col("leader").alias("a"), F.col("doc").alias("b")))
-    members = left.select("doc", "size").distinct().join(cluster.select(F.col("node").alias("doc"), F.col("component").alias("cluster")), "doc")
-    more = compare_buckets(docs, materialize(members, "members"), t, n)
+    gaps = verified.select(F.least("hub", "other").alias("x"), F.greatest("hub", "other").alias("y"), (1 - F.col("jaccard")).alias("gap"))
+    placed = (
+        rows.join(known.withColumnRenamed("node", "doc"), "doc", "left")
+        .withColumn("component", F.coalesce("component", "doc"))
+        .withColumn("x", F.least("leader", "doc"))
+        .withColumn("y", F.greatest("leader", "doc"))
+        .join(gaps, ["x", "y"], "left")
+        .drop("x", "y")
+    )
+    split = placed.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("length"))
+    left = materialize(placed.join(split.where("lo != hi").select("list", "length"), "list"), "left")
+    x, y = left.alias("x"), left.alias("y")
+    crossing = (
+        x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.doc") < F.col("y.doc")))
+        .where(
+            (F.col("x.component") != F.col("y.component"))
+            & (F.col("x.doc") != F.col("x.leader"))
+            & (F.col("y.doc") != F.col("x.leader"))
+            & possible(t, F.least("x.unseen", "y.unseen"), F.col("x.size"), F.col("y.size"))
+            & (F.coalesce(F.abs(F.col("x.gap") - F.col("y.gap")), F.lit(0.0)) <= 1 - t + 1e-9)
+        )
+        .groupBy(F.col("x.doc").alias("hub"), F.col("y.doc").alias("other"))
+        .agg(F.sum("x.keys").alias("n"), F.first("x.size").alias("size_a"), F.first("y.size").alias("size_b"), F.first(F.least("x.common", "y.common")).alias("common"), F.max(F.struct("x.length", "x.list"))["list"].alias("list"))
+        # all long lists that the two share are open, so their keys are counted; pairs that also share counted
+        # grams, or are a leader and its member in some list, were settled above
+        .where(possible(t, F.col("n") + F.col("common"), F.col("size_a"), F.col("size_b")))
+    )
+    crossing = materialize(crossing, "crossing")
+    ranks = found.where("kind = 3").select(F.col("a").alias("doc"), "ranks").dropDuplicates(["doc"])
+    known_ranks = crossing
+    for side in ("hub", "other"):
+        known_ranks = known_ranks.join(ranks.select(F.col("doc").alias(side), F.col("ranks").alias(f"ranks_{side}")), side, "left")
+    common = F.coalesce(F.size(F.array_intersect("ranks_hub", "ranks_other")), F.lit(0))
+    exact = possible(t, F.col("n") + F.greatest(common, F.lit(0)), F.col("size_a"), F.col("size_b"))
+    last = materialize(known_ranks.where(exact).select("hub", "other", "list"), "last")
+    # the pairs of a list meet there, its documents dealt into buckets
+    held = last.select("list", F.col("hub").alias("doc")).union(last.select("list", "other")).distinct()
+    buckets = held.groupBy("list").agg(F.ceil(F.count("*") / PART_DOCS).alias("buckets"))
+    deal = [F.pmod(F.xxhash64(c), F.col("buckets")) for c in ("hub", "other")]
+    part = F.xxhash64("list", F.least(*deal), F.greatest(*deal))
+    asked_more = materialize(last.join(buckets, "list").select("hub", "other", part.alias("part")), "asked")
+    more = verify(docs, asked_more, n).where(F.col("jaccard") >= t - 1e-12).select("hub", "other")
 
     links = known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
     every = components(links if keys is None else links.union(keys.select("doc_id", "key")))
@@ -488,7 +452,7 @@ def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.36, f
         every = every.join(keys.select(F.col("key").alias("node")), "node", "left_anti")
     sizes = every.groupBy("component").agg(F.count("*").alias("group_size"), F.min("node").alias("group_id")).where("group_size > 1")
     result = materialize(every.join(sizes, "component").select(F.col("node").alias("doc_id"), "group_id", "group_size"), "groups")
-    for table in (found, heavy, rows, first, verified, known, left):
+    for table in (found, heavy, rows, first, asked, verified, known, left, crossing, last, asked_more):
         drop_table(table)
     return result
 

@@ -152,8 +152,7 @@ def test_ngram_join(spark, corpus, n, t):
 
 @pytest.mark.parametrize("n", [1, 2, 5])
 def test_ngram_join_hot_groups(spark, n, monkeypatch):
-    """Many near copies, a passage that many unlike documents share, and ids with several unlike rows; small buckets."""
-    monkeypatch.setattr(ngram_join, "BUCKET_DOCS", 16)
+    """Many near copies, a passage that many unlike documents share, and ids with several unlike rows; small slices."""
     monkeypatch.setattr(ngram_join, "SLICE_DOCS", 8)
     rng = random.Random(n)
     shared, hot = words(rng, 40, 10**6), words(rng, 120, 10**6).split()
