@@ -329,7 +329,7 @@ def verify(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["task", "part", "doc", "grams"])
 
     def meet(sets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"hub": [], "other": [], "jaccard": []})]
+        out = [pd.DataFrame({"hub": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "jaccard": np.zeros(0)})]
         places = dict(zip(sets["part"].unique(), [g for _, g in sets.groupby("part", sort=False)]))
         for part, mine in pairs.groupby("part", sort=False):
             held = {d: from_bytes(x) for d, x in zip(places[part]["doc"], places[part]["grams"])}
