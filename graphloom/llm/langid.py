@@ -133,8 +133,8 @@ def train(documents: DataFrame, order: int = 3, texts_per_language: int = 400) -
     known = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     picked = known.select("doc_id", "lang").withColumn("n_", rank).where(F.col("n_") <= texts_per_language)
-    ids = [r[0] for r in picked.select("doc_id").collect()]
-    rows = known.where(F.col("doc_id").isin(ids)).select("lang", "text").collect()
+    picked = picked.select("doc_id").distinct()  # at most texts_per_language ids a language
+    rows = known.join(F.broadcast(picked), "doc_id", "left_semi").select("lang", "text").collect()
     by: dict[str, list[str]] = {}
     for lang, text in sorted(rows):
         by.setdefault(lang, []).append(text)
