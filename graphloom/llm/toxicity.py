@@ -9,15 +9,17 @@ on the exact conditional likelihood fits it on a bounded sample of labelled rows
 (``max_rows``, a documented parameter; the rest of the operator covers all rows).
 
 Tagging runs forward-backward over every sentence of every whole text. A
-sentence ends at a line break, at ``. ! ?`` or after 128 words; chains of a batch advance
-together, one vector step per position. Offending tokens have a marginal of at
-least 0.5; a document's score is the sum of their marginals (the expected number
-of toxic tokens among them, so that length alone makes nothing toxic), ``toxic``
-says whether it reaches the score that erred least on the training rows, and
+sentence ends at a line break or at ``. ! ?`` and may have any length: chains are
+cut into segments, whose transfer matrices give each segment its exact incoming
+messages, so that all segments of a batch advance together, one vector step per
+position. Offending tokens have a marginal of at least 0.5; a document's score is
+the sum of their marginals (the expected number of toxic tokens among them, so that
+length alone makes nothing toxic), ``peak`` is its highest marginal, ``toxic`` says
+whether the score reaches the one that erred least on the training rows, and
 spans are maximal runs of offending tokens as character offsets [start, end).
 
 Defined results
-  * null or empty text -> score 0, no spans, not toxic.
+  * null or empty text, or one without a word -> score 0, peak 0, no spans, not toxic.
   * null or missing labels, and labels of unknown documents, are ignored; a
     document labelled twice counts as toxic if any label says so; labels of one
     kind only give a field that tags nothing.
@@ -32,7 +34,6 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -40,12 +41,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import text_chunks
+
 #: A word, or the end of a sentence.
 TOKEN = re.compile(r"\w+|[.!?\n]+")
 ENDS = frozenset(".!?\n")
 PREFIX = 5
-#: A sentence also ends after so many words.
-LONGEST = 128
+#: Words of a segment of a chain, and characters of texts that are tagged at a time.
+SEGMENT, BATCH_CHARS = 128, 3_000_000
 
 
 @dataclass
@@ -66,16 +69,6 @@ class Rows(dict):
     def __init__(self, model: Field):
         super().__init__(model.words)
         self.prefixes = model.prefixes
-        self.finder = ahocorasick.Automaton()
-        for w in [*model.words, *model.prefixes]:
-            self.finder.add_word(w, 1)
-        if len(self.finder):
-            self.finder.make_automaton()
-
-    def may_hold(self, text: str) -> bool:
-        """Whether any learned word or prefix occurs in the text; exact on the negative side."""
-        return len(self.finder) > 0 and next(self.finder.iter(text.lower()), None) is not None
-
     def __missing__(self, word: str) -> int:
         low = word.lower()
         if low != word:
@@ -89,22 +82,74 @@ class Rows(dict):
         return value
 
 
+def transfers(emit: np.ndarray, begin: np.ndarray, length: np.ndarray, opens: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """(segments, 2, 2): log weight of all paths through a segment, from the state before it to its last one.
+
+    A segment that ``opens`` its chain has no state before it: both rows are alike.
+    """
+    order = np.argsort(-length, kind="stable")
+    b, n = begin[order], length[order]
+    live = np.searchsorted(-n, -np.arange(int(n[0]) if len(n) else 0), side="left")
+    out = np.zeros((len(begin), 2, 2))
+    for t, m in enumerate(live):
+        if t == 0:
+            out[:] = np.where(opens[order][:, None, None], 0.0, step[None])
+        else:
+            x = out[:m]
+            out[:m] = np.logaddexp(x[:, :, :1] + step[0], x[:, :, 1:] + step[1])
+        out[:m, :, 1] += emit[b[:m] + t][:, None]
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
 def marginals(emit: np.ndarray, begin: np.ndarray, length: np.ndarray, step: np.ndarray):
     """Posterior of the toxic state for each token, with the forward and backward log odds.
 
     ``emit`` is the log-odds of state 1 over state 0; chains are emit[begin:begin+length].
-    Chains advance together, longest first, so those still running are a prefix.
+    Long chains are cut into segments; segments advance together, longest first, so
+    those still running are a prefix.
     """
-    order = np.argsort(-length, kind="stable")
-    b, n = begin[order], length[order]
+    pieces = np.maximum(1, -(-length // SEGMENT))
+    chain = np.repeat(np.arange(len(length)), pieces)
+    k = np.arange(len(chain)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    b, n = begin[chain] + k * SEGMENT, np.minimum(SEGMENT, length[chain] - k * SEGMENT)
+    enter, leave = np.zeros(len(b)), np.zeros(len(b))  # log odds before the first token, and after the last
+    many = np.flatnonzero(pieces[chain] > 1)
+    if len(many):
+        through = transfers(emit, b[many], n[many], k[many] == 0, step)
+        place = np.full(len(b), -1, np.int64)
+        place[many] = np.arange(len(many))
+        first = (np.cumsum(pieces) - pieces)[pieces > 1]
+        count = pieces[pieces > 1]
+        # messages from segment to segment, all chains that still have one at once
+        order = np.argsort(-count, kind="stable")
+        first, count = first[order], count[order]
+        alpha = through[place[first], 0]
+        for j in range(1, int(count[0])):
+            m = int(np.searchsorted(-count, -j, side="left"))
+            alpha = alpha[:m] - alpha[:m].max(axis=1, keepdims=True)
+            enter[first[:m] + j] = alpha[:, 1] - alpha[:, 0]
+            x = through[place[first[:m] + j]]
+            alpha = np.logaddexp(alpha[:, :1] + x[:, 0], alpha[:, 1:] + x[:, 1])
+        beta = np.zeros((len(first), 2))
+        for j in range(int(count[0]) - 1, 0, -1):
+            m = int(np.searchsorted(-count, -j, side="left"))
+            x = through[place[first[:m] + j]] + beta[:m, None, :]
+            beta[:m] = np.logaddexp(x[:, :, 0], x[:, :, 1])
+            beta[:m] -= beta[:m].max(axis=1, keepdims=True)
+            leave[first[:m] + j - 1] = beta[:m, 1] - beta[:m, 0]
+    order = np.argsort(-n, kind="stable")
+    b, n, enter, leave, later = b[order], n[order], enter[order], leave[order], k[order] > 0
     live = np.searchsorted(-n, -np.arange(int(n[0]) if len(n) else 0), side="left")
     fwd, back = np.empty(len(emit)), np.zeros(len(emit))
     for t, m in enumerate(live):
         at = b[:m] + t
+        x = fwd[at - 1] if t else enter[:m]
         fwd[at] = emit[at]
-        if t:
-            x = fwd[at - 1]
-            fwd[at] += np.logaddexp(step[0, 1], x + step[1, 1]) - np.logaddexp(step[0, 0], x + step[1, 0])
+        moved = np.logaddexp(step[0, 1], x + step[1, 1]) - np.logaddexp(step[0, 0], x + step[1, 0])
+        fwd[at] += moved if t else np.where(later[:m], moved, 0.0)
+    back[b + n - 1] = leave
     for t in range(len(live) - 2, -1, -1):
         at = b[: live[t + 1]] + t
         x = back[at + 1] + emit[at + 1]
@@ -183,7 +228,7 @@ def fit(
         for r in [*map(lookup.__getitem__, doc), -1]:
             if r >= 0:
                 chain.append(r)
-            if chain and (r < 0 or len(chain) == LONGEST):
+            if chain and r < 0:
                 kinds[(bool(is_bad), bytes(np.array(chain, np.int32))) if any(chain) else (False, len(chain))] += 1
                 chain = []
     parts = [(np.zeros(c, np.int64) if isinstance(c, int) else np.frombuffer(c, np.int32).astype(np.int64), b) for b, c in kinds]
@@ -231,47 +276,31 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = 6000) -> Fiel
     y = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
         .groupBy("doc_id")
-        .agg(F.max(F.col("toxic").cast("int")).alias("y_"))
+        .agg(F.max(F.col("toxic").cast("int")).alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_rows)
     )
-    known = {r[0]: r[1] == 1 for r in y.collect()}
-    rows = documents.where(F.col("doc_id").isin(list(known)) & F.col("text").isNotNull()).select("doc_id", "text").collect()
-    rows.sort()
-    return fit([r[1] for r in rows], [known[r[0]] for r in rows])
+    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
+    rows = sorted(map(tuple, texts.join(F.broadcast(y), "doc_id").collect()))  # at most max_rows ids
+    return fit([r[1] for r in rows], [r[2] == 1 for r in rows])
 
 
 def tag(texts: list[str | None], model: Field, lookup: Rows):
-    """(score, highest marginal, spans) of each text; texts without a learned word have none."""
+    """(score, highest marginal, spans) of each text."""
     n = len(texts)
     score, top = np.zeros(n), np.zeros(n)
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-    work = []  # (text, its rows)
-    for d, t in enumerate(texts):
-        if not t or not lookup.may_hold(t):
-            continue
-        rows = np.fromiter(map(lookup.__getitem__, TOKEN.findall(t)), np.int32)
-        if rows.max(initial=0) > 0:
-            work.append((d, rows))
-    if not work:
+    rows = [np.fromiter(map(lookup.__getitem__, TOKEN.findall(t)), np.int32) if t else np.zeros(0, np.int32) for t in texts]
+    every = np.concatenate(rows or [np.zeros(0, np.int32)]).astype(np.int64)
+    keep = every >= 0
+    if not keep.any():
         return score, top, spans
-    every = np.concatenate([r for _, r in work]).astype(np.int64)
-    docs = np.repeat([d for d, _ in work], [len(r) for _, r in work])
-    place = np.concatenate([np.arange(len(r)) for _, r in work])
-    # only sentences with a learned word are run: an unknown word alone has the odds of
-    # the bias, which training drives far below even, so nothing else can reach 0.5
-    ends = every < 0
-    keep = ~ends
-    chain = np.cumsum(ends)[keep]
+    docs = np.repeat(np.arange(n), [len(r) for r in rows])
+    place = np.concatenate([np.arange(len(r)) for r in rows])
+    chain = np.cumsum(~keep)[keep]
     every, docs, place = every[keep], docs[keep], place[keep]
-    new = (np.diff(chain, prepend=-1) != 0) | (np.diff(docs, prepend=-1) != 0)
-    since = np.arange(len(every)) - np.maximum.accumulate(np.where(new, np.arange(len(every)), 0))
-    begin = np.flatnonzero(since % LONGEST == 0)
+    begin = np.flatnonzero((np.diff(chain, prepend=-1) != 0) | (np.diff(docs, prepend=-1) != 0))
     length = np.diff(np.append(begin, len(every)))
-    hit = np.add.reduceat((every > 0).astype(np.int64), begin) > 0
-    keep = np.repeat(hit, length)
-    every, docs, place, length = every[keep], docs[keep], place[keep], length[hit]
-    begin = np.cumsum(length) - length
     left, right = neighbours(every, begin)
     w = model.weights
     post, _, _ = marginals(w[every, 0] + model.bias + w[left, 1] + w[right, 2], begin, length, model.step)
@@ -302,10 +331,10 @@ def score(documents: DataFrame, model: Field, min_score: float | None = None) ->
         m = shared.value
         lookup = Rows(m)
         for frame in frames:
-            for at in range(0, len(frame), 1000):
-                part = frame.iloc[at : at + 1000]
-                texts = [t if isinstance(t, str) else None for t in part["text"].tolist()]
-                total, top, spans = tag(texts, m, lookup)
+            every = [t if isinstance(t, str) else None for t in frame["text"].tolist()]
+            for a, b in text_chunks(every, BATCH_CHARS):
+                part = frame.iloc[a:b]
+                total, top, spans = tag(every[a:b], m, lookup)
                 yield pd.DataFrame(
                     {
                         "doc_id": part["doc_id"].to_numpy(),
@@ -336,9 +365,9 @@ def drop_toxic(documents: DataFrame, model: Field, min_score: float | None = Non
         for batch in batches:
             texts = batch.column(place).to_pylist()
             toxic = np.zeros(len(texts), bool)
-            for at in range(0, len(texts), 1000):
-                score, _, _ = tag(texts[at : at + 1000], m, lookup)
-                toxic[at : at + 1000] = score >= (m.enough if min_score is None else min_score)
+            for a, b in text_chunks(texts, BATCH_CHARS):
+                score, _, _ = tag(texts[a:b], m, lookup)
+                toxic[a:b] = score >= (m.enough if min_score is None else min_score)
             yield batch.filter(pa.array(~toxic))
 
     return documents.mapInArrow(run, documents.schema)

@@ -389,6 +389,74 @@ def test_marginals():
     assert post == pytest.approx(total / z)
 
 
+def test_marginals_of_long_chains(monkeypatch):
+    """Cut into segments or not, chains of any length have the same messages."""
+    rng = np.random.default_rng(2)
+    length = np.array([1, 2, 3, 4, 7, 8, 9, 30, 31, 500])
+    begin = np.cumsum(length) - length
+    emit, step = rng.normal(size=length.sum()) * 4, rng.normal(size=(2, 2)) * 3
+    monkeypatch.setattr(toxicity, "SEGMENT", 10**6)
+    whole = toxicity.marginals(emit, begin, length, step)
+    for segment in (1, 3, 4, 128):
+        monkeypatch.setattr(toxicity, "SEGMENT", segment)
+        for x, y in zip(whole, toxicity.marginals(emit, begin, length, step)):
+            assert y == pytest.approx(x, abs=1e-9)
+
+
+def test_toxicity_by_brute_force(spark):
+    """Every row's score, peak and spans, from the plain recursion over its sentences; odd rows among them."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["vile", "calm", "tree", "Vile", "water.", "so\n", "é!", "stone"]) for _ in range(rng.randrange(1, 40))) for _ in range(60)]
+    texts += [None, "", " . \n!", texts[0], "vile " * 4000, "calm tree " * 3000, "no end here " * 500 + "vile"]
+    docs = make(spark, [(k % 60, t, "clash", 1) for k, t in enumerate(texts)] + [(None, "vile vile", "", 0)])
+    train = make(spark, [(k, ("vile " if k % 4 == 0 else "calm ") + words(rng, 20, 300), "", 0) for k in range(200)])
+    model = toxicity.train(train, spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(200)], "doc_id long, toxic int"))
+    lookup = toxicity.Rows(model)
+
+    def plain(text):
+        found = [(m.group(), *m.span()) for m in toxicity.TOKEN.finditer(text or "")]
+        score, peak, hot, chain = 0.0, 0.0, [], []
+        for k, (w, *_) in enumerate([*found, (".", 0, 0)]):
+            if w[0] not in toxicity.ENDS:
+                chain.append(k)
+                continue
+            rows = [0, *(lookup[found[c][0]] for c in chain), 0]
+            emit = [model.bias + model.weights[b, 0] + model.weights[a, 1] + model.weights[c, 2] for a, b, c in zip(rows, rows[1:], rows[2:])]
+            n, s = len(emit), model.step
+            f, g = np.zeros((n, 2)), np.zeros((n, 2))
+            for i in range(n):
+                for y in (0, 1):
+                    f[i, y] = y * emit[i] + (np.logaddexp(f[i - 1, 0] + s[0, y], f[i - 1, 1] + s[1, y]) if i else 0)
+            for i in range(n - 2, -1, -1):
+                for y in (0, 1):
+                    g[i, y] = np.logaddexp(g[i + 1, 0] + s[y, 0], g[i + 1, 1] + s[y, 1] + emit[i + 1])
+            for i, c in enumerate(chain):
+                p = 1 / (1 + np.exp(f[i, 0] + g[i, 0] - f[i, 1] - g[i, 1]))
+                peak = max(peak, p)
+                if p >= 0.5:
+                    score += p
+                    hot.append(c)
+            chain = []
+        spans = []
+        for c in hot:
+            if spans and spans[-1][2] == c - 1:
+                spans[-1] = (spans[-1][0], found[c][2], c)
+            else:
+                spans.append((found[c][1], found[c][2], c))
+        return round(score, 4), round(peak, 4), [s[:2] for s in spans]
+
+    got = sorted((repr(r["doc_id"]), round(r["toxicity"], 4), round(r["peak"], 4), [tuple(s) for s in r["spans"]], r["toxic"]) for r in toxicity.score(docs, model).collect())
+    want = []
+    for r in docs.collect():
+        score, peak, spans = plain(r["text"])
+        want.append((repr(r["doc_id"]), pytest.approx(score, abs=2e-3), pytest.approx(peak, abs=2e-4), spans, score >= model.enough))
+    assert len(got) == len(want)
+    left = list(got)
+    for w in want:
+        left.remove(next(g for g in left if all(x == y for x, y in zip(w, g))))
+    assert model.words and any(w[4] for w in want) and not all(w[4] for w in want)
+
+
 def ppm(texts, text, order):
     counts = {}
     for t in texts:
