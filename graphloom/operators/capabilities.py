@@ -56,9 +56,10 @@ def impact(graph: Graph, seeds: DataFrame, mode: str = "local") -> DataFrame:
 
 @capability("BlastRadius")
 def blast(graph: Graph, seeds: DataFrame, mode: str = "local") -> DataFrame:
+    """(seed, affected, radius): how many others a seed's impact holds; the label counts the seed too, up to the mode's limit of nodes."""
     sizes = impact(graph, seeds, mode).groupBy("seed").agg(F.countDistinct("id").alias("affected"))
     every = seeds.select(F.col("id").alias("seed")).join(sizes, "seed", "left").select("seed", F.coalesce("affected", F.lit(0)).cast("long").alias("affected"))
-    return every.withColumn("radius", blast_radius(F.col("affected")))
+    return every.withColumn("radius", blast_radius(F.least(F.col("affected") + 1, F.lit(IMPACT[mode][1]))))
 
 
 @capability("DeadCode")
@@ -113,34 +114,51 @@ def dependency_hierarchy(graph: Graph, seeds: DataFrame | None = None) -> DataFr
     return dependency_analysis(graph, seeds)
 
 
-def _kinds_and_edges(types: tuple[str, ...], relations: tuple[str, ...], pattern: str | None = None):
-    """(role, id): nodes of some types or names, and the other ends of some of their edges."""
+def _kinds_and_edges(types: tuple[str, ...], out: tuple[str, ...] | None, into: tuple[str, ...] | None, pattern: str | None = None, fields=("name",), touching: bool = True):
+    """(role, id): nodes of some types or names, and the other ends of their edges ``out`` and ``into`` (None: of all relations).
+
+    Where ``touching`` is off, all edges of the relations count, whatever they join.
+    """
 
     def analyse(graph: Graph) -> DataFrame:
         own = F.col("type").isin(*types)
         if pattern:
-            own = own | F.lower("name").rlike(pattern)
+            own = own | F.lower(F.concat_ws(" ", *fields)).rlike(pattern)
+        if types == ("Framework",) and "framework" in graph.nodes.columns:
+            own = own | F.col("framework").isNotNull()
         nodes = graph.nodes.where(own).select("id")
-        near = lookup.neighbours(graph, nodes, "both", relations).select("id").distinct()
-        near = near.join(nodes, "id", "left_anti")
+        if touching:
+            near = lookup.neighbours(graph, nodes, "outbound", out).union(lookup.neighbours(graph, nodes, "inbound", into)).select("id")
+        else:
+            e = graph.by_relation(out)
+            near = e.select(F.col("src").alias("id")).union(e.select("dst")).join(graph.nodes.select("id"), "id", "left_semi")
+        near = near.distinct().join(nodes, "id", "left_anti")
         return nodes.select(F.lit("subject").alias("role"), "id").union(near.select(F.lit("related").alias("role"), "id"))
 
     return analyse
 
 
-for _name, _types, _relations, _pattern in (
-    ("AuthenticationFlow", (), ("AUTHORIZES", "HANDLES", "READS"), "auth|login|session|token"),
-    ("AuthorizationFlow", ("Permission", "Guard", "Middleware"), ("AUTHORIZES", "USES"), "permission|role|guard"),
-    ("ConfigurationUsage", ("Configuration", "EnvironmentVariable", "BuildTarget"), ("CONFIGURES", "READS", "WRITES"), None),
-    ("EnvironmentUsage", ("EnvironmentVariable",), ("READS", "WRITES"), None),
-    ("ProviderGraph", ("Provider", "Service", "Factory", "Module", "Repository"), ("INJECTS", "PROVIDES", "REGISTERED_IN", "DEPENDS_ON"), None),
-    ("ModuleOverview", ("Module", "Package", "Workspace"), ("CONTAINS", "IMPORTS", "EXPORTS", "DEPENDS_ON", "PROVIDES", "REGISTERED_IN"), None),
-    ("PackageOverview", ("Package", "Dependency"), ("DEPENDS_ON", "CONTAINS", "PROVIDES"), None),
-    ("ServiceOverview", ("Service",), ("PROVIDES", "CALLS", "INJECTS", "CONTAINS"), None),
-    ("FrameworkSummary", ("Framework",), ("USES", "PROVIDES"), None),
-    ("FindDatabaseAccess", ("DatabaseTable", "Model", "Repository"), ("READS", "WRITES", "USES", "CALLS"), "database|sql|repository"),
-):
-    REGISTRY[_name] = _kinds_and_edges(_types, _relations, _pattern)
+_AUTH, _CONFIG, _STORE = ("AUTHORIZES", "HANDLES", "READS"), ("CONFIGURES", "READS", "WRITES"), ("READS", "WRITES", "USES", "CALLS")
+for _name, _args in {
+    "AuthenticationFlow": ((), _AUTH, _AUTH, "auth|login|session|jwt|guard|permission", ("id", "name")),
+    "AuthorizationFlow": (("Permission", "Guard", "Middleware", "Route", "Controller"), ("AUTHORIZES", "USES"), None, "permission|authorize|guard|role|policy", ("name",), False),
+    "ConfigurationUsage": (("Configuration", "EnvironmentVariable", "BuildTarget"), _CONFIG, _CONFIG),
+    "EnvironmentUsage": (("EnvironmentVariable",), ("READS", "WRITES"), ("READS", "WRITES")),
+    "ProviderGraph": (("Provider", "Service", "Factory", "Module", "Repository"), ("INJECTS", "PROVIDES", "REGISTERED_IN", "DEPENDS_ON"), None, None, ("name",), False),
+    "ModuleOverview": (("Module", "Package", "Workspace"), ("CONTAINS", "IMPORTS", "EXPORTS", "PROVIDES"), ("IMPORTS", "REGISTERED_IN")),
+    "PackageOverview": (("Package", "Dependency"), ("DEPENDS_ON", "IMPORTS", "EXPORTS"), ("DEPENDS_ON", "IMPORTS", "USES")),
+    "FrameworkSummary": (("Framework",), None, None),
+    "FindDatabaseAccess": (("DatabaseTable", "Model", "Repository"), _STORE, _STORE, "database|sql|repository"),
+}.items():
+    REGISTRY[_name] = _kinds_and_edges(*_args)
+
+
+@capability("ServiceOverview")
+def service_overview(graph: Graph, depth: int = 2) -> DataFrame:
+    """(role, id): services, providers and what is named a service, and their semantic expansion."""
+    own = graph.nodes.where(F.col("type").isin("Service", "Provider") | F.col("name").endswith("Service")).select("id")
+    near = walk.walk(graph, own, "both", depth, EXPANSION).select("id").distinct().join(own, "id", "left_anti")
+    return own.select(F.lit("subject").alias("role"), "id").union(near.select(F.lit("related").alias("role"), "id"))
 
 
 @capability("CircularDependencies")
@@ -161,7 +179,8 @@ def health(graph: Graph) -> DataFrame:
 
 @capability("RiskAnalysis")
 def risk(graph: Graph, k: int = 15) -> DataFrame:
-    return measure.most_connected(graph, [r[0] for r in graph.nodes.select("type").distinct().collect()], k)
+    """The best connected modules, packages, services, providers, controllers and routes."""
+    return measure.most_connected(graph, ("Module", "Package", "Service", "Provider", "Controller", "Route"), k)
 
 
 @capability("FeatureTouchpoints")

@@ -96,3 +96,46 @@ def owner_by_prefix(paths: DataFrame, packages: DataFrame) -> DataFrame:
     each = paths.select("path", F.posexplode(prefixes).alias("depth", "folder"))
     joined = each.join(packages, "folder")
     return joined.groupBy("path").agg(F.max_by("package", F.struct("depth", "package")).alias("package"))
+
+
+def find_one(nodes: DataFrame, text: str) -> DataFrame:
+    """The first node, by id, of the best kind of match."""
+    return resolve(nodes, text).orderBy("id").limit(1)
+
+
+def services(nodes: DataFrame) -> DataFrame:
+    return nodes.where((F.col("type") == "Service") | F.col("name").endswith("Service"))
+
+
+def routes(nodes: DataFrame) -> DataFrame:
+    return nodes.where("type = 'Route'")
+
+
+def models(nodes: DataFrame) -> DataFrame:
+    return nodes.where("type IN ('Model', 'Interface')")
+
+
+def incident(graph: Graph, id_: str, direction: str = "both", relations=None) -> DataFrame:
+    """(side, relation, id): the edges into and out of one node, whether their other ends have a node or not."""
+    e = graph.by_relation(relations)
+    into = e.where(F.col("dst") == id_).select(F.lit("incoming").alias("side"), F.col("type").alias("relation"), F.col("src").alias("id"))
+    out = e.where(F.col("src") == id_).select(F.lit("outgoing").alias("side"), F.col("type").alias("relation"), F.col("dst").alias("id"))
+    return {"inbound": into, "outbound": out, "both": into.union(out)}[direction]
+
+
+def inspect_node(graph: Graph, id_: str) -> DataFrame:
+    """(side, relation, id): a node's edges, its callers and callees, and what it is related to."""
+    edges = incident(graph, id_)
+    there = edges.join(graph.nodes.select("id"), "id", "left_semi").where(F.col("id") != id_).select("side", "relation", "id")
+    calls = there.where("relation = 'CALLS'").withColumn("side", F.when(F.col("side") == "incoming", "caller").otherwise("callee"))
+    near = there.select(F.lit("related").alias("side"), F.lit("").alias("relation"), "id").distinct()
+    return edges.union(calls).union(near)
+
+
+def inspect_file(graph: Graph, file: str) -> DataFrame:
+    """(role, id): the nodes of a file, what they import, and what they export."""
+    own = graph.nodes.where(F.col("file") == file).select("id")
+    sides = [own.select(F.lit("node").alias("role"), "id")]
+    for role, relation in (("import", "IMPORTS"), ("export", "EXPORTS")):
+        sides.append(graph.by_relation([relation]).join(own.withColumnRenamed("id", "src"), "src", "left_semi").select(F.lit(role).alias("role"), F.col("dst").alias("id")).distinct())
+    return sides[0].union(sides[1]).union(sides[2])

@@ -71,7 +71,7 @@ CONCERNS = (
     ("Controllers", ("Controller",), None),
     ("Services", ("Service", "Provider", "Factory"), None),
     ("Modules", ("Module", "Package", "Workspace", "Application"), None),
-    ("Persistence", ("Repository", "DatabaseTable", "Model", "Resource"), "repository|prisma|database|fhir"),
+    ("Persistence", ("Repository", "DatabaseTable", "Model", "Resource"), "repository|prisma|database"),
     ("Configuration", ("Configuration", "EnvironmentVariable", "BuildTarget"), None),
     ("Authorization", ("Permission", "Guard", "Middleware"), "auth|permission|guard"),
     ("Language", ("Function", "Method", "Class", "Interface", "TypeAlias", "Enum", "Field"), None),
@@ -81,12 +81,13 @@ CONCERNS = (
 
 
 def concern() -> Column:
-    """The first concern whose types or name pattern a node meets."""
+    """The first concern whose types a node has, or whose pattern its id, name or file meets."""
+    said = F.lower(F.concat_ws(" ", "id", "name", F.coalesce("file", F.lit(""))))
     chain: Column | None = None
     for label, types, pattern in CONCERNS:
         hit = F.col("type").isin(*types)
         if pattern:
-            hit = hit | F.lower("name").rlike(pattern)
+            hit = hit | said.rlike(pattern)
         chain = F.when(hit, label) if chain is None else chain.when(hit, label)
     return chain.otherwise("Other")
 

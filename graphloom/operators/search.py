@@ -2,36 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.functions.columns import bigrams, half_up, normal_text, tokens
 from graphloom.graph import Graph
-from graphloom.operators.measure import degrees
 
-#: Layer, importance and bonus of each kind of node.
-KINDS = {
-    "Workspace": ("structure", 20), "Package": ("structure", 25), "Service": ("application", 60), "Controller": ("application", 50),
-    "Route": ("interface", 45), "Function": ("implementation", 40), "Method": ("implementation", 35), "Module": ("structure", 30), "Class": ("implementation", 45),
-}
+#: Architecture layers by kind of node; every other kind is of the language.
+LAYERS = {
+    "application-boundary": ("Route", "Controller", "Operation", "Middleware", "Guard"),
+    "application-service": ("Service", "Provider", "Factory"),
+    "persistence": ("Repository", "DatabaseTable", "Model", "Resource"),
+    "configuration": ("Configuration", "EnvironmentVariable", "BuildTarget", "Script", "Task"),
+    "architecture": ("Package", "Workspace", "Application", "Framework", "Dependency"),
+}
+#: Weights by kind of node in its importance; every other kind weighs 1.
+WEIGHTS = {5: ("Workspace", "Application"), 4: ("Package", "Module", "Controller", "Route", "Service"), 3: ("Provider", "Repository", "Configuration", "EnvironmentVariable")}
+
+
+def by_kind(table: dict, default) -> Column:
+    chain = None
+    for value, types in table.items():
+        hit = F.col("type").isin(*types)
+        chain = F.when(hit, F.lit(value)) if chain is None else chain.when(hit, F.lit(value))
+    return chain.otherwise(F.lit(default))
 
 
 def entries(graph: Graph) -> DataFrame:
-    """(id, name, type, file, package, words, layer, importance, usage) of every node."""
-    kinds = graph.nodes.sparkSession.createDataFrame([(k, *v) for k, v in KINDS.items()], "type string, layer string, weight int")
-    d = degrees(graph).select("id", "degree")
-    n = graph.nodes.select("id", "name", "type", "file", "package").join(F.broadcast(kinds), "type", "left").join(d, "id", "left")
-    usage = F.coalesce("degree", F.lit(0))
+    """(id, name, type, file, package, words, layer, importance, usage) of every node.
+
+    Importance is the kind's weight, log2(degree + 1) and log2(inbound + 1); both
+    ends of an edge are counted in one scan.
+    """
+    ends = F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(0).alias("into")), F.struct(F.col("dst").alias("id"), F.lit(1).alias("into"))))
+    d = graph.edges.select(ends.alias("e")).groupBy("e.id").agg(F.count("*").alias("degree"), F.sum("e.into").alias("inbound"))
+    n = graph.nodes.select("id", "name", "type", "file", "package").join(d, "id", "left")
+    usage, inbound = F.coalesce("degree", F.lit(0)), F.coalesce("inbound", F.lit(0))
+    importance = half_up(by_kind(WEIGHTS, 1) + F.log2(usage + 1) + F.log2(inbound + 1), 3)
     return n.select(
-        "id", "name", "type", "file", "package", tokens(F.concat_ws(" ", "name", "type")).alias("words"), F.coalesce("layer", F.lit("other")).alias("layer"),
-        half_up(F.least(F.lit(90.0), F.coalesce("weight", F.lit(10)) + 5 * F.log2(usage + 1)), 3).alias("importance"), usage.alias("usage"),
+        "id", "name", "type", "file", "package", tokens(F.concat_ws(" ", "name", "type")).alias("words"),
+        by_kind(LAYERS, "language").alias("layer"), importance.alias("importance"), usage.alias("usage"),
     )
 
 
 def postings(entries_: DataFrame, id_column: str = "id", words: str = "words") -> DataFrame:
-    """(term, id): the inverted index, in long form and without caps."""
-    return entries_.select(F.explode(words).alias("term"), F.col(id_column).alias("id")).distinct()
+    """(term, id): the inverted index, in long form and without caps; the words of an entry are distinct already."""
+    return entries_.select(F.explode_outer(words).alias("term"), F.col(id_column).alias("id")).where("term IS NOT NULL")
 
 
 def vocabulary(posts: DataFrame, k: int | None = None) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import columns as C
-from graphloom.graph import DEPENDENCY, OWNERSHIP, USAGE, Graph
-from graphloom.operators import capabilities, diff, history, lookup, measure, quality, search, structure, walk
+from graphloom.graph import DEPENDENCY, EXPANSION, OWNERSHIP, USAGE, Graph
+from graphloom.operators import capabilities, diff, history, lookup, measure, quality, report, search, structure, walk
 from graphloom.sources import graph_files
 from graphloom.sources import relational as R
 
@@ -206,11 +206,6 @@ def ownership_edges(g: Graph) -> DataFrame:
     return capabilities.run("OwnershipAnalysis", g, seeds=g.of_types("Route", "Function"))
 
 
-@on_graph("SELECT 'subject' AS role, id FROM nodes WHERE type = 'Service' UNION ALL (SELECT DISTINCT 'related', src FROM edges WHERE dst LIKE 'supplier:%' UNION SELECT DISTINCT 'related', dst FROM edges WHERE src LIKE 'supplier:%')")
-def service_overview(g: Graph) -> DataFrame:
-    return capabilities.run("ServiceOverview", g)
-
-
 @query("""WITH p AS (SELECT DISTINCT p_type || '/' || p_brand || '/' || p_name AS path FROM part),
 k AS (SELECT DISTINCT p_type AS folder FROM part UNION SELECT DISTINCT p_type || '/' || p_brand FROM part WHERE p_size > 25)
 SELECT path, arg_max(folder, length(folder)) AS package FROM p JOIN k ON starts_with(path, folder || '/') GROUP BY path""")
@@ -268,11 +263,13 @@ def descendants(g: Graph) -> DataFrame:
     return walk.reach(g, g.of_types("Controller"))
 
 
-@on_graph(""", p AS (SELECT 'region:' || n_regionkey AS seed, 'part:' || l_partkey AS id,
-  'region:' || n_regionkey || '>nation:' || n_nationkey || '>supplier:' || s_suppkey || '>part:' || l_partkey AS path,
-  ['region:' || n_regionkey, 'nation:' || n_nationkey, 'supplier:' || s_suppkey, 'part:' || l_partkey] AS a
-  FROM nation JOIN supplier ON s_nationkey = n_nationkey JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) ON l_suppkey = s_suppkey)
-SELECT seed, id, 3 AS hops, arg_min(path, a) AS path FROM p GROUP BY seed, id""")
+@on_graph(""", hops3 AS (SELECT n_regionkey AS r, l_partkey AS p, ['region:' || n_regionkey, 'nation:' || n_nationkey, 'supplier:' || s_suppkey, 'part:' || l_partkey] AS a
+  FROM nation JOIN supplier ON s_nationkey = n_nationkey JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) ON l_suppkey = s_suppkey),
+hops4 AS (SELECT n_regionkey AS r, l_partkey AS p, ['region:' || n_regionkey, 'nation:' || n_nationkey, 'customer:' || c_custkey, 'orders:' || o_orderkey, 'part:' || l_partkey] AS a
+  FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey),
+best AS (SELECT r, p, min(a) AS a FROM hops3 GROUP BY r, p
+  UNION ALL SELECT r, p, min(a) FROM hops4 WHERE NOT EXISTS (SELECT 1 FROM hops3 h WHERE h.r = hops4.r AND h.p = hops4.p) GROUP BY r, p)
+SELECT 'region:' || r AS seed, 'part:' || p AS id, CAST(len(a) - 1 AS INTEGER) AS hops, array_to_string(a, '>') AS path FROM best""")
 def shortest_path(g: Graph) -> DataFrame:
     return walk.shortest_paths(g, g.of_types("Workspace"), g.of_types("Function"))
 
@@ -293,20 +290,55 @@ def boundary_walk(g: Graph) -> DataFrame:
     return walk.boundary(g, lookup.find(g.nodes, id="region:1"), "outbound", 2)
 
 
-@on_graph(""", ups AS (SELECT dst AS seed, src AS id, 1 AS depth, 'dependent' AS side FROM edges WHERE type = 'PROVIDES'),
-downs AS (SELECT src AS seed, dst AS id, 1 AS depth, 'dependency' AS side FROM edges WHERE type = 'PROVIDES')
-SELECT DISTINCT * FROM ups UNION ALL SELECT DISTINCT * FROM downs""")
+def around_sql(kinds) -> str:
+    """``around``: what is at most two steps along the expansion's relations from nodes of some kinds."""
+    return f""", seeds AS (SELECT id FROM nodes WHERE type IN ({names(kinds)})),
+sides AS (SELECT src AS here, dst AS there FROM edges WHERE type IN ({names(EXPANSION)}) UNION SELECT dst, src FROM edges WHERE type IN ({names(EXPANSION)})),
+one AS (SELECT here AS seed, there AS id FROM sides WHERE here IN (SELECT id FROM seeds)),
+two AS (SELECT DISTINCT one.seed, there AS id FROM one JOIN sides ON here = one.id),
+around AS (SELECT seed, id, min(depth) AS depth FROM (SELECT *, 1 AS depth FROM one UNION ALL SELECT *, 2 FROM two) WHERE seed <> id GROUP BY seed, id)"""
+
+
+@on_graph(f"""{around_sql(("Service", "Function"))}, ups AS (SELECT DISTINCT dst AS seed, src AS id, 1 AS depth, 'dependent' AS side FROM edges WHERE type = 'PROVIDES'),
+downs AS (SELECT DISTINCT src AS seed, dst AS id, 1 AS depth, 'dependency' AS side FROM edges WHERE type = 'PROVIDES')
+SELECT * FROM ups UNION ALL SELECT * FROM downs UNION ALL SELECT seed, id, CAST(depth AS INTEGER), 'expansion' FROM around""")
 def impact_local(g: Graph) -> DataFrame:
     return capabilities.run("ImpactAnalysis", g, seeds=g.of_types("Service", "Function"))
 
 
-@on_graph(""", c AS (SELECT src AS seed, count(DISTINCT dst) AS affected FROM edges WHERE type = 'PROVIDES' GROUP BY src)
-SELECT id AS seed, coalesce(affected, 0) AS affected, CASE WHEN coalesce(affected, 0) = 0 THEN 'none' WHEN affected <= 5 THEN 'small' WHEN affected <= 25 THEN 'medium' ELSE 'large' END AS radius
+@on_graph(f"""{around_sql(("Service",))}, every AS (SELECT seed, id FROM around UNION SELECT src, dst FROM edges WHERE type = 'PROVIDES'),
+c AS (SELECT seed, count(*) AS affected FROM every GROUP BY seed)
+SELECT id AS seed, coalesce(affected, 0) AS affected, CASE WHEN least(coalesce(affected, 0) + 1, 50) >= 100 THEN 'large' WHEN least(coalesce(affected, 0) + 1, 50) >= 25 THEN 'medium' ELSE 'small' END AS radius
 FROM nodes LEFT JOIN c ON id = seed WHERE type = 'Service'""")
 def blast_radius(g: Graph) -> DataFrame:
     return capabilities.run("BlastRadius", g, seeds=g.of_types("Service"))
 
 
+@on_graph(f"""{around_sql(("Service",))} SELECT 'subject' AS role, id FROM seeds UNION ALL SELECT DISTINCT 'related', id FROM around WHERE id NOT IN (SELECT id FROM seeds)""")
+def service_overview(g: Graph) -> DataFrame:
+    return capabilities.run("ServiceOverview", g)
+
+
+@on_graph("SELECT 'subject' AS role, id FROM nodes WHERE type IN ('Package', 'Workspace') UNION ALL SELECT DISTINCT 'related', dst FROM edges WHERE src SIMILAR TO '(region|nation):.*' AND dst NOT LIKE 'nation:%'")
+def module_overview(g: Graph) -> DataFrame:
+    return capabilities.run("ModuleOverview", g)
+
+
+@on_graph("SELECT 'subject' AS role, id FROM nodes WHERE type IN ('Route', 'Controller') OR regexp_matches(lower(name), 'permission|authorize|guard|role|policy')")
+def authorization_flow(g: Graph) -> DataFrame:
+    return capabilities.run("AuthorizationFlow", g)
+
+
+@on_graph("SELECT 'subject' AS role, id FROM nodes WHERE type IN ('Service') UNION ALL SELECT DISTINCT 'related', dst FROM edges WHERE type = 'PROVIDES'")
+def provider_graph(g: Graph) -> DataFrame:
+    return capabilities.run("ProviderGraph", g)
+
+
+@on_graph(f", {DEGREE} SELECT n.id, n.type, coalesce(degree, 0) AS degree FROM nodes n LEFT JOIN d USING (id) WHERE type IN ('Package', 'Service', 'Controller', 'Route') ORDER BY degree DESC, id LIMIT 15")
+def risk_analysis(g: Graph) -> DataFrame:
+    return capabilities.run("RiskAnalysis", g)
+
+
 # structure
 
 
@@ -491,15 +523,16 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.postings(docs, "doc_id")
 
 
-WEIGHTS = "CASE type WHEN 'Workspace' THEN 20 WHEN 'Package' THEN 25 WHEN 'Service' THEN 60 WHEN 'Controller' THEN 50 WHEN 'Route' THEN 45 WHEN 'Function' THEN 40 END"
-ENTRIES = f""", {DEGREE}, e AS (SELECT n.id, n.name, n.type, coalesce(degree, 0) AS usage,
+WEIGHTS = "CASE WHEN type IN ('Workspace') THEN 5 WHEN type IN ('Package', 'Controller', 'Route', 'Service') THEN 4 ELSE 1 END"
+LAYER = "CASE WHEN type IN ('Route', 'Controller') THEN 'application-boundary' WHEN type = 'Service' THEN 'application-service' WHEN type IN ('Package', 'Workspace') THEN 'architecture' ELSE 'language' END"
+ENTRIES = f""", {DEGREE}, ins AS (SELECT dst AS id, count(*) AS inbound FROM edges GROUP BY dst), e AS (SELECT n.id, n.name, n.type, coalesce(degree, 0) AS usage, {LAYER} AS layer,
  list_sort(list_distinct(string_split({normal("n.name || ' ' || n.type")}, ' '))) AS words,
- floor(least(90, {WEIGHTS} + 5 * log2(coalesce(degree, 0) + 1)) * 1000 + 0.5) / 1000 AS importance FROM nodes n LEFT JOIN d USING (id))"""
+ floor(({WEIGHTS} + log2(coalesce(degree, 0) + 1) + log2(coalesce(inbound, 0) + 1)) * 1000 + 0.5) / 1000 AS importance FROM nodes n LEFT JOIN d USING (id) LEFT JOIN ins USING (id))"""
 
 
-@on_graph(f"{ENTRIES} SELECT id, type, array_to_string(words, ' ') AS words, importance, usage FROM e")
+@on_graph(f"{ENTRIES} SELECT id, type, layer, array_to_string(words, ' ') AS words, importance, usage FROM e")
 def search_entries(g: Graph) -> DataFrame:
-    return search.entries(g).select("id", "type", F.array_join("words", " ").alias("words"), "importance", "usage")
+    return search.entries(g).select("id", "type", "layer", F.array_join("words", " ").alias("words"), "importance", "usage")
 
 
 @on_graph(f"""{ENTRIES}, q AS (SELECT ['blue', 'ring'] AS w, 'blue ring' AS said),
@@ -519,8 +552,8 @@ def feature_buckets(g: Graph) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT DISTINCT item_id AS id, unnest(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')) AS term FROM benchmark),
-u AS (SELECT *, count(*) OVER (PARTITION BY term) AS n FROM t WHERE term <> '')
-SELECT a.id AS a, b.id AS b, count(*) AS shared FROM u a JOIN u b ON a.term = b.term AND a.id < b.id WHERE a.n <= 400 AND b.n <= 400 GROUP BY 1, 2 HAVING count(*) >= 2""")
+u AS (SELECT * FROM t WHERE term <> '')
+SELECT a.id AS a, b.id AS b, count(*) AS shared FROM u a JOIN u b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2""")
 def related_by_term(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = R.table(spark, sf_dir, "benchmark").select("item_id", C.tokens(F.lower("text")).alias("words"))
     return search.related_by_terms(search.postings(items, "item_id"))
@@ -559,3 +592,80 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.streaming.ingest import windowed_counts
 
     return windowed_counts(R.table(spark, sf_dir, "events"), "ts", "event_type").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+# lookups of one node, forms of text, whole reports
+
+
+@on_graph("SELECT id, name FROM nodes WHERE type = 'Service' OR name LIKE '%Service'")
+def services_found(g: Graph) -> DataFrame:
+    return lookup.services(g.nodes).select("id", "name")
+
+
+@on_graph("SELECT id, type, name FROM nodes WHERE name = 'small ring' ORDER BY id LIMIT 1")
+def one_found(g: Graph) -> DataFrame:
+    return lookup.find_one(g.nodes, "small ring").select("id", "type", "name")
+
+
+@on_graph("""SELECT 'incoming' AS side, type AS relation, src AS id FROM edges WHERE dst = 'nation:3' UNION ALL SELECT 'outgoing', type, dst FROM edges WHERE src = 'nation:3'
+UNION ALL (SELECT 'related', '', src FROM edges WHERE dst = 'nation:3' UNION SELECT 'related', '', dst FROM edges WHERE src = 'nation:3')""")
+def node_inspected(g: Graph) -> DataFrame:
+    return lookup.inspect_node(g, "nation:3")
+
+
+@query(r"""WITH p AS (SELECT p_partkey, p_name, lower(p_type) || '/' || p_name || '.v1.ts' AS path, string_split(p_name, ' ') AS w FROM part),
+t AS (SELECT *, array_to_string(list_transform(w, lambda x: upper(x[1]) || x[2:]), ' ') AS title, w[len(w)] AS last FROM p)
+SELECT p_partkey, p_name || '.v1' AS stem, split_part(path, '/', 1) AS folder, title, lower(regexp_replace(replace(title, ' ', ''), '([a-z0-9])([A-Z])', '-', 'g')) AS kebab,
+ CASE WHEN last LIKE '%y' AND length(last) > 2 THEN last[:-2] || 'ies' WHEN last LIKE '%s' THEN last ELSE last || 's' END AS many,
+ CASE WHEN last LIKE '%ies' AND length(last) > 4 THEN last[:-4] || 'y' WHEN last LIKE '%sses' THEN last[:-3] WHEN last LIKE '%s' AND last NOT LIKE '%ss' AND length(last) > 3 THEN last[:-2] ELSE last END AS one,
+ CASE WHEN length(p_name) > 8 THEN p_name[:8] || '...[truncated]' ELSE p_name END AS short,
+ array_to_string(list_sort(list_distinct([array_to_string(w, ' '), array_to_string(w, ''), array_to_string(w, '-'), array_to_string(w, '_')])), '|') AS variants FROM t""")
+def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = R.table(spark, sf_dir, "part").withColumn("path", F.concat(F.lower("p_type"), F.lit("/"), "p_name", F.lit(".v1.ts")))
+    name, last, title = F.col("p_name"), F.substring_index("p_name", " ", -1), C.title_case(F.col("p_name"))
+    return p.select(
+        "p_partkey", C.file_stem(F.col("path")).alias("stem"), C.folder(F.col("path")).alias("folder"), title.alias("title"), C.kebab_case(F.replace(title, F.lit(" "), F.lit(""))).alias("kebab"),
+        C.plural(last).alias("many"), C.singular(last).alias("one"), C.shorten(name, 8).alias("short"), F.array_join(C.variants(name), "|").alias("variants"),
+    )
+
+
+@query("SELECT doc_id, md5(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]', '', 'g')) AS folded FROM documents")
+def folded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.table(spark, sf_dir, "documents").select("doc_id", F.md5(C.fold(F.col("text"))).alias("folded"))
+
+
+@query(f"""WITH {R.TURNS_SQL.strip()}, c AS (SELECT conv_id, count(*) AS size FROM turn_nodes GROUP BY conv_id),
+d AS (SELECT t.id, CASE WHEN size = 1 THEN 0 WHEN n = 1 OR n = size THEN 1 ELSE 2 END AS degree FROM turn_nodes t JOIN c USING (conv_id)),
+s AS (SELECT count(*) AS n_nodes, count(*) FILTER (n > 1) AS n_edges, min(id) FILTER (n > 1) AS most_imported FROM turn_nodes)
+SELECT n_nodes, n_edges, floor(n_edges / (CAST(n_nodes AS DOUBLE) * (n_nodes - 1)) * 10000 + 0.5) / 10000 AS density, floor(2 * n_edges / CAST(n_nodes AS DOUBLE) * 10000 + 0.5) / 10000 AS average_degree,
+ (SELECT max(degree) FROM d) AS max_degree, (SELECT min(id) FROM d WHERE degree = (SELECT max(degree) FROM d)) AS max_degree_id,
+ (SELECT count(*) FROM c) AS components, (SELECT max(size) FROM c) AS largest_component, most_imported, 1 AS most_imported_n, NULL AS most_depended, 0 AS most_depended_n,
+ CASE WHEN n_nodes <= 250 THEN (SELECT floor(sum(size * size * size - size) / 3 / sum(size * size - size) * 10000 + 0.5) / 10000 FROM c) END AS average_path_length FROM s""")
+def full_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.full_statistics(R.turn_forest(spark, sf_dir))
+
+
+def _judged(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
+    d = R.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars").join(R.table(spark, sf_dir, "labels"), "doc_id")
+    q = [F.concat_ws("/", "lang", "source").alias("question"), F.col("doc_id").alias("item")]
+    return quality.evaluate(d.where("quality = 1").select(*q), d.where(F.col("n_chars") >= least).select(*q))
+
+
+def judged_sql(name: str, least: int) -> str:
+    return f"""{name}_g AS (SELECT concat_ws('/', lang, source) AS question, count(DISTINCT doc_id) FILTER (quality = 1) AS expected, count(DISTINCT doc_id) FILTER (n_chars >= {least}) AS predicted,
+ count(DISTINCT doc_id) FILTER (quality = 1 AND n_chars >= {least}) AS hits FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING expected + predicted > 0),
+{name} AS (SELECT question, CASE WHEN predicted > 0 THEN floor(hits / predicted * 10000 + 0.5) / 10000 ELSE 0 END AS precision, CASE WHEN expected > 0 THEN floor(hits / expected * 10000 + 0.5) / 10000 ELSE 1 END AS recall,
+ CASE WHEN hits = expected AND predicted = hits THEN 'PASS' WHEN hits > 0 THEN 'PARTIAL' ELSE 'FAIL' END AS status FROM {name}_g)"""
+
+
+@query(f"""WITH {judged_sql("a", 500)} SELECT split_part(question, '/', 1) AS category, count(*) AS questions, count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (status = 'PARTIAL') AS partial,
+ count(*) FILTER (status = 'FAIL') AS failed, floor(avg(precision) * 10000 + 0.5) / 10000 AS precision, floor(avg(recall) * 10000 + 0.5) / 10000 AS recall FROM a GROUP BY 1""")
+def evaluation_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.roll_up(_judged(spark, sf_dir, 500).withColumn("lang", F.substring_index("question", "/", 1)), "lang")
+
+
+@query(f"""WITH {judged_sql("a", 500)}, {judged_sql("b", 4000)}, r AS (SELECT question, a.status AS was, b.status AS now, CASE a.status WHEN 'PASS' THEN 2 WHEN 'PARTIAL' THEN 1 WHEN 'FAIL' THEN 0 END AS x,
+ CASE b.status WHEN 'PASS' THEN 2 WHEN 'PARTIAL' THEN 1 WHEN 'FAIL' THEN 0 END AS y FROM a FULL JOIN b USING (question))
+SELECT question, was, now, CASE WHEN x IS NULL THEN 'added' WHEN y IS NULL THEN 'removed' WHEN y > x THEN 'improved' WHEN y < x THEN 'regressed' ELSE 'same' END AS change FROM r""")
+def evaluation_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.regression(_judged(spark, sf_dir, 500), _judged(spark, sf_dir, 4000))

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import columns as C
 from graphloom.graph import Graph, last_write, merge_nodes
-from graphloom.operators import capabilities, diff, history, lookup, measure, quality, search, structure, walk
+from graphloom.operators import capabilities, diff, history, lookup, measure, quality, report, search, structure, walk
 from graphloom.plans import catalog
 from graphloom.plans.steps import Step, execute, levels
-from graphloom.sources import graph_files
+from graphloom.sources import graph_files, manifests
 from graphloom.sources.relational import star_graph
 from graphloom.streaming import ingest
 
@@ -253,3 +253,68 @@ def test_capabilities(spark, small):
     assert capabilities.run("EvidencePack", small, phrase="user service").count() >= 1
     with pytest.raises(ValueError):
         capabilities.run("nothing", small)
+
+
+def test_average_path_length(spark):
+    rng = random.Random(9)
+    edges = sorted({("CALLS", f"n:{rng.randrange(20):02}", f"n:{rng.randrange(20):02}") for _ in range(18)})
+    g = graph(spark, [(f"n:{k:02}", "Service" if k == 3 else "Module") for k in range(20)], [*edges, ("DEPENDS_ON", "n:01", "n:03"), ("IMPORTS", "n:03", "n:02")])
+    near = {}
+    for _, a, b in [*edges, ("", "n:01", "n:03"), ("", "n:03", "n:02")]:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    total = pairs = 0
+    groups = set()
+    for k in range(20):
+        seen, level, step = {f"n:{k:02}"}, {f"n:{k:02}"}, 0
+        while level:
+            total, pairs, step = total + step * len(level), pairs + (len(level) if step else 0), step + 1
+            level = {b for a in level for b in near.get(a, ())} - seen
+            seen |= level
+        groups.add(frozenset(seen))
+    row = report.full_statistics(g).first()
+    assert row["average_path_length"] == pytest.approx(total / pairs, abs=1e-4)
+    assert (row["components"], row["largest_component"]) == (len(groups), max(map(len, groups)))
+    assert (row["most_imported"], row["most_depended"], row["most_depended_n"]) == ("n:02", "n:03", 1)
+
+
+def test_manifests(spark, tmp_path):
+    texts = {
+        "package.json": '{"name": "root", "scripts": {"build": "tsc"}, "dependencies": {"react": "^18"}, "devDependencies": {"vitest": "1"}}',
+        "apps/web/package.json": '{"dependencies": {"react": "^18"}}',
+        "apps/bad/package.json": "not json",
+        "node_modules/x/package.json": '{"name": "x"}',
+        "svc/requirements.txt": "flask==2.0\n# note\nnumpy>=1 ; python_version > '3'\n-r other.txt\n",
+        "go.mod": "module example.com/app\n\nrequire (\n\tgithub.com/gin-gonic/gin v1.9.0\n\tgolang.org/x/net v0.1.0 // indirect\n)\n",
+        "Cargo.toml": '[package]\nname = "crate"\n\n[dependencies]\nserde = "1"\ntokio = { version = "1" }\n\n[dev-dependencies]\nx = "1"\n',
+        "pyproject.toml": '[project]\nname = "proj"\ndependencies = [\n  "fastapi>=0.1",\n  "pydantic[email]",\n]\n',
+        ".env.example": "# c\nAPI_KEY=\nexport PORT=3000\n",
+        "Dockerfile": "FROM node:20 AS build\nRUN x\nfrom alpine\n",
+        "docker-compose.yml": "version: '3'\nservices:\n  web:\n    image: x\n  db:\n    image: y\nvolumes:\n  data:\n",
+        "tsconfig.json": "{}",
+        "src/main.ts": "export {}",
+    }
+    for path, text in texts.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    files = manifests.read_files(spark, f"file://{tmp_path}").cache()
+    assert {r["path"]: r["kind"] for r in manifests.inventory(files).collect()}["src/main.ts"] == "typescript"
+    g = manifests.all_facts(files)
+    nodes = {(r["type"], r["name"]) for r in g.nodes.collect()}
+    want = {"Package": "root web svc example.com/app crate proj", "Script": "build", "Task": "root:build", "Container": "node:20 alpine web db", "BuildTarget": "tsconfig.json", "EnvironmentVariable": "API_KEY PORT", "Framework": "React Flask FastAPI",
+            "Dependency": "react vitest flask numpy github.com/gin-gonic/gin golang.org/x/net serde tokio fastapi pydantic"}
+    for kind, said in want.items():
+        assert {n for t, n in nodes if t == kind} == set(said.split()), kind
+    edges = {tuple(r) for r in g.edges.collect()}
+    assert {("DEPENDS_ON", "package:web", "dependency:react"), ("EXECUTES", "script:package.json:build", "task:package.json:root:build"), ("PROVIDES", "dependency:react", "framework:React"), ("CONFIGURES", "configuration:.env.example", "env:PORT")} <= edges
+
+
+def test_text_columns(spark):
+    rows = spark.createDataFrame([("houses", "UserProfileService"), ("classes", "a_b Case"), ("bus", "x"), ("cities", ""), ("day", "authGuard")], "word string, name string")
+    got = rows.select(C.singular(F.col("word")), C.plural(F.col("word")), C.compact(F.col("name")), C.kebab_case(F.col("name")), F.array_join(C.variants(F.col("name")), "|")).collect()
+    assert [r[0] for r in got] == ["house", "class", "bus", "city", "day"]
+    assert [r[1] for r in got] == ["houses", "classes", "bus", "cities", "daies"]
+    assert got[0][2:] == ("userprofileservice", "user-profile-service", "user profile|user profile service|user-profile-service|user_profile_service|userprofile|userprofileservice")
+    assert got[4][4] == "auth|auth guard|auth-guard|auth_guard|authguard"
+    folded = spark.createDataFrame([("Señor Ünlü ß ﬁ Éa\u0301!",)], "t string").select(C.fold(F.col("t"))).first()[0]
+    assert folded == "senorunluea"
