@@ -213,6 +213,39 @@ class Item:
                 v = ((v + u) | (v - u)) & self.full
         return self.n - v.bit_count()
 
+    def common_all(self, where: tuple, known: np.ndarray, h: np.ndarray, lo: np.ndarray, hi: np.ndarray, share: float) -> np.ndarray:
+        """``common`` of every stretch [lo, hi) of ``h``, together; 0 where too few words of the item are there for ``share`` of it.
+
+        ``known`` holds the words of all items, and ``where`` what ``uses`` says of them.
+        """
+        place, order, starts = where
+        out = np.zeros(len(lo), np.int64)
+        own = np.searchsorted(known, np.array(list(self.masks), np.uint64))
+        hits = np.sort(np.concatenate([order[starts[w] : starts[w + 1]] for w in own.tolist()]))
+        # a subsequence is no longer than the stretch has words of the item
+        first, last = np.searchsorted(hits, lo), np.searchsorted(hits, hi)
+        rest = np.flatnonzero((last - first) / self.n >= share)
+        if self.n > 64 or not len(rest):
+            for x in rest.tolist():
+                out[x] = self.common(h[hits[first[x] : last[x]]].tolist())
+            return out
+        masks = np.zeros(len(known) + 1, np.uint64)
+        masks[own] = np.array(list(self.masks.values()), np.uint64)
+        bits = np.append(masks[place[hits]], np.uint64(0))
+        # nor than the places in the item that these words have
+        there = np.bitwise_or.reduceat(bits, np.stack([first[rest], last[rest]], 1).ravel())[::2]
+        rest = rest[(first[rest] < last[rest]) & (np.bitwise_count(there) / self.n >= share)]
+        rest = rest[np.argsort(first[rest] - last[rest], kind="stable")]  # the longest first
+        first, last = first[rest], last[rest]
+        v = np.full(len(rest), self.full, np.uint64)
+        longest = int(last[0] - first[0]) if len(rest) else 0
+        for k, active in enumerate(np.searchsorted(first - last, -np.arange(longest)).tolist()):
+            w = v[:active]
+            u = w & bits[first[:active] + k]
+            v[:active] = (w + u) | (w - u)
+        out[rest] = self.n - np.bitwise_count(v & np.uint64(self.full)).astype(np.int64)
+        return out
+
     def answered(self, words: list[int]) -> float:
         rows = [0] * (len(self.answer) + 1)
         for w in words:
@@ -225,6 +258,25 @@ class Item:
         return rows[-1] / len(self.answer)
 
 
+def uses(known: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """The place in ``known`` of each word of ``h`` (behind it for others), the words by that place, and where each place's begin."""
+    place = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    place[known[place] != h] = len(known)
+    order = np.argsort(place, kind="stable").astype(np.int32)
+    return place, order, np.searchsorted(place[order], np.arange(len(known) + 1)).tolist()
+
+
+def settled_once(item: np.ndarray, passage: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of candidates (item, passage) in any order, those to settle: of adjoining passages every other one, for its stretch holds the next. ``of``: each passage's text."""
+    key = np.sort(item * np.int64(len(of)) + passage)
+    item, passage = np.divmod(key[np.append(True, key[1:] != key[:-1])[: len(key)]], max(1, len(of)))
+    new = np.ones(len(item), bool)
+    new[1:] = (item[1:] != item[:-1]) | (passage[1:] != passage[:-1] + 1) | (of[passage[1:]] != of[passage[:-1]])
+    order = np.arange(len(item))
+    use = (order - np.maximum.accumulate(np.where(new, order, 0))) % 2 == 0
+    return item[use], passage[use]
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame, min_cosine: float = 0.45, min_lcs: float = 0.6,
                  without_answer: float = 0.8, answer_words: int = 5, verbatim_words: int = 8, rank: int = 80,
                  space: Space | None = None) -> DataFrame:
@@ -275,6 +327,7 @@ def _search(shared, min_lcs: float, without_answer: float, answer_words: int):
         space, ids, words, item_of, goal, bar, runs, same = shared.value
         items: dict[int, Item] = {}
         goal = np.ascontiguousarray(goal.T)
+        known = np.unique(np.concatenate(words))
         for f in frames:
             texts, doc_ids = f["text"].tolist(), f["doc_id"].to_numpy()
             out = []
@@ -290,29 +343,29 @@ def _search(shared, min_lcs: float, without_answer: float, answer_words: int):
                             d -= 1
                         if p + n <= begin[d] + counts[d]:
                             out += [(int(doc_ids[a + d]), ids[j], 1.0, 1.0, p - int(begin[d])) for j in same[said[int(grams[p])]]]
-                seen: dict[tuple[int, int], list[int]] = {}
                 step = max(1, 4_000_000 // goal.shape[1])
+                found = [np.zeros((2, 0), np.int64)]
                 for p in range(0, len(z), step):
-                    i, j = np.nonzero(z[p : p + step] @ goal >= bar)
-                    for d, w, k in zip(of[p + i].tolist(), at[p + i].tolist(), item_of[j].tolist()):
-                        seen.setdefault((d, k), []).append(w)
-                for (d, k), places in seen.items():
+                    i, j = np.divmod(np.flatnonzero(z[p : p + step] @ goal >= bar), len(bar))
+                    found.append(np.stack([item_of[j], p + i]))
+                item_at, spot = settled_once(*np.concatenate(found, 1), of)
+                if not len(spot):
+                    continue
+                where = uses(known, h)
+                cuts = np.append(np.flatnonzero(np.append(True, item_at[1:] != item_at[:-1])), len(spot))
+                for first, last in zip(cuts[:-1], cuts[1:]):
+                    k = int(item_at[first])
                     item = items.get(k)
                     if item is None:
                         item = items[k] = Item(words[k], answer_words)
-                    doc = h[begin[d] : begin[d] + counts[d]]
-                    reach = -1
-                    for w in sorted(set(places)):
-                        if w < reach:  # inside the stretch just settled
-                            continue
-                        lo, hi = max(0, w - item.n), w + 2 * HALF + item.n
-                        reach = w + HALF + 1
-                        stretch = doc[lo:hi].tolist()
-                        lcs = item.common(stretch) / item.n
-                        if lcs >= min_lcs:
-                            answer = item.answered(stretch)
-                            if answer >= 0.5 or lcs >= without_answer:
-                                out.append((int(doc_ids[a + d]), ids[k], lcs, answer, int(w)))
+                    d, w = of[spot[first:last]], at[spot[first:last]]
+                    lo, hi = begin[d] + np.maximum(0, w - item.n), begin[d] + np.minimum(counts[d], w + 2 * HALF + item.n)
+                    common = item.common_all(where, known, h, lo, hi, min_lcs)
+                    for x in np.flatnonzero(common / item.n >= min_lcs).tolist():
+                        lcs = int(common[x]) / item.n
+                        answer = item.answered(h[lo[x] : hi[x]].tolist())
+                        if answer >= 0.5 or lcs >= without_answer:
+                            out.append((int(doc_ids[a + d[x]]), ids[k], lcs, answer, int(w[x])))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "lcs_ratio", "answer_ratio", "word"])
 
     return run

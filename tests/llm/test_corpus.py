@@ -263,6 +263,24 @@ def test_bit_parallel_lcs():
         assert item.answered(b) == pytest.approx(lcs(b, a[-5:]) / len(a[-5:]))
 
 
+def test_lcs_of_stretches_together():
+    """Items of up to and beyond 64 words, many stretches and few: as one by one, without a step in Python for every word."""
+    rng = random.Random(3)
+    for size, stretches in ((1, 40), (63, 40), (64, 40), (65, 40), (90, 40), (30, 2)):
+        item = decontaminate.Item(np.array([rng.randrange(50) for _ in range(size)], np.uint64), 5)
+        known = np.arange(60, dtype=np.uint64)
+        h = np.array([rng.randrange(90) for _ in range(700)], np.uint64)
+        where = decontaminate.uses(known, h)
+        lo = np.array([rng.randrange(600) for _ in range(stretches)])
+        hi = lo + np.array([rng.randrange(100) for _ in lo])
+        want = np.array([item.common(h[a:b].tolist()) for a, b in zip(lo, hi)])
+        got = item.common_all(where, known, h, lo, hi, 0.2)
+        assert ((got == want) | (got == 0) & (want < 0.2 * size)).all() and got.any()
+    at = [np.array(x) for x in ([4, 4, 4, 4, 4, 7, 4], [3, 0, 1, 2, 1, 3, 5])]
+    item, passage = decontaminate.settled_once(*at, np.array([0, 0, 0, 1, 1, 1]))
+    assert list(zip(item.tolist(), passage.tolist())) == [(4, 0), (4, 2), (4, 3), (4, 5), (7, 3)]
+
+
 ODD = ["", " ", "  a", "a  b", "a \n b", "it's don't  we'll", "½ x² ٣ 日本語", "\x1c a \x1cb", "a b  c", "x" * 700 + " y", "🎉 ok🎉\t\tq \r\n z", "é ño ", "0123456789" * 40, "a" * 301, "ab" * 999 + "a", "é" * 333, "etaoin" * 700 + "x"]
 
 
