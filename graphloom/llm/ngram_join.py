@@ -4,7 +4,10 @@ A document is the set of its lower-case word n-grams. Two documents of
 similarity >= t share at least ``o = ceil(t * size)`` grams of either, so in any
 order of all grams their prefixes of ``size - o + 1`` grams meet. The order puts
 rare grams first and the frequent class (held by at least the share ``frequent``
-of the documents, counted over all of them) last, by count. A prefix of rare
+of the documents, counted over all of them) last, by count. Of the rare ones those
+of at least the share ``COMMON`` come last, by count: a passage that many unlike
+documents share then mostly lies behind their prefixes, and a pair that shares
+little else doesn't meet, whatever the number of such documents. A prefix of rare
 grams alone is indexed gram by gram. Where it reaches the frequent class it is
 extended to ``size - o + k`` grams, so that two such documents share k prefix
 grams: either a rare one, or k frequent ones; hence frequent grams are indexed
@@ -53,6 +56,8 @@ from graphloom.llm.components import components
 SHARD_ROWS, FLUSH_ROWS = 800_000, 800_000
 #: Documents of a rare gram up to which its pairs are counted one by one.
 FEW = 8
+#: Share of the documents from which a rare gram stands behind the other rare ones; it orders grams and drops none.
+COMMON = 0.0005
 #: Documents that meet a hub, or each other, in one part; gram sets that a task gets, about.
 SLICE_DOCS, PART_DOCS, TASK_SETS = 256, 1024, 4000
 
@@ -80,11 +85,13 @@ def gram_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def frequent_grams(docs: DataFrame, n: int, share: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hashes of the frequent class and their ranks by count, and the number of grams of all documents.
+    """Hashes of the grams that have a rank, and their ranks by count, and the number of grams of all documents.
 
-    At most ``mean set size / share`` grams can be frequent, whatever the number
-    of documents; that bounds what is collected and shared.
+    Ranks are above 0 in the frequent class and below 0 for the common ones of the rare
+    grams. At most ``mean set size / share`` grams can be frequent, and as many by
+    ``COMMON`` common, whatever the number of documents; that bounds what is collected and shared.
     """
+    least = min(share, COMMON)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, docs_held = [], 0
@@ -96,16 +103,19 @@ def frequent_grams(docs: DataFrame, n: int, share: float) -> tuple[np.ndarray, n
                 docs_held += int((sizes > 0).sum())
                 if sum(map(len, held)) >= 4_000_000:
                     yield tally(held, docs_held)
-                    held, docs_held = [], 0
+                    docs_held = 0
         if held:
             yield tally(held, docs_held)
 
     def tally(held: list[np.ndarray], docs_held: int) -> pd.DataFrame:
         grams = np.concatenate(held)
-        kinds, times = np.unique(grams, return_counts=True)
+        held.clear()
+        grams.sort()
+        first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])[: len(grams)])
+        kinds, times = grams[first], np.diff(np.append(first, len(grams)))
         # a gram that is frequent overall is so in some chunk; its few uses elsewhere may go uncounted,
         # which moves its place in the order, not the result
-        often = times >= max(2, share * docs_held)
+        often = times >= max(2, least * docs_held)
         head = pd.DataFrame({"gram": [None], "n": [len(grams)], "docs": [docs_held]})
         body = pd.DataFrame({"gram": kinds[often].view(np.int64), "n": times[often], "docs": 0})
         return pd.concat([head, body]).astype({"gram": "Int64"})
@@ -115,12 +125,14 @@ def frequent_grams(docs: DataFrame, n: int, share: float) -> tuple[np.ndarray, n
     if total is None:
         drop_table(counts)
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
-    bar = max(3, share * total["docs"])
+    bar = max(3, least * total["docs"])
     often = counts.where(F.col("gram").isNotNull() & (F.col("n") >= bar)).select("gram", "n").toPandas()
     drop_table(counts)
     grams = often["gram"].to_numpy(np.int64).view(np.uint64)
     rank = np.empty(len(grams), np.int64)
-    rank[np.lexsort((grams, often["n"].to_numpy()))] = np.arange(1, len(grams) + 1)
+    rank[np.lexsort((grams, often["n"].to_numpy()))] = np.arange(len(grams))
+    rank -= int((often["n"] < max(3, share * total["docs"])).sum())
+    rank[rank >= 0] += 1
     order = np.argsort(grams)
     return grams[order], rank[order], int(total["n"])
 
@@ -132,11 +144,13 @@ def prefix_keys(grams: np.ndarray, sizes: np.ndarray, often: np.ndarray, rank: n
     """
     of = np.repeat(np.arange(len(sizes)), sizes)
     place = np.zeros(len(grams), np.int64)
+    lowest = int(rank.min(initial=0))
     if len(often):
         at = np.minimum(np.searchsorted(often, grams), len(often) - 1)
         place = np.where(often[at] == grams, rank[at], 0)
-    order = np.lexsort((grams, place, of))  # rare first, by hash; then frequent, by count
-    grams, place = grams[order], place[order]
+    # rare first, by hash, the common ones of them behind, by count; then frequent, by count
+    order = np.lexsort((grams, np.where(place < 0, place - lowest, -1), np.maximum(place, 0), of))
+    grams, place = grams[order], np.maximum(place[order], 0)
     begin = np.cumsum(sizes) - sizes
     pos = np.arange(len(grams)) - begin[of]
     rare = np.bincount(of, place == 0, len(sizes)).astype(np.int64)

@@ -167,6 +167,26 @@ def test_ngram_join_hot_groups(spark, n, monkeypatch):
         assert {tuple(r) for r in found.collect()} == want and want
 
 
+def test_ngram_join_shared_passage(spark, monkeypatch):
+    """A passage of a third of 300 unlike texts makes no pairs of them; near copies among them are found."""
+    rng = random.Random(6)
+    passage = words(rng, 50, 10**6)
+    texts = [f"{words(rng, 60, 10**6)} {passage} {words(rng, 40, 10**6)}" for _ in range(300)]
+    texts += [texts[3] + " end", texts[4].replace("w1", "v1"), texts[5][40:]]
+    rows = [(i, t, "", 0) for i, t in enumerate(texts)]
+    asked, verify = [], ngram_join.verify
+
+    def counted(docs, pairs, n):
+        asked.append(pairs.count())
+        return verify(docs, pairs, n)
+
+    monkeypatch.setattr(ngram_join, "verify", counted)
+    found = ngram_join.near_duplicates(make(spark, rows), frequent=1.1)
+    want = brute_groups(rows, 5, 0.36)
+    assert {tuple(r) for r in found.collect()} == want and len(want) >= 4
+    assert sum(asked) < len(rows)
+
+
 def test_ngram_join_ids(spark):
     with pytest.raises(ValueError, match="whole number"):
         ngram_join.near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
