@@ -257,6 +257,9 @@ def collisions(docs: DataFrame, n: int, t: float, often: np.ndarray, rank: np.nd
                     x.append(where + i)
                     y.append(where + j)
         x, y = np.concatenate(x), np.concatenate(y)
+        # sets of too unlike sizes can't be similar, whatever they share
+        alike = np.minimum(size[x], size[y]) >= (t - 1e-9) * np.maximum(size[x], size[y])
+        x, y = x[alike], y[alike]
         if len(x):
             order = np.lexsort((doc[y], doc[x]))
             x, y = x[order], y[order]
