@@ -49,7 +49,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import BASE, drop_table, fresh, materialize, mix, rolling, small, text_chunks, word_hashes
+from graphloom.llm.common import BASE, drop_table, fresh, give_back, materialize, mix, rolling, small, text_chunks, word_hashes
 from graphloom.llm.components import components
 
 #: Index rows of a shard, about; and of one packed row group before it is sent on.
@@ -106,6 +106,8 @@ def frequent_grams(docs: DataFrame, n: int, share: float) -> tuple[np.ndarray, n
                     docs_held = 0
         if held:
             yield tally(held, docs_held)
+        f = texts = grams = sizes = None
+        give_back()
 
     def tally(held: list[np.ndarray], docs_held: int) -> pd.DataFrame:
         grams = np.concatenate(held)
@@ -204,6 +206,8 @@ def collisions(docs: DataFrame, n: int, t: float, often: np.ndarray, rank: np.nd
                     held, rows = [], 0
         if rows:
             yield packed(held)
+        held = f = texts = key = d = grams = ranks = None
+        give_back()
 
     def packed(held) -> pd.DataFrame:
         key, doc, size, common, ranks, holder, held_ranks = (np.concatenate(x) for x in zip(*held))
@@ -230,6 +234,7 @@ def collisions(docs: DataFrame, n: int, t: float, often: np.ndarray, rank: np.nd
         return pd.DataFrame(out)
 
     def gather(f: pd.DataFrame) -> pd.DataFrame:
+        give_back()  # what the shard before took
         # 32 bits beside the shard: a chance meeting is one more candidate, and fails verification
         key = np.concatenate([np.frombuffer(b, np.uint32) for b in f["keys"]])
         at = [np.frombuffer(b, np.uint32) for b in f["index"]]
@@ -344,8 +349,11 @@ def verify(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
                 packed = [(k, to_bytes(grams[end - size : end])) for k, end, size in zip(range(a, b), ends, sizes)]
                 rows = [(p % tasks, p, ids[k], x) for k, x in packed for p in parts[k]]
                 yield pd.DataFrame(rows, columns=["task", "part", "doc", "grams"])
+        f = texts = grams = packed = rows = None
+        give_back()
 
     def meet(sets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         out = [pd.DataFrame({"hub": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "jaccard": np.zeros(0)})]
         places = dict(zip(sets["part"].unique(), [g for _, g in sets.groupby("part", sort=False)]))
         for part, mine in pairs.groupby("part", sort=False):

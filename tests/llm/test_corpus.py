@@ -11,7 +11,7 @@ from conftest import DATA
 from pyspark.sql import functions as F
 from test_catalog import canon
 
-from graphloom.llm import ann, bpe, chat, decontaminate, langid, ngram_join, queries, substring_dedup, token_frames, toxicity, urlfilter
+from graphloom.llm import ann, bpe, chat, common, decontaminate, langid, ngram_join, queries, substring_dedup, token_frames, toxicity, urlfilter
 from graphloom.llm.components import components
 
 DOCS = "doc_id long, text string, group_id string, n_chars long"
@@ -187,6 +187,19 @@ def test_ngram_join_shared_passage(spark, monkeypatch):
     assert sum(asked) < len(rows)
 
 
+def test_give_back():
+    """Freed memory leaves the process although a block above it is still held."""
+
+    def resident():
+        return int(re.search(r"RssAnon:\s+(\d+)", open("/proc/self/status").read())[1]) / 1024
+
+    blocks = [np.ones(12_000) for _ in range(2000)]
+    pin, full = blocks[::50], resident()
+    del blocks
+    common.give_back()
+    assert len(pin) == 40 and full - resident() > 120
+
+
 def test_ngram_join_ids(spark):
     with pytest.raises(ValueError, match="whole number"):
         ngram_join.near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
