@@ -27,8 +27,10 @@ Edited paragraphs are lines of ``words`` words or more. ``choose_bands`` gives t
 bands of ``ROWS`` MinHashes over their ``gram``-grams that meet at ``similarity``
 with probability ``recall``; lines that meet are verified by the exact Jaccard of
 their grams. Equal lines stand for each other. Every line is held against the
-first of its band before the other pairs are formed: those whose later line is
-removed whole already and whose documents are in one cluster can change nothing.
+first of its band; the bands that this doesn't settle are then taken whole, a line
+against all earlier ones at once by the grams it shares. A line that has too few of
+its grams in others of its band, or loses all it shares already and is of the one
+cluster, can change nothing and is left out.
 
 Defined results
   * words are parted by ASCII white space; case and punctuation count.
@@ -52,7 +54,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.llm.common import (
-    BASE, VISIBLE, VISIBLE_BYTES, fresh, long_rolling, materialize, mix, powers, rolling, small, text_chunks, word_hashes,
+    BASE, VISIBLE, VISIBLE_BYTES, fresh, give_back, long_rolling, materialize, mix, powers, rolling, small, text_chunks, word_hashes,
 )
 from graphloom.llm.components import components
 
@@ -61,6 +63,8 @@ ROWS = 2
 LINE = np.dtype([("band", "<u8"), ("print", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("n", "<u4")])
 #: Paragraphs of a shard, and of one packed group before it is sent on.
 SHARD_PARAGRAPHS, FLUSH_PARAGRAPHS = 3_000_000, 2_000_000
+#: Lines of open bands of a task, about; shared grams looked at together.
+TASK_LINES, BLOCK = 8_000, 2_000_000
 
 
 def choose_bands(similarity: float, recall: float, rows: int = 1) -> int:
@@ -206,17 +210,89 @@ def edited(docs: DataFrame, shards: int, words: int, gram: int, similarity: floa
 
     star = verify(buckets.select(F.element_at("members", 1).alias("a"), F.explode("members").alias("b")))
     label = components(star.select(F.col("doc_id").alias("a"), F.col("keeper").alias("b")).distinct())
-    gone = star.where(F.col("n") == F.col("of")).select(F.col("doc_id").alias("doc"), "at", "n", F.lit(True).alias("gone")).distinct()
-    known = each.select("band", "m", "m.doc", "m.at", "m.n").join(label.withColumnRenamed("node", "doc"), "doc", "left").join(gone, ["doc", "at", "n"], "left")
-    state = F.struct("m", F.coalesce("component", "doc").alias("c"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    left = known.select("band", state.alias("s")).groupBy("band").agg(
-        F.collect_list("s").alias("s"), F.min("s.m.doc").alias("least"), F.countDistinct("s.c").alias("clusters")
+    # of every line the longest run of words that the first of a band takes
+    taken = star.groupBy(F.col("doc_id").alias("doc"), "at", F.col("of").alias("n")).agg(F.max(F.struct("n", "begin")).alias("t"))
+    taken = taken.select("doc", "at", "n", (F.col("t.begin") - F.col("at")).alias("lo"), (F.col("t.begin") - F.col("at") + F.col("t.n")).alias("hi"))
+    known = each.select("band", "m.*").join(label.withColumnRenamed("node", "doc"), "doc", "left").join(taken, ["doc", "at", "n"], "left")
+    known = known.withColumn("component", F.coalesce("component", "doc")).na.fill(0, ["lo", "hi"])
+    known = materialize(known, "known")
+    open_ = known.groupBy("band").agg(
+        F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("doc").alias("least"), F.max(F.struct((F.col("hi") - F.col("lo") < F.col("n")).alias("left"), "doc")).alias("last")
     )
-    left = left.where((F.col("clusters") > 1) | F.exists("s", lambda s: ~s["gone"] & (s["m"]["doc"] > F.col("least"))))
-    pairs = left.select("s", F.explode("s").alias("later")).select("later", F.explode("s").alias("early"))
-    pairs = pairs.where(~F.col("later.gone") | (F.col("later.c") != F.col("early.c")))
-    rest = verify(pairs.select(F.col("early.m").alias("a"), F.col("later.m").alias("b")))
-    return star.union(rest).select("doc_id", "keeper", "begin", "n").distinct()
+    open_ = open_.where((F.col("c0") != F.col("c1")) | (F.col("last")["left"] & (F.col("last")["doc"] > F.col("least")))).select("band")
+    left = materialize(known.join(open_, "band", "left_semi"), "left")
+    tasks = max(shards, math.ceil(left.count() / TASK_LINES))
+    rows = left.join(sets, "print").withColumn("task", F.pmod(F.xxhash64("band"), F.lit(tasks)))
+    run = lambda f: settle(f, gram, similarity)
+    rest = rows.groupBy("task").applyInPandas(run, "doc_id long, keeper long, begin long, n long")
+    return star.select("doc_id", "keeper", "begin", "n").union(rest).distinct()
+
+
+def settle(f: pd.DataFrame, gram: int, similarity: float) -> pd.DataFrame:
+    """(doc_id, keeper, begin, n) of the lines of whole bands: all that the near lines of earlier documents take of each, and a keeper of every cluster among them.
+
+    A line that has fewer than ``similarity`` of its grams in other lines of its band is near none
+    of them. Of those left, one whose shared grams lie in what is taken already, [lo, hi), in a band
+    of one cluster, is settled. The others are held against all earlier lines at once, by their shared grams.
+    """
+    give_back()
+    f = f.sort_values(["band", "doc", "at", "print"], kind="stable")
+    doc, at, cluster, lo, hi = (f[c].to_numpy(np.int64) for c in ("doc", "at", "component", "lo", "hi"))
+    band = np.unique(f["band"].to_numpy(), return_inverse=True)[1]
+    sets = [np.frombuffer(b, np.uint64) for b in f["grams"]]
+    length = np.array([len(x) for x in sets], np.int64)
+    line, grams = np.repeat(np.arange(len(sets)), length), np.concatenate(sets)
+    pos = np.arange(len(line)) - np.repeat(np.cumsum(length) - length, length)
+    # a gram of a band, its lines in order, each with the gram's first and last place
+    order = np.lexsort((pos, line, grams, band[line]))
+    line, grams, pos = line[order], grams[order], pos[order]
+    term = np.cumsum(np.append(True, (grams[1:] != grams[:-1]) | (band[line[1:]] != band[line[:-1]]))[: len(line)])
+    head = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (line[1:] != line[:-1]))[: len(line)])
+    first, last = pos[head], pos[np.append(head[1:], len(line)) - 1]
+    line, term = line[head], term[head]
+    size = np.bincount(line, minlength=len(sets))
+    while True:
+        many = np.bincount(term)[term] > 1
+        alive = np.bincount(line[many], minlength=len(sets)) >= similarity * size - 1e-9
+        keep = many & alive[line]
+        if keep.all():
+            break
+        line, term, first, last = line[keep], term[keep], first[keep], last[keep]
+    none = np.zeros(0, np.int64)
+    out = [(none, none, none, none)]
+    if len(line):
+        begin = np.maximum.accumulate(np.where(np.append(True, term[1:] != term[:-1]), np.arange(len(line)), 0))
+        met = np.flatnonzero(np.arange(len(line)) > begin)  # some earlier line has the gram
+        a, b = np.full(len(sets), 1 << 40), np.full(len(sets), -1)
+        np.minimum.at(a, line[met], first[met])
+        np.maximum.at(b, line[met], last[met] + gram)
+        used = np.unique(line)
+        c0, c1 = np.full(band.max() + 1, np.iinfo(np.int64).max), np.full(band.max() + 1, np.iinfo(np.int64).min)
+        np.minimum.at(c0, band[used], cluster[used])
+        np.maximum.at(c1, band[used], cluster[used])
+        unsettled = (b >= 0) & ((c0 != c1)[band] | (a < lo) | (b > hi))
+        mine = met[np.argsort(line[met], kind="stable")]
+        cuts = np.searchsorted(line[mine], np.arange(len(sets) + 1))
+        start = np.searchsorted(band, band)
+        for y in np.flatnonzero(unsettled):
+            s, entries = start[y], mine[cuts[y] : cuts[y + 1]]
+            both, low, high = np.zeros(y - s, np.int64), np.full(y - s, 1 << 40), np.full(y - s, -1)
+            before = entries - begin[entries]
+            for part in np.split(entries, np.flatnonzero(np.diff(np.cumsum(before) // BLOCK)) + 1):
+                n = part - begin[part]
+                x = line[np.repeat(begin[part] - np.cumsum(n) + n, n) + np.arange(n.sum())] - s
+                both += np.bincount(x, minlength=y - s)
+                np.minimum.at(low, x, np.repeat(first[part], n))
+                np.maximum.at(high, x, np.repeat(last[part] + gram, n))
+            near = np.flatnonzero((both > 0) & (doc[s:y] < doc[y]) & (both >= similarity * (size[s:y] + size[y] - both)))
+            if len(near):
+                near = near[np.lexsort((-high[near], low[near]))]
+                reach = np.maximum.accumulate(high[near])
+                wider = np.append(True, high[near][1:] > reach[:-1])  # not within an earlier one
+                wider[np.unique(cluster[s:y][near], return_index=True)[1]] = True
+                near = near[wider]
+                out.append((np.full(len(near), doc[y]), doc[s:y][near], at[y] + low[near], high[near] - low[near]))
+    return pd.DataFrame(dict(zip(("doc_id", "keeper", "begin", "n"), (np.concatenate(x) for x in zip(*out)))))
 
 
 def repeats(

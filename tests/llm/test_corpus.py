@@ -122,6 +122,31 @@ def test_substring_dedup_edited(spark):
     assert sum(len(x) for x in want.values()) > len(verbatim) + 500
 
 
+def test_substring_dedup_hot_lines(spark, monkeypatch):
+    """Many near lines, and many unlike ones with a passage of half their words: the same words go as by all pairs, without a row a pair."""
+    monkeypatch.setattr(substring_dedup, "BLOCK", 500)
+    rng = random.Random(12)
+    hot, passage = words(rng, 120, 10**6).split(), words(rng, 45, 10**6)
+    texts = [" ".join(f"x{rng.randrange(10**6)}" if rng.random() < 0.04 else w for w in hot) for _ in range(60)]
+    texts += [f"{words(rng, 25, 10**6)} {passage} {words(rng, 25, 10**6)}" for _ in range(60)]
+    grams = [[tuple(w[k : k + 5]) for k in range(len(w) - 4)] for w in map(str.split, texts)]
+    want = {}
+    for i, y in enumerate(grams):
+        for x in grams[:i]:
+            both = set(x) & set(y)
+            if len(both) >= 0.5 * len(set(x) | set(y)):
+                shared = [k for k, g in enumerate(y) if g in both]
+                want.setdefault(i, set()).update(range(shared[0], shared[-1] + 5))
+    docs = make(spark, [(i, t, "g", len(t)) for i, t in enumerate(texts)])
+    found = substring_dedup.edited(docs.select("doc_id", "text"), 4, 50, 5, 0.5, 0.99).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r["doc_id"], set()).update(range(r["begin"], r["begin"] + r["n"]))
+    assert got == want and len(want) >= 50
+    assert len(found) < 8 * len(want)
+    assert len({r["component"] for r in components(spark.createDataFrame([(r["doc_id"], r["keeper"]) for r in found], "a long, b long")).collect()}) == 1
+
+
 def brute_groups(rows, n, t):
     """(doc_id, group_id, group_size): all pairs of rows; rows of one id are linked."""
     sets = []
