@@ -13,9 +13,10 @@ extended to ``size - o + k`` grams, so that two such documents share k prefix
 grams: either a rare one, or k frequent ones; hence frequent grams are indexed
 as combinations of k = 2, and common phrases alone bring nobody together.
 
-The index travels packed (a row is an array of keys, not a key) and is sorted in
-numpy per shard. Rare grams of a few documents are counted pair by pair; longer
-lists, of which groups of copies produce hundreds of equal ones, are merged. A
+The index travels packed (a row is an array of keys, not a key; a document stands in
+it once with the number of its keys) and is sorted in numpy per shard. Rare grams of a
+few documents are counted pair by pair; longer lists, of which groups of copies produce
+hundreds of equal ones, are merged, and stay one row until their members are asked for. A
 pair is a candidate only if the prefix grams it shares (those counted, and at
 most those that either side has in long lists) can make up the overlap that its
 sizes demand. Each long list is first verified against one leader; lists whose
@@ -26,7 +27,8 @@ it: rare ones are counted by their lists, frequent ones by the documents' ranks
 them, so that this number is exact. Candidates meet at their leader or at the
 longest list they share, in parts of bounded size, to which a gram set travels once.
 
-Verification is exact, on the full sets; the groups are the connected components
+Verification is exact, on the full sets; of the last candidates, mostly unlike ones, an
+upper bound by the leading 16 bits of the hashes is taken first. The groups are the connected components
 that all pairs would give. No candidate is dropped that could be similar enough.
 
 Defined results
@@ -175,16 +177,26 @@ def prefix_keys(grams: np.ndarray, sizes: np.ndarray, often: np.ndarray, rank: n
     return np.concatenate(keys), np.concatenate(docs), place[many].astype(np.int32), common
 
 
-FOUND = "kind int, list long, a long, b long, n int, size_a int, size_b int, common_a int, common_b int, ranks array<int>"
+FOUND = "kind int, list long, a long, b long, n int, size_a int, size_b int, common_a int, common_b int, ranks array<int>, docs array<long>"
+
+
+def to_planes(x: np.ndarray) -> bytes:
+    """Whole numbers with all their lowest bytes first, then the next ones: the high bytes, mostly alike, compress away."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def from_planes(b: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
 def collisions(docs: DataFrame, n: int, t: float, often: np.ndarray, rank: np.ndarray, total: int) -> DataFrame:
     """What the index brings together, as FOUND rows of four kinds.
 
-    0: document ``a`` of a list of documents that share a key, other than a rare gram
-    of at most FEW documents, and how many rare grams have this list; 1: a pair (a, b)
-    and how many such rare grams the two share in this shard; 2: how many longer lists
-    of rare grams a document ``a`` is in; 3: the ``ranks`` of its frequent prefix grams.
+    0: the ``docs`` of a list of documents that share a key, other than a rare gram of
+    at most FEW documents, and how many rare grams have this list; 1: a pair (a, b) and
+    how many such rare grams the two share in this shard; 2: a document ``a`` of lists of
+    kind 0 and how many of rare grams it is in; 3: the ``ranks`` of its frequent prefix grams.
     """
     spark = docs.sparkSession
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * (1 - t) / SHARD_ROWS))
@@ -214,7 +226,7 @@ def collisions(docs: DataFrame, n: int, t: float, often: np.ndarray, rank: np.nd
         shard = (key >> np.uint64(32)) % np.uint64(shards)
         order = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-        out = {"shard": [], "keys": [], "index": [], "docs": [], "sizes": [], "common": [], "ranks": [], "holders": [], "held": []}
+        out = {"shard": [], "keys": [], "times": [], "docs": [], "sizes": [], "common": [], "ranks": [], "holders": [], "held": []}
         home = mix(holder.view(np.uint64)) % np.uint64(shards)
         each = np.repeat(home, held_ranks)
         for s in range(shards):
@@ -223,11 +235,11 @@ def collisions(docs: DataFrame, n: int, t: float, often: np.ndarray, rank: np.nd
             mine = order[cuts[s] : cuts[s + 1]]
             ids, first, at = np.unique(doc[mine], return_index=True, return_inverse=True)
             out["shard"].append(s)
-            out["keys"].append(key[mine].astype(np.uint32).tobytes())
-            out["index"].append(at.astype(np.uint32).tobytes())
-            out["docs"].append(ids.tobytes())
-            out["sizes"].append(size[mine][first].tobytes())
-            out["common"].append(common[mine][first].tobytes())
+            out["keys"].append(key[mine][np.argsort(at, kind="stable")].astype(np.uint32).tobytes())
+            out["times"].append(to_planes(np.bincount(at, minlength=len(ids)).astype(np.uint32)))
+            out["docs"].append(to_planes(np.diff(ids, prepend=ids[:1] * 0)))
+            out["sizes"].append(to_planes(size[mine][first]))
+            out["common"].append(to_planes(common[mine][first]))
             out["ranks"].append(ranks[each == s].tobytes())
             out["holders"].append(holder[home == s].tobytes())
             out["held"].append(held_ranks[home == s].tobytes())
@@ -237,11 +249,9 @@ def collisions(docs: DataFrame, n: int, t: float, often: np.ndarray, rank: np.nd
         give_back()  # what the shard before took
         # 32 bits beside the shard: a chance meeting is one more candidate, and fails verification
         key = np.concatenate([np.frombuffer(b, np.uint32) for b in f["keys"]])
-        at = [np.frombuffer(b, np.uint32) for b in f["index"]]
-        doc, size, common = (
-            np.concatenate([np.frombuffer(b, kind)[i] for b, i in zip(f[c], at)])
-            for c, kind in (("docs", np.int64), ("sizes", np.uint32), ("common", np.uint32))
-        )
+        times = np.concatenate([from_planes(b, np.uint32) for b in f["times"]])
+        doc = np.repeat(np.concatenate([np.cumsum(from_planes(b, np.int64)) for b in f["docs"]]), times)
+        size, common = (np.repeat(np.concatenate([from_planes(b, np.uint32) for b in f[c]]), times) for c in ("sizes", "common"))
         order = np.lexsort((doc, key))
         key, doc, size, common = key[order], doc[order], size[order], common[order]
         new = np.ones(len(key), bool)
@@ -280,29 +290,25 @@ def collisions(docs: DataFrame, n: int, t: float, often: np.ndarray, rank: np.nd
         if len(begin):
             keep = np.repeat(begin, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
             doc, size, common = doc[keep], size[keep], common[keep]
-            ids, times = np.unique(doc[np.repeat(rare, length)], return_counts=True)
-            out.append(pd.DataFrame({"kind": 2, "a": ids, "n": times}))
+            ids, once, which = np.unique(doc, return_index=True, return_inverse=True)
+            times = np.bincount(which, np.repeat(rare, length), len(ids)).astype(np.int64)
+            out.append(pd.DataFrame({"kind": 2, "a": ids, "n": times, "size_a": size[once], "common_a": common[once]}))
             begin = np.cumsum(length) - length
             sign = np.add.reduceat(mix(doc.view(np.uint64) + np.uint64(BASE)), begin) + length.astype(np.uint64)
             _, once, what = np.unique(sign, return_index=True, return_inverse=True)
             times = np.bincount(what, rare, len(once)).astype(np.int64)  # rare keys with this list
-            each = np.repeat(begin[once], length[once]) + np.arange(length[once].sum())
-            each -= np.repeat(np.cumsum(length[once]) - length[once], length[once])
-            out.append(
-                pd.DataFrame(
-                    {"kind": 0, "list": np.repeat(sign[once].view(np.int64), length[once]), "a": doc[each], "n": np.repeat(times, length[once]), "size_a": size[each], "common_a": common[each]}
-                )
-            )
+            members = [doc[i : i + m] for i, m in zip(begin[once], length[once])]
+            out.append(pd.DataFrame({"kind": 0, "list": sign[once].view(np.int64), "n": times, "docs": members}))
         holder = np.frombuffer(b"".join(f["holders"]), np.int64)
         if len(holder):
             ranks = np.split(np.frombuffer(b"".join(f["ranks"]), np.int32), np.cumsum(np.frombuffer(b"".join(f["held"]), np.int64))[:-1])
             out.append(pd.DataFrame({"kind": 3, "a": holder, "ranks": ranks}))
         if not out:
-            return pd.DataFrame({c: pd.Series([], dtype="Int64") for c in [*columns, "ranks"]})
-        whole = [o.reindex(columns=columns).astype("Int64").assign(ranks=o["ranks"] if "ranks" in o else pd.Series([None] * len(o), dtype=object)) for o in out]
+            return pd.DataFrame({c: pd.Series([], dtype="Int64") for c in [*columns, "ranks", "docs"]})
+        whole = [o.reindex(columns=columns).astype("Int64").assign(**{c: o[c] if c in o else pd.Series([None] * len(o), dtype=object) for c in ("ranks", "docs")}) for o in out]
         return pd.concat(whole)
 
-    rows = docs.mapInPandas(index, "shard int, keys binary, index binary, docs binary, sizes binary, common binary, ranks binary, holders binary, held binary")
+    rows = docs.mapInPandas(index, "shard int, keys binary, times binary, docs binary, sizes binary, common binary, ranks binary, holders binary, held binary")
     return rows.groupBy("shard").applyInPandas(gather, FOUND)
 
 
@@ -317,19 +323,28 @@ def possible(t: float, shared, size_a, size_b):
     return alike & (shared >= needed - 1e-6)
 
 
-def to_bytes(grams: np.ndarray) -> bytes:
-    """Ascending hashes, by their leading 40 bits: within a pair of documents that tells grams apart."""
-    return (grams >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+#: Bytes of a hash that tell the grams of a pair of documents apart; bytes for an upper bound of what the two share.
+EXACT, BOUND = 5, 2
+
+
+def to_bytes(grams: np.ndarray, width: int = EXACT) -> bytes:
+    """Ascending hashes, by their leading bytes."""
+    return (grams >> np.uint64(64 - 8 * width)).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def from_bytes(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
+def from_bytes(b: bytes, width: int = EXACT) -> np.ndarray:
+    out = np.zeros((len(b) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(b, np.uint8).reshape(-1, width)
     return out.view(np.uint64).ravel()
 
 
 def verify(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """(hub, other, jaccard) of pairs (hub, other, part): exact, on the whole sets.
+    """(hub, other, jaccard) of pairs (hub, other, part): exact, on the whole sets."""
+    return compare(docs, pairs, n, EXACT)
+
+
+def compare(docs: DataFrame, pairs: DataFrame, n: int, width: int) -> DataFrame:
+    """(hub, other, jaccard) of pairs (hub, other, part), on so many bytes of the hashes: with BOUND, never less than the exact one.
 
     The pairs of a part meet in one task, to which each gram set of theirs travels once.
     """
@@ -346,7 +361,7 @@ def verify(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
             for a, b in text_chunks(texts):
                 grams, sizes = gram_sets(texts[a:b], n)
                 ends = np.cumsum(sizes)
-                packed = [(k, to_bytes(grams[end - size : end])) for k, end, size in zip(range(a, b), ends, sizes)]
+                packed = [(k, to_bytes(grams[end - size : end], width)) for k, end, size in zip(range(a, b), ends, sizes)]
                 rows = [(p % tasks, p, ids[k], x) for k, x in packed for p in parts[k]]
                 yield pd.DataFrame(rows, columns=["task", "part", "doc", "grams"])
         f = texts = grams = packed = rows = None
@@ -357,14 +372,14 @@ def verify(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
         out = [pd.DataFrame({"hub": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "jaccard": np.zeros(0)})]
         places = dict(zip(sets["part"].unique(), [g for _, g in sets.groupby("part", sort=False)]))
         for part, mine in pairs.groupby("part", sort=False):
-            held = {d: from_bytes(x) for d, x in zip(places[part]["doc"], places[part]["grams"])}
+            held = {d: from_bytes(x, width) for d, x in zip(places[part]["doc"], places[part]["grams"])}
             for hub, others in mine.groupby("hub", sort=False)["other"]:
                 x, rest = held[hub], [held[o] for o in others]
                 for k in range(0, len(rest), 256):
                     every = np.concatenate(rest[k : k + 256])
                     size = np.array([len(r) for r in rest[k : k + 256]])
                     at = np.minimum(np.searchsorted(x, every), len(x) - 1)
-                    both = np.add.reduceat((x[at] == every).astype(np.int64), np.cumsum(size) - size)
+                    both = np.minimum(np.add.reduceat((x[at] == every).astype(np.int64), np.cumsum(size) - size), len(x))
                     out.append(pd.DataFrame({"hub": hub, "other": others.iloc[k : k + 256], "jaccard": both / (len(x) + size - both)}))
         return pd.concat(out)
 
@@ -395,7 +410,9 @@ def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.36, f
     docs, keys = keyed(documents)
     often, rank, total = frequent_grams(docs, n, frequent)
     found = materialize(collisions(docs, n, t, often, rank, total), "found")
-    heavy = materialize(found.where("kind = 2").groupBy(F.col("a").alias("doc")).agg(F.sum("n").alias("heavy")), "heavy")
+    heavy = materialize(
+        found.where("kind = 2").groupBy(F.col("a").alias("doc")).agg(F.sum("n").alias("heavy"), F.first("size_a").alias("size"), F.first("common_a").alias("common")), "heavy"
+    )
     pairs = found.where("kind = 1").groupBy("a", "b").agg(
         F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("size_a", "size_b", "common_a", "common_b")]
     )
@@ -406,14 +423,14 @@ def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.36, f
     pairs = pairs.where(possible(t, F.col("n") + unseen, F.col("size_a"), F.col("size_b")))
     pairs = pairs.select(F.col("a").alias("hub"), F.col("b").alias("other"))
 
-    rows = found.where("kind = 0").groupBy("list", F.col("a").alias("doc")).agg(F.sum("n").alias("keys"), F.first("size_a").alias("size"), F.first("common_a").alias("common"))
-    leaders = rows.groupBy("list").agg(F.min_by("doc", F.struct(F.xxhash64("doc"), "doc")).alias("leader"))
-    rows = rows.join(leaders, "list").join(heavy, "doc", "left").withColumn("unseen", F.coalesce("heavy", F.lit(0)) + F.col("common"))
-    rows = materialize(rows.select("list", "keys", "leader", "doc", "size", "common", "unseen"), "rows")
-    heads = rows.where(F.col("doc") == F.col("leader")).select("list", F.col("size").alias("lead_size"), F.col("unseen").alias("lead_unseen"))
+    # a list stays one row; its members are only taken apart for what is asked of each
+    lists = found.where("kind = 0").groupBy("list").agg(F.sum("n").alias("keys"), F.first("docs").alias("docs"))
+    leader = F.array_min(F.transform("docs", lambda d: F.struct(F.xxhash64(d).alias("h"), d.alias("doc"))))["doc"]
+    lists = materialize(lists.withColumn("leader", leader), "lists")
+    about = heavy.select("doc", "size", "common", (F.col("heavy") + F.col("common")).alias("unseen"))
+    stars = lists.select("leader", F.explode("docs").alias("doc")).where(F.col("doc") != F.col("leader")).distinct().join(about, "doc")
     stars = (
-        rows.where(F.col("doc") != F.col("leader"))
-        .join(heads, "list")
+        stars.join(about.select(F.col("doc").alias("leader"), F.col("size").alias("lead_size"), F.col("unseen").alias("lead_unseen")), "leader")
         .where(possible(t, F.least("unseen", "lead_unseen"), F.col("size"), F.col("lead_size")))
         .select("leader", "doc")
     )
@@ -429,16 +446,19 @@ def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.36, f
     known = materialize(components(edges), "known")
 
     gaps = verified.select(F.least("hub", "other").alias("x"), F.greatest("hub", "other").alias("y"), (1 - F.col("jaccard")).alias("gap"))
-    placed = (
-        rows.join(known.withColumnRenamed("node", "doc"), "doc", "left")
-        .withColumn("component", F.coalesce("component", "doc"))
+    placed = F.coalesce("component", "doc")
+    within = lists.select("list", F.explode("docs").alias("doc")).join(known.withColumnRenamed("node", "doc"), "doc", "left")
+    split = within.groupBy("list").agg(F.min(placed).alias("lo"), F.max(placed).alias("hi")).where("lo != hi").select("list")
+    left = (
+        lists.join(split, "list")
+        .select("list", "keys", "leader", F.size("docs").alias("length"), F.explode("docs").alias("doc"))
+        .join(about.join(known.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", placed), "doc")
         .withColumn("x", F.least("leader", "doc"))
         .withColumn("y", F.greatest("leader", "doc"))
         .join(gaps, ["x", "y"], "left")
         .drop("x", "y")
     )
-    split = placed.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("length"))
-    left = materialize(placed.join(split.where("lo != hi").select("list", "length"), "list"), "left")
+    left = materialize(left, "left")
     x, y = left.alias("x"), left.alias("y")
     crossing = (
         x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.doc") < F.col("y.doc")))
@@ -469,7 +489,9 @@ def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.36, f
     deal = [F.pmod(F.xxhash64(c), F.col("buckets")) for c in ("hub", "other")]
     part = F.xxhash64("list", F.least(*deal), F.greatest(*deal))
     asked_more = materialize(last.join(buckets, "list").select("hub", "other", part.alias("part")), "asked")
-    more = verify(docs, asked_more, n).where(F.col("jaccard") >= t - 1e-12).select("hub", "other")
+    hopeful = compare(docs, asked_more, n, BOUND).where(F.col("jaccard") >= t - 1e-12).select("hub", "other")
+    hopeful = materialize(hopeful.join(asked_more, ["hub", "other"]), "hopeful")
+    more = verify(docs, hopeful, n).where(F.col("jaccard") >= t - 1e-12).select("hub", "other")
 
     links = known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
     every = components(links if keys is None else links.union(keys.select("doc_id", "key")))
@@ -477,7 +499,7 @@ def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.36, f
         every = every.join(keys.select(F.col("key").alias("node")), "node", "left_anti")
     sizes = every.groupBy("component").agg(F.count("*").alias("group_size"), F.min("node").alias("group_id")).where("group_size > 1")
     result = materialize(every.join(sizes, "component").select(F.col("node").alias("doc_id"), "group_id", "group_size"), "groups")
-    for table in (found, heavy, rows, first, asked, verified, known, left, crossing, last, asked_more):
+    for table in (found, heavy, lists, first, asked, verified, known, left, crossing, last, asked_more, hopeful):
         drop_table(table)
     return result
 

@@ -212,6 +212,26 @@ def test_ngram_join_shared_passage(spark, monkeypatch):
     assert sum(asked) < len(rows)
 
 
+def test_ngram_join_lists_are_one_row(spark):
+    """A list of documents that share grams leaves its shard as one row, whatever the number of its members."""
+    rng = random.Random(8)
+    texts = [words(rng, 80, 10**6) for _ in range(2)]
+    rows = [(i - 40, texts[i // 40], "", 0) for i in range(80)]
+    found = ngram_join.collisions(make(spark, rows), 5, 0.36, np.zeros(0, np.uint64), np.zeros(0, np.int64), 10_000).where("kind = 0").collect()
+    assert {tuple(r["docs"]) for r in found} == {tuple(range(-40, 0)), tuple(range(40))}
+    assert len(found) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_ngram_join_bound(spark):
+    """16 bits of a hash never give less than the exact similarity, and little more."""
+    rng = random.Random(9)
+    base = words(rng, 300, 10**6)
+    rows = [(i, f"{' '.join(base.split()[: 40 * i])} {words(rng, 300 - 40 * i, 10**6)}", "", 0) for i in range(7)] + [(7, base, "", 0)]
+    pairs = spark.createDataFrame([(a, b, 1) for a in range(8) for b in range(a)], "hub long, other long, part long")
+    exact, bound = ({(r["hub"], r["other"]): r["jaccard"] for r in ngram_join.compare(make(spark, rows), pairs, 5, w).collect()} for w in (ngram_join.EXACT, ngram_join.BOUND))
+    assert len(exact) == 28 and all(exact[k] <= bound[k] < exact[k] + 0.03 for k in exact)
+
+
 def test_give_back():
     """Freed memory leaves the process although a block above it is still held."""
 
