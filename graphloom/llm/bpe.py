@@ -6,7 +6,7 @@ under lower ranks. Encoding hands the distinct pieces of a batch to DuckDB as
 token-position rows; a recursive query joins neighbouring rows with the merge
 table and contracts, in each word, the leftmost pair of the lowest rank, until
 no pair of the word is in the table. Decoding joins tokens with the vocabulary
-and aggregates their bytes in order.
+and puts their bytes end to end in order; texts are cut from them.
 
 A merged token has a higher rank than its parts, so a contraction makes no new
 pair of its own rank: the lowest pair is contracted again and again, leftmost
@@ -41,6 +41,7 @@ import pyarrow.compute  # noqa: F401  pa.compute
 import regex
 from pyspark.sql import DataFrame
 
+from graphloom.llm.common import give_back
 from graphloom.llm.segments import SegmentCoder
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -89,8 +90,7 @@ SELECT w, t FROM s WHERE t >= 0 ORDER BY g
 """
 
 DECODE = """
-SELECT d, string_agg(hex, '' ORDER BY p) AS hex
-FROM token_rows JOIN vocabulary ON t = id GROUP BY d ORDER BY d
+SELECT bytes FROM token_rows JOIN vocabulary ON t = id ORDER BY p
 """
 
 
@@ -140,8 +140,8 @@ class Bpe:
         pairs = (vocabulary.left.astype(np.int64) << 31) + vocabulary.right
         self.db.register("merges_", pa.table({"pair": pairs, "merged": vocabulary.merged}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges_")
-        hexes = [t.hex() for t in vocabulary.tokens]
-        self.db.register("vocabulary_", pa.table({"id": np.arange(len(hexes), dtype=np.int32), "hex": hexes}))
+        self.width = np.array([len(t) for t in vocabulary.tokens], np.int64)
+        self.db.register("vocabulary_", pa.table({"id": np.arange(len(self.width), dtype=np.int32), "bytes": pa.array(vocabulary.tokens, pa.binary())}))
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary_")
         self.db.unregister("merges_")
         self.db.unregister("vocabulary_")
@@ -203,15 +203,22 @@ class Bpe:
             first = int(ends[a] - counts[a])
             b = max(a + 1, int(np.searchsorted(ends, first + QUERY_TOKENS, side="right")))
             token = ids[first : ends[b - 1]]
-            row = np.repeat(np.arange(a, b, dtype=np.int32), counts[a:b])
-            self.db.register("token_rows", pa.table({"d": row, "p": np.arange(len(token), dtype=np.int64), "t": token}))
-            for d, hexed in self.db.execute(DECODE).fetchall():
-                texts[d] = bytes.fromhex(hexed).decode("utf-8", "replace")
+            self.db.register("token_rows", pa.table({"p": np.arange(len(token), dtype=np.int64), "t": token}))
+            flat = b"".join(map(laid_out, self.db.sql(DECODE).to_arrow_table().column(0).chunks))
             self.db.unregister("token_rows")
+            cuts = np.append(0, np.cumsum(self.width[token]))[np.append(0, ends[a:b] - first)].tolist()
+            texts[a:b] = [flat[i:j].decode("utf-8", "replace") for i, j in zip(cuts, cuts[1:])]
             a = b
         return texts
 
 
+def laid_out(column: pa.Array) -> memoryview:
+    """The bytes of a binary column, end to end."""
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else [0, 0]
+    return memoryview(data or b"")[ends[0] : ends[-1]]
+
+
 _sessions: dict[bytes, Bpe] = {}
 
 
@@ -263,6 +270,8 @@ def encode(documents: DataFrame, vocabulary: Vocabulary | None = None, check: bo
                     same = [x == y for x, y in zip(bpe.decode(ids, counts), full)]
                     columns["round_trip"] = pa.array(same, pa.bool_(), mask=null)
                 yield pa.RecordBatch.from_pydict(columns)
+        batch = all_texts = texts = full = ids = columns = None
+        give_back()
 
     kind = dict(slim.dtypes)["doc_id"]
     return slim.mapInArrow(run, f"doc_id {kind}, n_tokens long, tokens array<int>" + ", round_trip boolean" * check)

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from conftest import DATA
@@ -232,6 +233,18 @@ def test_ngram_join_bound(spark):
     assert len(exact) == 28 and all(exact[k] <= bound[k] < exact[k] + 0.03 for k in exact)
 
 
+def test_bpe_decodes_by_bytes():
+    """Texts are cut from the tokens' bytes: cut characters, empty texts, several queries."""
+    coder = bpe.session(bpe.load())
+    texts = ["", "é", "a b  c", "\u4e2d\u6587 \U0001f600", ""] * 3
+    ids, counts = coder.coder.encode_texts(texts)
+    assert coder.decode(ids, counts) == texts
+    byte = coder.v.byte_ids[np.frombuffer("é".encode(), np.uint8)]
+    assert coder.decode(byte, np.array([1, 0, 1])) == ["\ufffd", "", "\ufffd"]
+    column = pa.array([b"ab", b"", b"cde", b"f"], pa.binary())
+    assert bytes(bpe.laid_out(column.slice(1, 2))) == b"cde" and bytes(bpe.laid_out(column[:0])) == b""
+
+
 def test_give_back():
     """Freed memory leaves the process although a block above it is still held."""
 
