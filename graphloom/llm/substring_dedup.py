@@ -159,6 +159,8 @@ def edited(docs: DataFrame, shards: int, words: int, gram: int, similarity: floa
                 cuts = np.searchsorted(shard[order], np.arange(shards + 1))
                 some = np.flatnonzero(np.diff(cuts))
                 yield pd.DataFrame({"shard": some, "rows": [r[order[cuts[s] : cuts[s + 1]]].tobytes() for s in some]})
+        f = texts = grams = r = order = None
+        give_back()
 
     def gather(f: pd.DataFrame) -> pd.DataFrame:
         r = earliest(np.concatenate([np.frombuffer(b, LINE) for b in f["rows"]]))
@@ -295,6 +297,51 @@ def settle(f: pd.DataFrame, gram: int, similarity: float) -> pd.DataFrame:
     return pd.DataFrame(dict(zip(("doc_id", "keeper", "begin", "n"), (np.concatenate(x) for x in zip(*out)))))
 
 
+def packed(held: list, shards: int) -> pd.DataFrame:
+    """A row for each shard of some texts' paragraphs; takes them out of ``held``, and keeps no copy longer than needed."""
+    columns = [list(x) for x in zip(*held)]
+    held.clear()
+    fp, low, at, doc = (np.concatenate(columns.pop()) for _ in range(4))
+    # settle what meets an equal paragraph of a smaller id right here
+    order = np.lexsort((doc, fp, low))
+    first = np.ones(len(order), bool)
+    first[1:] = (low[order][1:] != low[order][:-1]) | (fp[order][1:] != fp[order][:-1])
+    leader = doc[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+    over = leader < doc[order]
+    settled = order[over]
+    dup = np.zeros(len(doc), bool)
+    dup[settled] = True
+    keeper = np.empty(len(doc), np.int64)
+    keeper[order] = leader
+    del order, first, leader, over, settled
+    # runs of adjacent paragraphs with one MinHash; a run that is settled throughout stays behind
+    run = np.concatenate([[True], (low[1:] != low[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1) | (dup[1:] != dup[:-1])])
+    begin = np.flatnonzero(run)
+    length = np.diff(np.append(begin, len(doc)))
+    # of each run its first paragraph says the rest
+    low, doc, at, dup, keeper = (x[begin] for x in (low, doc, at, dup, keeper))
+    shard = (low >> np.uint64(20)) % np.uint64(shards)
+    order = np.argsort(shard, kind="stable")
+    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+    out: dict[str, list] = {"shard": [], "runs": [], "prints": [], "settled": []}
+    kind = np.dtype([("low", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("n", "<u4")])
+    done = np.dtype([("doc", "<i8"), ("keeper", "<i8"), ("at", "<u4"), ("n", "<u4")])
+    for s in np.flatnonzero(np.diff(cuts)):
+        mine = order[cuts[s] : cuts[s + 1]]
+        sent, kept = mine[~dup[mine]], mine[dup[mine]]
+        r = np.zeros(len(sent), kind)
+        r["low"], r["doc"], r["at"], r["n"] = low[sent], doc[sent], at[sent], length[sent]
+        q = np.zeros(len(kept), done)
+        q["doc"], q["keeper"], q["at"], q["n"] = doc[kept], keeper[kept], at[kept], length[kept]
+        span = np.repeat(begin[sent], length[sent]) + np.arange(length[sent].sum())
+        span -= np.repeat(np.cumsum(length[sent]) - length[sent], length[sent])
+        out["shard"].append(int(s))
+        out["runs"].append(r.tobytes())
+        out["prints"].append(fp[span].tobytes())
+        out["settled"].append(q.tobytes())
+    return pd.DataFrame(out)
+
+
 def repeats(
     documents: DataFrame, words: int = 50, shingle: int = 8, gram: int = 5, similarity: float = 0.5, recall: float = 0.99
 ) -> DataFrame:
@@ -310,6 +357,7 @@ def repeats(
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / 6 / SHARD_PARAGRAPHS))
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()  # what the stage before took
         held, rows = [], 0
         for f in frames:
             texts, ids = f["text"].tolist(), f["doc_id"].to_numpy(np.int64)
@@ -318,52 +366,19 @@ def repeats(
                 held.append((ids[a:b][of], at.astype(np.uint32), low, fp))
                 rows += len(of)
                 if rows >= FLUSH_PARAGRAPHS:
-                    yield packed(held)
-                    held, rows = [], 0
+                    of = at = low = fp = None
+                    yield packed(held, shards)
+                    rows = 0
+                    give_back()
+        f = texts = of = at = low = fp = None
         if rows:
-            yield packed(held)
-
-    def packed(held) -> pd.DataFrame:
-        doc, at, low, fp = (np.concatenate(x) for x in zip(*held))
-        # settle what meets an equal paragraph of a smaller id right here
-        order = np.lexsort((doc, fp, low))
-        first = np.ones(len(order), bool)
-        first[1:] = (low[order][1:] != low[order][:-1]) | (fp[order][1:] != fp[order][:-1])
-        leader = doc[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
-        over = leader < doc[order]
-        settled = order[over]
-        dup = np.zeros(len(doc), bool)
-        dup[settled] = True
-        keeper = np.empty(len(doc), np.int64)
-        keeper[order] = leader
-        # runs of adjacent paragraphs with one MinHash; a run that is settled throughout stays behind
-        run = np.concatenate([[True], (low[1:] != low[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1) | (dup[1:] != dup[:-1])])
-        begin = np.flatnonzero(run)
-        length = np.diff(np.append(begin, len(doc)))
-        shard = (low[begin] >> np.uint64(20)) % np.uint64(shards)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-        out: dict[str, list] = {"shard": [], "runs": [], "prints": [], "settled": []}
-        kind = np.dtype([("low", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("n", "<u4")])
-        done = np.dtype([("doc", "<i8"), ("keeper", "<i8"), ("at", "<u4"), ("n", "<u4")])
-        for s in np.flatnonzero(np.diff(cuts)):
-            mine = order[cuts[s] : cuts[s + 1]]
-            sent, kept = mine[~dup[begin[mine]]], mine[dup[begin[mine]]]
-            r = np.zeros(len(sent), kind)
-            r["low"], r["doc"], r["at"], r["n"] = low[begin[sent]], doc[begin[sent]], at[begin[sent]], length[sent]
-            q = np.zeros(len(kept), done)
-            q["doc"], q["keeper"], q["at"], q["n"] = doc[begin[kept]], keeper[begin[kept]], at[begin[kept]], length[kept]
-            span = np.repeat(begin[sent], length[sent]) + np.arange(length[sent].sum())
-            span -= np.repeat(np.cumsum(length[sent]) - length[sent], length[sent])
-            out["shard"].append(int(s))
-            out["runs"].append(r.tobytes())
-            out["prints"].append(fp[span].tobytes())
-            out["settled"].append(q.tobytes())
-        return pd.DataFrame(out)
+            yield packed(held, shards)
+        give_back()
 
     def gather(f: pd.DataFrame) -> pd.DataFrame:
         kind = np.dtype([("low", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("n", "<u4")])
         done = np.dtype([("doc", "<i8"), ("keeper", "<i8"), ("at", "<u4"), ("n", "<u4")])
+        give_back()  # what the shard before took
         q = np.concatenate([np.frombuffer(b, done) for b in f["settled"]])
         r = np.concatenate([np.frombuffer(b, kind) for b in f["runs"]])
         fp = np.concatenate([np.frombuffer(b, np.uint32) for b in f["prints"]])

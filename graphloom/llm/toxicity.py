@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import text_chunks
+from graphloom.llm.common import give_back, text_chunks
 
 #: A word, or the end of a sentence.
 TOKEN = re.compile(r"\w+|[.!?\n]+")
@@ -360,14 +360,20 @@ def drop_toxic(documents: DataFrame, model: Field, min_score: float | None = Non
     place = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        lookup = Rows(m)
-        for batch in batches:
-            texts = batch.column(place).to_pylist()
-            toxic = np.zeros(len(texts), bool)
-            for a, b in text_chunks(texts, BATCH_CHARS):
-                score, _, _ = tag(texts[a:b], m, lookup)
-                toxic[a:b] = score >= (m.enough if min_score is None else min_score)
-            yield batch.filter(pa.array(~toxic))
+        return keep_clean(batches, place, shared.value, min_score)
 
     return documents.mapInArrow(run, documents.schema)
+
+
+def keep_clean(batches: Iterator[pa.RecordBatch], place: int, m: Field, min_score: float | None) -> Iterator[pa.RecordBatch]:
+    """The rows whose text, in column ``place``, isn't toxic; the worker gives its memory back to the stage that follows."""
+    lookup = Rows(m)
+    for batch in batches:
+        texts = batch.column(place).to_pylist()
+        toxic = np.zeros(len(texts), bool)
+        for a, b in text_chunks(texts, BATCH_CHARS):
+            score, _, _ = tag(texts[a:b], m, lookup)
+            toxic[a:b] = score >= (m.enough if min_score is None else min_score)
+        yield batch.filter(pa.array(~toxic))
+    batch = texts = lookup = None
+    give_back()

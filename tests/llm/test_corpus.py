@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -233,6 +234,28 @@ def test_ngram_join_bound(spark):
     assert len(exact) == 28 and all(exact[k] <= bound[k] < exact[k] + 0.03 for k in exact)
 
 
+def test_toxic_worker_gives_back(monkeypatch):
+    """The stage after toxicity gets its worker without what the toxicity task took."""
+    back = []
+    monkeypatch.setattr(toxicity, "give_back", lambda: back.append(1), raising=False)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a b", None]})
+    assert sum(b.num_rows for b in toxicity.keep_clean(iter([batch]), 1, toxicity.Field(), None)) == 2 and back
+
+
+def test_passages_are_packed_lean():
+    """Packing holds little beside the paragraphs themselves, and empties what it was given."""
+    rng = np.random.default_rng(1)
+    n, docs = 400_000, np.repeat(np.arange(1000), 400)
+    held = [(docs[a : a + 40_000], np.tile(np.arange(400, dtype=np.uint32), 100), np.repeat(rng.integers(0, 1 << 63, 4000, np.uint64), 10), rng.integers(0, 1 << 32, 40_000, np.uint32)) for a in range(0, n, 40_000)]
+    want = Counter(np.concatenate([h[3] for h in held]).tolist())
+    tracemalloc.start()
+    out = substring_dedup.packed(held, 12)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not held and Counter(np.frombuffer(b"".join(out["prints"]), np.uint32).tolist()) == want
+    assert peak < 2.8 * 24 * n
+
+
 def test_bpe_decodes_by_bytes():
     """Texts are cut from the tokens' bytes: cut characters, empty texts, several queries."""
     coder = bpe.session(bpe.load())
