@@ -41,7 +41,7 @@ import pyarrow.compute  # noqa: F401  pa.compute
 import regex
 from pyspark.sql import DataFrame
 
-from graphloom.llm.common import give_back
+from graphloom.llm.common import REMEMBERED, give_back
 from graphloom.llm.segments import SegmentCoder
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -220,6 +220,7 @@ def laid_out(column: pa.Array) -> memoryview:
 
 
 _sessions: dict[bytes, Bpe] = {}
+REMEMBERED.append(_sessions)
 
 
 def session(vocabulary: Vocabulary) -> Bpe:
@@ -231,10 +232,10 @@ def session(vocabulary: Vocabulary) -> Bpe:
     return _sessions[key]
 
 
-def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
     at = size = 0
-    for k, t in enumerate(texts):
-        size += len(t or "")
+    for k, n in enumerate(pa.compute.utf8_length(texts).to_pylist()):
+        size += n or 0
         if size >= BATCH_CHARS:
             yield at, k + 1
             at, size = k + 1, 0
@@ -255,9 +256,9 @@ def encode(documents: DataFrame, vocabulary: Vocabulary | None = None, check: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = session(shared.value)
         for batch in batches:
-            all_texts = batch.column(1).to_pylist()
-            for a, b in _chunks(all_texts):
-                texts = all_texts[a:b]
+            column = batch.column(1).cast(pa.string())
+            for a, b in _chunks(column):
+                texts = column.slice(a, b - a).to_pylist()
                 null = np.array([t is None for t in texts], bool)
                 full = [t or "" for t in texts]
                 ids, counts = bpe.coder.encode_texts(full)
@@ -270,8 +271,8 @@ def encode(documents: DataFrame, vocabulary: Vocabulary | None = None, check: bo
                     same = [x == y for x, y in zip(bpe.decode(ids, counts), full)]
                     columns["round_trip"] = pa.array(same, pa.bool_(), mask=null)
                 yield pa.RecordBatch.from_pydict(columns)
-        batch = all_texts = texts = full = ids = columns = None
-        give_back()
+        batch = column = texts = full = ids = columns = None
+        give_back(_sessions)
 
     kind = dict(slim.dtypes)["doc_id"]
     return slim.mapInArrow(run, f"doc_id {kind}, n_tokens long, tokens array<int>" + ", round_trip boolean" * check)

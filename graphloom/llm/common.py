@@ -55,8 +55,18 @@ def drop_table(df: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target.getParent(), True)
 
 
-def give_back() -> None:
-    """Return freed memory to the system: a worker that waits for its next task otherwise keeps its last peak."""
+#: What operators remember in a worker beyond a task; a worker serves the tasks of all operators in turn.
+REMEMBERED: list[dict] = []
+
+
+def give_back(but: dict | None = None) -> None:
+    """Return freed memory to the system: a worker that waits for its next task otherwise keeps its last peak.
+
+    What other operators remember goes too, all of REMEMBERED save ``but``.
+    """
+    for kept in REMEMBERED:
+        if kept is not but:
+            kept.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

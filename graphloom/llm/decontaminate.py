@@ -41,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import BASE, fresh, materialize, mix, rolling, small, text_chunks, word_hashes
+from graphloom.llm.common import BASE, fresh, give_back, materialize, mix, rolling, small, text_chunks, word_hashes
 
 #: Hashed vocabulary, slices in which its sums are added up, words of half a passage.
 TERMS, SLICES, HALF = 1 << 15, 64, 16
@@ -116,6 +116,7 @@ def _summed(docs: DataFrame, rows: int, kind: type, add) -> np.ndarray:
     """rows x TERMS: what ``add(total, ids, hashes, counts)`` adds up over all texts, task by task, then as a tree."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()  # what the stage before took
         total = np.zeros((TERMS, rows), kind)
         for f in frames:
             texts, ids = f["text"].tolist(), f["doc_id"].to_numpy(np.int64)
@@ -367,6 +368,8 @@ def _search(shared, min_lcs: float, without_answer: float, answer_words: int):
                         if answer >= 0.5 or lcs >= without_answer:
                             out.append((int(doc_ids[a + d[x]]), ids[k], lcs, answer, int(w[x])))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "lcs_ratio", "answer_ratio", "word"])
+        f = texts = h = at = z = where = found = None
+        give_back()
 
     return run
 

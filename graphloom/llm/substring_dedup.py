@@ -62,7 +62,7 @@ from graphloom.llm.components import components
 ROWS = 2
 LINE = np.dtype([("band", "<u8"), ("print", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("n", "<u4")])
 #: Paragraphs of a shard, and of one packed group before it is sent on.
-SHARD_PARAGRAPHS, FLUSH_PARAGRAPHS = 3_000_000, 2_000_000
+SHARD_PARAGRAPHS, FLUSH_PARAGRAPHS = 3_000_000, 1_000_000
 #: Lines of open bands of a task, about; shared grams looked at together.
 TASK_LINES, BLOCK = 8_000, 2_000_000
 

@@ -367,6 +367,7 @@ def drop_toxic(documents: DataFrame, model: Field, min_score: float | None = Non
 
 def keep_clean(batches: Iterator[pa.RecordBatch], place: int, m: Field, min_score: float | None) -> Iterator[pa.RecordBatch]:
     """The rows whose text, in column ``place``, isn't toxic; the worker gives its memory back to the stage that follows."""
+    give_back()
     lookup = Rows(m)
     for batch in batches:
         texts = batch.column(place).to_pylist()

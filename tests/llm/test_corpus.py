@@ -281,6 +281,14 @@ def test_give_back():
     assert len(pin) == 40 and full - resident() > 120
 
 
+def test_workers_forget_other_operators():
+    # a worker kept BPE's session, about 100 MB of it, through all stages that followed
+    coder = bpe.session(bpe.Vocabulary([bytes([b]) for b in range(256)], np.arange(256, dtype=np.int32), *np.zeros((3, 0), np.int32)))
+    common.give_back(bpe._sessions)
+    assert [*bpe._sessions.values()] == [coder]
+    assert list(toxicity.keep_clean(iter([]), 0, toxicity.Field(), None)) == [] and not bpe._sessions
+
+
 def test_ngram_join_ids(spark):
     with pytest.raises(ValueError, match="whole number"):
         ngram_join.near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
