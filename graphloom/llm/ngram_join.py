@@ -19,8 +19,9 @@ few documents are counted pair by pair; longer lists, of which groups of copies
 hundreds of equal ones, are merged, and stay one row until their members are asked for. A
 pair is a candidate only if the prefix grams it shares (those counted, and at
 most those that either side has in long lists) can make up the overlap that its
-sizes demand. Each long list is first verified against one leader; lists whose
-members the verified pairs already connect are done. In the others every pair from
+sizes demand. Each long list is first verified against one leader, and each document
+against the earlier one it shares most counted grams with; then the candidates that this
+leaves in different groups. Lists whose members the verified pairs already connect are done. In the others every pair from
 different groups is a candidate, unless the triangle inequality of the Jaccard
 distance through the leader, or the number of prefix grams the two share, excludes
 it: rare ones are counted by their lists, frequent ones by the documents' ranks of
@@ -328,14 +329,15 @@ EXACT, BOUND = 5, 2
 
 
 def to_bytes(grams: np.ndarray, width: int = EXACT) -> bytes:
-    """Ascending hashes, by their leading bytes."""
-    return (grams >> np.uint64(64 - 8 * width)).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    """Ascending hashes, by their leading bytes: the steps between them, in planes, whose high bytes compress away."""
+    steps = np.diff(grams >> np.uint64(64 - 8 * width), prepend=np.uint64(0))
+    return steps.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
 def from_bytes(b: bytes, width: int = EXACT) -> np.ndarray:
     out = np.zeros((len(b) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(b, np.uint8).reshape(-1, width)
-    return out.view(np.uint64).ravel()
+    out[:, :width] = np.frombuffer(b, np.uint8).reshape(width, -1).T
+    return np.cumsum(out.view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def verify(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
@@ -421,7 +423,7 @@ def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.36, f
         pairs = pairs.join(heavy.select(F.col("doc").alias(side), F.col("heavy").alias(f"heavy_{side}")), side, "left")
     unseen = F.least(*[F.coalesce(f"heavy_{x}", F.lit(0)) + F.col(f"common_{x}") for x in ("a", "b")])
     pairs = pairs.where(possible(t, F.col("n") + unseen, F.col("size_a"), F.col("size_b")))
-    pairs = pairs.select(F.col("a").alias("hub"), F.col("b").alias("other"))
+    pairs = pairs.select(F.col("a").alias("hub"), F.col("b").alias("other"), "n", F.lit(False).alias("star"))
 
     # a list stays one row; its members are only taken apart for what is asked of each
     lists = found.where("kind = 0").groupBy("list").agg(F.sum("n").alias("keys"), F.first("docs").alias("docs"))
@@ -432,18 +434,37 @@ def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.36, f
     stars = (
         stars.join(about.select(F.col("doc").alias("leader"), F.col("size").alias("lead_size"), F.col("unseen").alias("lead_unseen")), "leader")
         .where(possible(t, F.least("unseen", "lead_unseen"), F.col("size"), F.col("lead_size")))
-        .select("leader", "doc")
+        .select("leader", "doc", F.lit(0), F.lit(True))
     )
     ends = F.least("hub", "other").alias("x"), F.greatest("hub", "other").alias("y")
-    first = pairs.union(stars).groupBy(*ends).agg(F.min(F.struct("hub", "other")).alias("p"))
-    first = materialize(first.select("p.hub", "p.other"), "first")
-    # the others of a hub come to it, in slices of bounded size
-    slices = first.groupBy("hub").agg(F.ceil(F.count("*") / SLICE_DOCS).alias("slices"))
-    part = F.xxhash64("hub", F.pmod(F.xxhash64("other"), F.col("slices")))
-    asked = materialize(first.join(slices, "hub").select("hub", "other", part.alias("part")), "asked")
-    verified = materialize(verify(docs, asked, n), "verified")
-    edges = verified.where(F.col("jaccard") >= t - 1e-12).select(F.col("hub").alias("a"), F.col("other").alias("b"))
-    known = materialize(components(edges), "known")
+    first = pairs.union(stars).groupBy(*ends).agg(F.min(F.struct("hub", "other")).alias("p"), F.max("n").alias("n"), F.max("star").alias("star"))
+    first = materialize(first.select("p.hub", "p.other", "n", "star"), "first")
+
+    def measured(asked: DataFrame) -> DataFrame:
+        # the others of a hub come to it, in slices of bounded size
+        slices = asked.groupBy("hub").agg(F.ceil(F.count("*") / SLICE_DOCS).alias("slices"))
+        part = F.xxhash64("hub", F.pmod(F.xxhash64("other"), F.col("slices")))
+        asked = materialize(asked.join(slices, "hub").select("hub", "other", part.alias("part")), "asked")
+        out = materialize(verify(docs, asked, n), "verified")
+        drop_table(asked)
+        return out
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return pairs.where(F.col("jaccard") >= t - 1e-12).select(F.col("hub").alias("a"), F.col("other").alias("b"))
+
+    # leaders with their lists, and each document with the earlier one it shares most with; then pairs that this leaves apart
+    best = first.groupBy(ends[1]).agg(F.max(F.struct("n", -F.least("hub", "other"), "hub", "other")).alias("p")).select("p.hub", "p.other")
+    pick = materialize(best.union(first.where("star").select("hub", "other")).distinct(), "pick")
+    tried = measured(pick)
+    joined = materialize(components(linked(tried)), "joined")
+    apart = first.where("not star")
+    for side in ("hub", "other"):
+        apart = apart.join(small(joined.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))), side, "left")
+    apart = apart.where(F.coalesce("of_hub", "hub") != F.coalesce("of_other", "other")).select("hub", "other")
+    apart = materialize(apart.join(tried.select("hub", "other"), ["hub", "other"], "left_anti"), "apart")
+    rest = measured(apart)
+    verified = tried.union(rest)
+    known = materialize(components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(linked(rest))), "known")
 
     gaps = verified.select(F.least("hub", "other").alias("x"), F.greatest("hub", "other").alias("y"), (1 - F.col("jaccard")).alias("gap"))
     placed = F.coalesce("component", "doc")
@@ -499,7 +520,7 @@ def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.36, f
         every = every.join(keys.select(F.col("key").alias("node")), "node", "left_anti")
     sizes = every.groupBy("component").agg(F.count("*").alias("group_size"), F.min("node").alias("group_id")).where("group_size > 1")
     result = materialize(every.join(sizes, "component").select(F.col("node").alias("doc_id"), "group_id", "group_size"), "groups")
-    for table in (found, heavy, lists, first, asked, verified, known, left, crossing, last, asked_more, hopeful):
+    for table in (found, heavy, lists, first, pick, tried, joined, apart, rest, known, left, crossing, last, asked_more, hopeful):
         drop_table(table)
     return result
 

@@ -224,6 +224,27 @@ def test_ngram_join_lists_are_one_row(spark):
     assert len(found) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_ngram_join_joins_groups_by_few_pairs(spark, monkeypatch):
+    """A group of near copies is joined by a pair a document; all its pairs were verified, and its sets travelled for each."""
+    rng, asked = random.Random(6), []
+    base = words(rng, 200, 10**6).split()
+    rows = [(k, " ".join([*base[:20], f"own{k}", *base[20 : 150 + 5 * k]]), None, 0) for k in range(7)]
+    rows += [(100 + k, words(rng, 20, 10**6), None, 0) for k in range(800)]  # else the copies' grams are frequent
+    verify = ngram_join.verify
+    monkeypatch.setattr(ngram_join, "verify", lambda docs, pairs, n: asked.append(pairs.count()) or verify(docs, pairs, n))
+    got = ngram_join.near_duplicates(make(spark, rows))
+    assert {tuple(r) for r in got.collect()} == {(k, 0, 7) for k in range(7)}
+    assert sum(asked) <= 7
+
+
+def test_gram_sets_travel_as_steps():
+    grams = np.sort(np.random.default_rng(2).integers(0, 1 << 64, 400, np.uint64))
+    for width in (ngram_join.EXACT, ngram_join.BOUND):
+        packed = ngram_join.to_bytes(grams, width)
+        assert (ngram_join.from_bytes(packed, width) == grams >> np.uint64(64 - 8 * width)).all()
+        assert len(pa.compress(packed, "lz4_raw", asbytes=True)) < 0.95 * len(packed)
+
+
 def test_ngram_join_bound(spark):
     """16 bits of a hash never give less than the exact similarity, and little more."""
     rng = random.Random(9)
