@@ -20,19 +20,31 @@ OWNERSHIP = ("CONTAINS", "PROVIDES", "REGISTERED_IN", "HANDLES", "DECLARES", "BE
 
 @dataclass(frozen=True)
 class Graph:
-    """``nodes``: id, type, name, file, package (and more); ``edges``: type, src, dst, unique as a triple."""
+    """``nodes``: id, type, name, file, package (and more); ``edges``: type, src, dst, unique as a triple.
+
+    ``links``, where it is given, has the same edges before they were made unique, for what doesn't count them.
+    """
 
     nodes: DataFrame
     edges: DataFrame
+    links: DataFrame | None = None
 
     def of_types(self, *types: str) -> DataFrame:
         return self.nodes.where(F.col("type").isin(*types))
 
     def by_relation(self, relations: tuple[str, ...] | list[str] | None = None) -> DataFrame:
         """Edges of some relations: none given means all, an empty list means no edge."""
-        if relations is None:
-            return self.edges
-        return self.edges.where(F.col("type").isin(*relations)) if relations else self.edges.where(F.lit(False))
+        return _of_relation(self.edges, relations)
+
+    def links_of(self, relations: tuple[str, ...] | list[str] | None = None) -> DataFrame:
+        """Edges of some relations, each at least once."""
+        return _of_relation(self.edges if self.links is None else self.links, relations)
+
+
+def _of_relation(edges: DataFrame, relations: tuple[str, ...] | list[str] | None) -> DataFrame:
+    if relations is None:
+        return edges
+    return edges.where(F.col("type").isin(*relations)) if relations else edges.where(F.lit(False))
 
 
 def merge_nodes(rows: DataFrame, order: str) -> DataFrame:

@@ -130,7 +130,7 @@ def _kinds_and_edges(types: tuple[str, ...], out: tuple[str, ...] | None, into:
         if touching:
             near = lookup.neighbours(graph, nodes, "outbound", out).union(lookup.neighbours(graph, nodes, "inbound", into)).select("id")
         else:
-            e = graph.by_relation(out)
+            e = graph.links_of(out)
             near = e.select(F.col("src").alias("id")).union(e.select("dst")).join(graph.nodes.select("id"), "id", "left_semi")
         near = near.distinct().join(nodes, "id", "left_anti")
         return nodes.select(F.lit("subject").alias("role"), "id").union(near.select(F.lit("related").alias("role"), "id"))
@@ -157,7 +157,7 @@ for _name, _args in {
 def service_overview(graph: Graph, depth: int = 2) -> DataFrame:
     """(role, id): services, providers and what is named a service, and their semantic expansion."""
     own = graph.nodes.where(F.col("type").isin("Service", "Provider") | F.col("name").endswith("Service")).select("id")
-    near = walk.walk(graph, own, "both", depth, EXPANSION).select("id").distinct().join(own, "id", "left_anti")
+    near = walk.around(graph, own, "both", depth, EXPANSION).join(own, "id", "left_anti")
     return own.select(F.lit("subject").alias("role"), "id").union(near.select(F.lit("related").alias("role"), "id"))
 
 
