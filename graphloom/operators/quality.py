@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.columns import half_up
 from graphloom.graph import Graph
 from graphloom.operators.lookup import dangling
+from graphloom.plans.tables import shards, spread
 
 
 def _issue(rows: DataFrame, code: str, severity: str, subject: Column) -> DataFrame:
@@ -18,13 +19,14 @@ def _issue(rows: DataFrame, code: str, severity: str, subject: Column) -> DataFr
 
 def validate(graph: Graph, node_types=None, relations=None, hooks=()) -> DataFrame:
     """(code, severity, subject): one row per broken rule and place."""
-    n, e = graph.nodes, graph.edges
+    n, e, links = graph.nodes, graph.edges, graph.links_of()
+    whole = spread(e.select("type", "src", "dst"), shards(e), "src")  # the shuffle that dangling() needs too
     edge = F.concat_ws(" ", "src", "type", "dst")
-    into = lambda *kinds: e.where(F.col("type").isin(*kinds)).select(F.col("dst").alias("id"))
-    out = lambda *kinds: e.where(F.col("type").isin(*kinds)).select(F.col("src").alias("id"))
+    into = lambda *kinds: links.where(F.col("type").isin(*kinds)).select(F.col("dst").alias("id"))
+    out = lambda *kinds: links.where(F.col("type").isin(*kinds)).select(F.col("src").alias("id"))
     rules = [
         _issue(n.groupBy("id").count().where("count > 1"), "duplicate-node", "error", F.col("id")),
-        _issue(e.groupBy("type", "src", "dst").count().where("count > 1"), "duplicate-edge", "error", edge),
+        _issue(whole.groupBy("type", "src", "dst").count().where("count > 1"), "duplicate-edge", "error", edge),
         _issue(dangling(graph), "missing-endpoint", "error", edge),
         _issue(e.where((F.col("src") == F.col("dst")) & (F.col("type") != "REFERENCES")), "self-edge", "error", edge),
         _issue(n.where(F.col("id").isNull() | (F.trim("id") == "")), "empty-id", "error", F.coalesce("name", F.lit("?"))),
@@ -46,7 +48,7 @@ def validate(graph: Graph, node_types=None, relations=None, hooks=()) -> DataFra
 
 def coverage(graph: Graph) -> DataFrame:
     """(metric, total, missing, coverage, confidence, status) of services, controllers, routes and packages."""
-    e = graph.edges
+    e = graph.links_of()
     used = {
         "services": (("Service",), e.where(F.col("type").isin("PROVIDES", "INJECTS")).select(F.col("src").alias("id"))),
         "controllers": (("Controller",), e.where(F.col("type") == "MOUNTS").select(F.col("src").alias("id"))),
