@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.functions.columns import commit_category, half_up
+from graphloom.plans.tables import kept, shards, spread
 
 DAY = 86_400.0
 
 
 def normalise(commits: DataFrame, changes: DataFrame) -> DataFrame:
-    """One row per commit and file: rows of one file are added up, negatives count 0; commits need a hash and a date."""
+    """One row per commit and file: rows of one file are added up, negatives count 0; commits need a hash and a date.
+
+    One shuffle by commit serves the sums, the join with commits, and what else goes by commit.
+    """
     named = commits.where(F.col("hash").isNotNull() & F.col("authored_at").isNotNull())
-    sums = changes.groupBy("hash", "file").agg(
+    sums = spread(changes.select("hash", "file", "additions", "deletions"), shards(changes), "hash").groupBy("hash", "file").agg(
         F.sum(F.greatest("additions", F.lit(0))).cast("long").alias("additions"), F.sum(F.greatest("deletions", F.lit(0))).cast("long").alias("deletions")
     )
     return sums.join(named, "hash").withColumn("category", commit_category(F.coalesce("subject", F.lit(""))))
@@ -23,7 +27,8 @@ def normalise(commits: DataFrame, changes: DataFrame) -> DataFrame:
 def file_history(rows: DataFrame) -> DataFrame:
     """(file, commits, additions, deletions, churn, contributors, first_commit, last_commit, hotspot, churn_score, stability, class)."""
     seconds = F.unix_seconds(F.col("authored_at").cast("timestamp"))
-    per_file = rows.groupBy("file").agg(
+    # by file alone, which serves the count of authors too; the figures themselves are one pass
+    per_file = spread(rows.select("hash", "file", "author", "authored_at", "additions", "deletions"), shards(rows), "file").groupBy("file").agg(
         F.count("*").alias("commits"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"),
         F.countDistinct("author").alias("contributors"), F.min_by("hash", F.struct("authored_at", "hash")).alias("first_commit"),
         F.max_by("hash", F.struct("authored_at", "hash")).alias("last_commit"), F.max(seconds).alias("last"), F.min(seconds).alias("first"),
@@ -70,16 +75,19 @@ def co_changes(rows: DataFrame, max_files: int = 80, k: int = 5000) -> DataFrame
     """(a, b, n, score, last_commit): files changed together, the k most frequent pairs.
 
     Commits of more than ``max_files`` files say nothing of pairs and are left out; the cap bounds the self join.
+    A commit's files are kept as one row. All pairs are counted; the last commit is then sought for the k pairs alone.
     """
     size = F.count("*").over(Window.partitionBy("hash"))
-    use = rows.withColumn("size_", size).where(F.col("size_") <= max_files).select("hash", "file", "authored_at")
-    a = use.select("hash", F.col("file").alias("a"), "authored_at")
-    b = use.select("hash", F.col("file").alias("b"))
-    pairs = a.join(b, "hash").where(F.col("a") < F.col("b")).groupBy("a", "b").agg(
-        F.count("*").alias("n"), F.max_by("hash", F.struct("authored_at", "hash")).alias("last_commit")
-    )
-    top = pairs.agg(F.max("n").alias("most"))
-    scored = pairs.crossJoin(F.broadcast(top)).select("a", "b", "n", half_up(F.col("n") / F.col("most") * 100, 3).alias("score"), "last_commit")
+    use = rows.select("hash", "file", "authored_at").withColumn("size_", size).where(F.col("size_") <= max_files)
+    use = kept(use.groupBy("hash").agg(F.collect_list(F.struct("file", "authored_at")).alias("files")))
+    every = use.select("hash", "files", F.explode("files").alias("x")).select("hash", "x", F.explode("files").alias("y")).where("x.file < y.file")
+    every = every.select("hash", "x.authored_at", F.col("x.file").alias("a"), F.col("y.file").alias("b"))
+    counts = spread(every.select("a", "b"), shards(rows), "a", "b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    # equal counts have equal scores, so the first k are known before the scores
+    top = kept(counts.orderBy(F.desc("n"), "a", "b").limit(k))
+    last = every.join(top, ["a", "b"]).groupBy("a", "b", "n").agg(F.max_by("hash", F.struct("authored_at", "hash")).alias("last_commit"))
+    most = F.broadcast(top.agg(F.max("n").alias("most")))
+    scored = last.crossJoin(most).select("a", "b", "n", half_up(F.col("n") / F.col("most") * 100, 3).alias("score"), "last_commit")
     return scored.orderBy(F.desc("n"), F.desc("score"), "a", "b").limit(k)
 
 
@@ -90,12 +98,16 @@ def category_ratios(rows: DataFrame) -> DataFrame:
 
 def drift(rows: DataFrame) -> DataFrame:
     """(feature, year, commits, files_touched, files_introduced, churn): features are the first path segment."""
-    first = F.row_number().over(Window.partitionBy("file").orderBy("authored_at", "hash")) == 1
-    r = rows.select(F.lower(F.element_at(F.split("file", "/"), 1)).alias("feature"), F.year("authored_at").alias("year"), "hash", "file", (F.col("additions") + F.col("deletions")).alias("churn"), first.alias("new"))
-    return r.groupBy("feature", "year").agg(
-        F.countDistinct("hash").alias("commits"), F.countDistinct("file").alias("files_touched"),
-        F.sum(F.col("new").cast("long")).alias("files_introduced"), F.sum("churn").alias("churn"),
-    )
+    feature, year = F.lower(F.element_at(F.split("file", "/"), 1)).alias("feature"), F.year("authored_at").alias("year")
+    # a file's years, of which the first is the year that it came in
+    years = spread(rows.select("file", year, (F.col("additions") + F.col("deletions")).alias("churn")), shards(rows), "file").groupBy("file", "year").agg(F.sum("churn").alias("churn"))
+    new = F.col("year") == F.min("year").over(Window.partitionBy("file"))
+    files = years.select("file", feature, "year", "churn", new.alias("new")).groupBy("feature", "year").agg(
+        F.count("file").alias("files_touched"), F.sum(F.col("new").cast("long")).alias("files_introduced"), F.sum("churn").alias("churn")
+    )
+    commits = rows.select(feature, year, "hash").distinct().groupBy("feature", "year").agg(F.count("*").alias("commits"))
+    figures = ("commits", "files_touched", "files_introduced", "churn")
+    return commits.unionByName(files, allowMissingColumns=True).groupBy("feature", "year").agg(*[F.sum(c).alias(c) for c in figures])
 
 
 def trends(rows: DataFrame) -> DataFrame:
