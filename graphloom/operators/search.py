@@ -35,6 +35,11 @@ def entries(graph: Graph) -> DataFrame:
     Importance is the kind's weight, log2(degree + 1) and log2(inbound + 1); both
     ends of an edge are counted in one scan.
     """
+    return _entries(graph)
+
+
+def _entries(graph: Graph, *more: Column) -> DataFrame:
+    """``entries`` with more columns, which may use ``degree`` and ``inbound``."""
     ends = F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(0).alias("into")), F.struct(F.col("dst").alias("id"), F.lit(1).alias("into"))))
     d = graph.edges.select(ends.alias("e")).groupBy("e.id").agg(F.count("*").alias("degree"), F.sum("e.into").alias("inbound"))
     n = graph.nodes.select("id", "name", "type", "file", "package").join(d, "id", "left")
@@ -42,7 +47,7 @@ def entries(graph: Graph) -> DataFrame:
     importance = half_up(by_kind(WEIGHTS, 1) + F.log2(usage + 1) + F.log2(inbound + 1), 3)
     return n.select(
         "id", "name", "type", "file", "package", tokens(F.concat_ws(" ", "name", "type")).alias("words"),
-        by_kind(LAYERS, "language").alias("layer"), importance.alias("importance"), usage.alias("usage"),
+        by_kind(LAYERS, "language").alias("layer"), importance.alias("importance"), usage.alias("usage"), *more,
     )
 
 
@@ -107,8 +112,7 @@ def intents(entries_: DataFrame) -> DataFrame:
 
 def ownership_scores(graph: Graph) -> DataFrame:
     """(id, score): kind weight, 4 a edge in and 3 a edge out up to 60, and the importance."""
-    into = graph.edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("i"))
-    out = graph.edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("o"))
-    e = entries(graph).join(into, "id", "left").join(out, "id", "left")
-    points = F.least(F.lit(60), 4 * F.coalesce("i", F.lit(0)) + 3 * F.coalesce("o", F.lit(0)))
+    into, ends = F.coalesce("inbound", F.lit(0)), F.coalesce("degree", F.lit(0))
+    e = _entries(graph, F.least(F.lit(60), 4 * into + 3 * (ends - into)).alias("points"))
+    points = F.col("points")
     return e.select("id", "type", half_up(points + F.col("importance"), 3).alias("score"))
