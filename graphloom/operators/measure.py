@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from graphloom.functions.columns import half_up
 from graphloom.graph import Graph
+from graphloom.plans.tables import shards, spread
 
 
 def count_by(df: DataFrame, column: str) -> DataFrame:
@@ -32,7 +33,6 @@ def statistics(graph: Graph) -> DataFrame:
     d = degrees(graph).agg(
         F.count("*").alias("n_nodes"),
         F.sum("degree").alias("ends"),
-        F.max(F.struct("degree", "id")).alias("top_"),
         F.max("degree").alias("max_degree"),
         F.min_by("id", F.struct((-F.col("degree")).alias("d"), "id")).alias("max_degree_id"),
     )
@@ -56,8 +56,12 @@ def most_targeted(graph: Graph, relation: str, k: int = 1) -> DataFrame:
 def relation_summary(graph: Graph) -> DataFrame:
     """(id, inbound, outbound): edge counts by relation, as ``relation=n`` joined by commas."""
 
+    n = shards(graph.edges)
+
     def side(end: str, name: str) -> DataFrame:
-        counts = graph.edges.groupBy(F.col(end).alias("id"), "type").agg(F.count("*").alias("n"))
+        # by id alone: the counts, the texts and the join with the nodes need no other shuffle
+        ends = spread(graph.edges.select(F.col(end).alias("id"), "type"), n, "id")
+        counts = ends.groupBy("id", "type").agg(F.count("*").alias("n"))
         text = F.concat_ws("=", "type", F.col("n").cast("string"))
         return counts.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(text)), ",").alias(name))
 
