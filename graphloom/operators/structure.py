@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
-from graphloom.plans.tables import kept
+from graphloom.plans.tables import kept, shards, spread
 
 
 def components(graph: Graph, relations=None) -> DataFrame:
@@ -72,17 +72,18 @@ def topological_levels(graph: Graph, relations=None) -> DataFrame:
     Where no node has two predecessors the graph is a set of chains and trees,
     and pointers are doubled (log n rounds); otherwise levels are peeled.
     """
-    e = kept(graph.by_relation(relations).select("src", "dst").distinct())
+    n = shards(graph.edges)
+    e = kept(spread(graph.by_relation(relations).select("src", "dst"), n, "dst").distinct())
     ids = graph.nodes.select("id")
     most = e.groupBy("dst").count().agg(F.max("count")).first()[0] or 0
     if most <= 1:
-        state = kept(ids.join(e, ids["id"] == e["dst"], "left").select("id", F.col("src").alias("up"), F.when(F.col("src").isNull(), 0).otherwise(1).cast("long").alias("level")))
+        state = kept(spread(ids, n, "id").join(e, F.col("id") == F.col("dst"), "left").select("id", F.col("src").alias("up"), F.when(F.col("src").isNull(), 0).otherwise(1).cast("long").alias("level")))
         total, rounds = state.count(), 0
         while not state.where(F.col("up").isNotNull()).isEmpty():
             if 1 << rounds > max(total, 1):
                 raise ValueError("the graph has a cycle")
             up = state.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("level").alias("more"))
-            state = kept(state.join(up, "up", "left").select("id", F.col("further").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")))
+            state = kept(spread(state, n, "up").join(up, "up", "left").select("id", F.col("further").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")))
             rounds += 1
         return state.select("id", "level")
     done, rest, level = None, kept(ids), 0

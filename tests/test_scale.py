@@ -8,7 +8,7 @@ from conftest import DATA
 from pyspark.sql import functions as F
 
 from graphloom.graph import EXPANSION, Graph
-from graphloom.operators import capabilities, lookup, quality, walk
+from graphloom.operators import capabilities, history, lookup, measure, quality, search, structure, walk
 from graphloom.plans import catalog, tables
 from graphloom.sources.relational import star_graph
 
@@ -66,7 +66,8 @@ def test_service_overview_forgets_seeds(spark):
     assert not re.search(r"\bseed#", plan(df))
 
 
-@pytest.mark.parametrize("name", ["walk_outbound", "dependencies_d3", "dependents_d3", "guard_closure", "callers", "callees", "module_overview", "validation_issues"])
+@pytest.mark.parametrize("name", ["walk_outbound", "dependencies_d3", "dependents_d3", "guard_closure", "callers", "callees", "module_overview", "validation_issues",
+                                  "file_history", "drift_timeline", "relation_summary"])
 def test_partitions_follow_the_files(spark, monkeypatch, name):
     monkeypatch.setattr(tables, "SHARD_MB", 0.001)
     parts = [int(n) for n in re.findall(r"RepartitionByExpression \[.*\], (\d+)", plan(catalog.QUERIES[name](spark, str(DATA))))]
@@ -120,3 +121,71 @@ def test_dangling_and_repeated_edges(spark):
     twice = {e for e in edges if edges.count(e) > 1}
     got = quality.validate(g).where(F.col("code") == "duplicate-edge").collect()
     assert sorted(r["subject"] for r in got) == sorted(f"{a} {k} {b}" for k, a, b in twice)
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_history_shuffles_once_by_key(spark):
+    """By part, by commit, by file: no shuffle by two keys where one of them does; file_history's plan holds its table twice."""
+    assert shuffles(catalog.QUERIES["file_history"](spark, str(DATA))) <= 10
+    assert "Expand" not in plan(catalog.QUERIES["drift_timeline"](spark, str(DATA)))
+
+
+def test_history_of_odd_changes(spark):
+    """Co-changes and drift against brute force, with files without a name and commits of too many files."""
+    rng = random.Random(1)
+    commits = [(f"c{k}", 2019 + rng.randrange(3), f"u{k % 3}") for k in range(12)]
+    changes = sorted({(f"c{k}", rng.choice(("a/x", "a/y", "B/z", "b/w", None)) or "a/v") for k in range(12) for _ in range(3)}) + [("c0", None), ("c1", None)]
+    changes += [("c11", f"big/{k}") for k in range(6)]
+    rows = history.normalise(
+        spark.createDataFrame(commits, "hash string, year int, author string").select("hash", F.make_timestamp("year", F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("authored_at"), "author", F.lit("s").alias("subject")),
+        spark.createDataFrame([(h, f, 2, 1) for h, f in changes], "hash string, file string, additions long, deletions long"),
+    )
+    when, files = {h: y for h, y, _ in commits}, {}
+    for h, f in changes:
+        files.setdefault(h, set()).add(f)
+    pairs = {}
+    for h, fs in files.items():
+        if len(fs) <= 5:
+            for a in fs - {None}:
+                for b in fs - {None}:
+                    if a < b:
+                        pairs.setdefault((a, b), []).append((when[h], h))
+    most = max(map(len, pairs.values()))
+    want = sorted(((a, b, len(v), int(len(v) / most * 1e5 + 0.5) / 1e3, max(v)[1]) for (a, b), v in pairs.items()), key=lambda r: (-r[2], r[0], r[1]))
+    for k in (3, 100):
+        assert [tuple(r) for r in history.co_changes(rows, max_files=5, k=k).collect()] == want[:k]
+    drift = {}
+    for h, f in changes:
+        d = drift.setdefault((f and f.split("/")[0].lower(), when[h]), [set(), set(), 0, 0])
+        d[0].add(h)
+        d[1] |= {f} - {None}
+        d[3] += 3
+    for f in {f for _, f in changes}:
+        drift[f and f.split("/")[0].lower(), min(when[h] for h, x in changes if x == f)][2] += 1
+    got = {(r["feature"], r["year"]): [r["commits"], r["files_touched"], r["files_introduced"], r["churn"]] for r in history.drift(rows).collect()}
+    assert got == {k: [len(h), len(f), n, c] for k, (h, f, n, c) in drift.items()}
+
+
+def test_chains_of_many_partitions(spark, monkeypatch):
+    """Chains are levelled over partitions that follow the files, with the same result."""
+    asked = []
+    monkeypatch.setattr(structure, "shards", lambda *t: 7)
+    monkeypatch.setattr(structure, "spread", lambda df, n, *by: asked.append((n, by)) or tables.spread(df, n, *by))
+    got = {r["id"]: r["level"] for r in catalog.QUERIES["topo_levels"](spark, str(DATA)).collect()}
+    monkeypatch.undo()
+    assert got == {r["id"]: r["level"] for r in catalog.QUERIES["topo_levels"](spark, str(DATA)).collect()}
+    assert {(7, ("up",)), (7, ("id",))} <= set(asked)
+
+
+def test_scores_and_statistics_scan_edges_once(spark):
+    g, known, edges = odd_graph(spark, 5)
+    g = Graph(g.nodes.dropDuplicates(["id"]), g.edges)
+    into, out = [e[2] for e in edges], [e[1] for e in edges]
+    points = {i: min(60, 4 * into.count(i) + 3 * out.count(i)) for i in known}
+    scores = {r["id"]: r["score"] - r["importance"] for r in search.ownership_scores(g).join(search.entries(g).select("id", "importance"), "id").collect()}
+    assert {k: round(v, 3) for k, v in scores.items()} == points
+    assert plan(search.ownership_scores(g)).count("Aggregate") == plan(search.entries(g)).count("Aggregate")
+    assert "max(struct" not in plan(measure.statistics(g))
