@@ -24,44 +24,54 @@ def adjacency(graph: Graph, direction: str = "outbound", relations=None) -> Data
     return steps(graph, direction, relations).distinct()
 
 
-def walk(graph: Graph, seeds: DataFrame, direction="outbound", depth: int = 2, relations=None, keep: Column | None = None) -> DataFrame:
+def walk(graph: Graph, seeds: DataFrame, direction="outbound", depth: int = 2, relations=None, keep: Column | None = None, wide: bool = False) -> DataFrame:
     """(seed, id, depth): what each seed reaches in at most ``depth`` steps, by the least number of steps.
 
     ``keep`` rejects nodes and the ways through them, the seed included. The depth is
-    unrolled into one plan without actions; a level starts from the level before.
+    unrolled into one plan without actions; a level starts from the level before. ``wide`` is for
+    walks that reach many more pairs than there are edges: these are shuffled once then, at the end.
     """
+    every = reached(graph, seeds, direction, depth, relations, keep, wide)
+    return spread(every, shards(graph.links_of()), "seed", "id").groupBy("seed", "id").agg(F.min("depth").alias("depth"))
+
+
+def reached(graph: Graph, seeds: DataFrame, direction="outbound", depth: int = 2, relations=None, keep: Column | None = None, wide: bool = False) -> DataFrame:
+    """The rows of ``walk`` before the least depth of each pair is taken: a pair may come more than once."""
     starts = seeds.select(F.col("id").alias("seed"), "id")
-    levels = _levels(graph, starts, is_small(seeds), direction, depth, relations, keep)
-    reached = levels[0].withColumn("depth", F.lit(0))
+    levels = _levels(graph, starts, is_small(seeds), direction, depth, relations, keep, wide)
+    every = levels[0].withColumn("depth", F.lit(0))
     for step, level in enumerate(levels[1:], 1):
-        reached = reached.union(level.withColumn("depth", F.lit(step)))
-    return spread(reached, shards(graph.links_of()), "seed", "id").groupBy("seed", "id").agg(F.min("depth").alias("depth"))
+        every = every.union(level.withColumn("depth", F.lit(step)))
+    return every
 
 
 def around(graph: Graph, seeds: DataFrame, direction="outbound", depth: int = 2, relations=None) -> DataFrame:
     """(id): what any seed reaches in at most ``depth`` steps, the seeds included; a node is kept once, whatever seeds reach it."""
     levels = _levels(graph, seeds.select("id"), is_small(seeds), direction, depth, relations)
-    reached = levels[0]
+    every = levels[0]
     for level in levels[1:]:
-        reached = reached.union(level)
-    return spread(reached, shards(graph.links_of()), "id").distinct()
+        every = every.union(level)
+    return spread(every, shards(graph.links_of()), "id").distinct()
 
 
-def _levels(graph: Graph, starts: DataFrame, small: bool, direction, depth: int, relations=None, keep: Column | None = None) -> list[DataFrame]:
+def _levels(graph: Graph, starts: DataFrame, small: bool, direction, depth: int, relations=None, keep: Column | None = None, wide: bool = False) -> list[DataFrame]:
     """The columns of ``starts`` (id and more) at each level of a walk; a row of the last level may come more than once.
 
     A level is parted by id once: for the check against the nodes, for what makes
     it distinct, and for the next step. The check is an inner join, as a semi join would be
     pushed down to all edges. Where the starts are few the first step is a scan of the edges.
+    ``wide`` checks the edges' ends against the nodes before the walk, and not what is reached.
     """
     nodes = graph.nodes if keep is None else graph.nodes.where(keep)
     ids, adj, n = nodes.select("id"), steps(graph, direction, relations), shards(graph.links_of())
+    if wide:
+        adj = spread(adj, n, "there").distinct().join(spread(ids, n, "id").distinct(), F.col("there") == F.col("id")).select("here", "there")
     level = starts.join(ids, "id").select(*starts.columns)
     levels = [level]
     for step in range(1, depth + 1):
         before = F.broadcast(level) if small and step == 1 else level
         ahead = adj.join(before, adj["here"] == before["id"]).drop("id", "here").withColumnRenamed("there", "id").select(*starts.columns)
-        level = spread(ahead, n, "id").join(ids, "id").select(*starts.columns)
+        level = ahead if wide else spread(ahead, n, "id").join(ids, "id").select(*starts.columns)
         level = level.distinct() if step < depth else level
         levels.append(level)
     return levels

@@ -7,7 +7,7 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from graphloom.graph import EXPANSION, Graph
+from graphloom.graph import DEPENDENCY, EXPANSION, Graph
 from graphloom.operators import capabilities, history, lookup, measure, quality, search, structure, walk
 from graphloom.plans import catalog, tables
 from graphloom.sources.relational import star_graph
@@ -52,6 +52,8 @@ def test_walks_of_odd_graphs(spark, direction):
     want = brute(known, edges, {"n:00", "n:03", "n:05", "n:20"}, direction, 3)
     got = walk.walk(g, seeds, direction, 3).collect()
     assert {(r["seed"], r["id"]): r["depth"] for r in got} == want and len(got) == len(want)
+    wide = walk.walk(g, seeds, direction, 3, wide=True).collect()
+    assert sorted(wide) == sorted(got)
     near = [r["id"] for r in walk.around(g, seeds, direction, 3).collect()]
     assert sorted(near) == sorted({i for _, i in want})
 
@@ -189,3 +191,16 @@ def test_scores_and_statistics_scan_edges_once(spark):
     assert {k: round(v, 3) for k, v in scores.items()} == points
     assert plan(search.ownership_scores(g)).count("Aggregate") == plan(search.entries(g)).count("Aggregate")
     assert "max(struct" not in plan(measure.statistics(g))
+
+
+def test_blast_radius_of_odd_graphs(spark):
+    """Pairs are parted by seed alone, and counted once whatever side they are of."""
+    g, known, edges = odd_graph(spark, 7)
+    seeds = spark.createDataFrame([(i,) for i in sorted(known)], "id string")
+    want = {}
+    for direction, relations in (("both", EXPANSION), ("inbound", DEPENDENCY), ("outbound", DEPENDENCY)):
+        for seed, i in brute(known, edges, known, direction, 2, relations):
+            want.setdefault(seed, set()).add(i)
+    df = capabilities.run("BlastRadius", g, seeds=seeds)
+    assert {r["seed"]: r["affected"] for r in df.collect()} == {s: len(w - {s}) for s, w in want.items()}
+    assert re.search(r"RepartitionByExpression \[seed#\d+\]", plan(df))
