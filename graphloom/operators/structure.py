@@ -79,13 +79,16 @@ def topological_levels(graph: Graph, relations=None) -> DataFrame:
     if most <= 1:
         state = kept(spread(ids, n, "id").join(e, F.col("id") == F.col("dst"), "left").select("id", F.col("src").alias("up"), F.when(F.col("src").isNull(), 0).otherwise(1).cast("long").alias("level")))
         total, rounds = state.count(), 0
-        while not state.where(F.col("up").isNotNull()).isEmpty():
+        # nodes that are done stay out of the join: without a pointer they would all go to one task
+        done, going = state.where("up IS NULL"), state.where("up IS NOT NULL")
+        while not going.isEmpty():
             if 1 << rounds > max(total, 1):
                 raise ValueError("the graph has a cycle")
-            up = state.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("level").alias("more"))
-            state = kept(spread(state, n, "up").join(up, "up", "left").select("id", F.col("further").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")))
+            up = done.union(going).select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("level").alias("more"))
+            state = kept(spread(going, n, "up").join(up, "up", "left").select("id", F.col("further").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")))
+            done, going = done.union(state.where("up IS NULL")), state.where("up IS NOT NULL")
             rounds += 1
-        return state.select("id", "level")
+        return done.select("id", "level")
     done, rest, level = None, kept(ids), 0
     while not rest.isEmpty():
         blocked = e.join(rest.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id"))

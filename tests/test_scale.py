@@ -182,6 +182,14 @@ def test_chains_of_many_partitions(spark, monkeypatch):
     assert {(7, ("up",)), (7, ("id",))} <= set(asked)
 
 
+def test_chains_leave_out_what_is_done(spark, monkeypatch):
+    """No row without a pointer goes into a round's join, where all of them would meet in one task."""
+    null = []
+    monkeypatch.setattr(structure, "spread", lambda df, n, *by: null.append(df.where("up IS NULL").count() if by == ("up",) else 0) or df)
+    assert catalog.QUERIES["topo_levels"](spark, str(DATA)).count()
+    assert len(null) > 3 and not any(null)
+
+
 def test_scores_and_statistics_scan_edges_once(spark):
     g, known, edges = odd_graph(spark, 5)
     g = Graph(g.nodes.dropDuplicates(["id"]), g.edges)
